@@ -90,8 +90,8 @@ def blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, in
         i = j
 
 
-def split_words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray = ALNUM, heads: tuple[int, ...] = ()) -> Words | tuple[Words, list[np.ndarray]]:
-    """Maximal runs of the bytes in ``table``, within documents; hashed with A-Z lower-cased.
+def split_words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray = ALNUM, heads: tuple[int, ...] = (), fold: bool = True) -> Words | tuple[Words, list[np.ndarray]]:
+    """Maximal runs of the bytes in ``table``, within documents; hashed with A-Z lower-cased if ``fold``.
 
     With ``heads``, also for each number of bytes the hashes of the words' first bytes; 0 for words not longer.
     """
@@ -113,7 +113,7 @@ def split_words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray = ALNUM
     up, down = _power_tables(n + 1)
     sums = np.empty(n + 1, np.uint64)
     sums[0] = 0
-    np.cumsum((LOWER[data].astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
+    np.cumsum(((LOWER[data] if fold else data).astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
     hashed = mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64) * np.uint64(_ODD))
     words = Words(hashed, start, end, np.searchsorted(start, offsets))
     if not heads:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontamination, language_id, toxicity
+from . import decontamination, language_id, token_counts, toxicity, viterbi
 from .language_id import crc_mod
 
 
@@ -61,9 +61,30 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n.n_hit, 0)
 FROM d LEFT JOIN n USING (r) LEFT JOIN i USING (r)
 """
 
+
+
+def piece_model() -> str:
+    """The SentencePiece model that these queries take; operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.count_tokens(docs, piece_model()).select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
+
+
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return viterbi.encode(docs, piece_model(), columns=("n_ids", "ids_crc32", "round_trip"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op3_toxicity": op3_toxicity,
     "op4_decontamination": op4_decontamination,
+    "op6_token_counts": op6_token_counts,
+    "op7_sentencepiece": op7_sentencepiece,
 }
 ORACLE_SQL: dict[str, str] = {"op4_decontamination": OP4_SQL}
