@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontamination, language_id, token_counts, toxicity, viterbi
+from . import decontamination, language_id, similarity_join, token_counts, toxicity, viterbi
 from .language_id import crc_mod
 
 
@@ -21,14 +21,13 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.detect(rows, model).select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"))
 
 
-def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Documents with their labels; a document of two labels stands there with each of them."""
-    return docs.join(labels.select("doc_id", "toxic").where("toxic is not null"), "doc_id")
+def op2_similarity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity_join.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    model = toxicity.fit(labelled(docs, _table(spark, sf_dir, "labels")).where(crc_mod("doc_id", 5) != 0))
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels").where(crc_mod("doc_id", 5) != 0))
     rows = docs.select("doc_id", F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "text")
     return toxicity.score(rows, model).select("doc_id", "held_out", F.col("tox_score").alias("score"), (F.col("tox_score") >= 0.5).cast("int").alias("predicted"))
 
@@ -82,6 +81,7 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op2_similarity_join": op2_similarity_join,
     "op3_toxicity": op3_toxicity,
     "op4_decontamination": op4_decontamination,
     "op6_token_counts": op6_token_counts,

@@ -205,20 +205,24 @@ def _best_cut(raw: np.ndarray, y: np.ndarray) -> float:
     return float((r[best] + r[best + 1]) / 2)
 
 
-def fit(labelled: DataFrame, text: str = "text", label: str = "toxic", lang: str = "lang") -> Model:
-    """A model from rows with a text and a label of 0 or 1; other rows are left out.
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", lang: str = "lang") -> Model:
+    """A model from the documents that ``labels`` has a label of 0 or 1 for; other rows are left out.
 
-    Takes a sample of at most TRAIN_ROWS rows a label (in expectation, drawn by a hash of the text; copies count once)
-    and TRAIN_CHARS characters. Without rows of both labels the model scores every text below 0.5.
+    Takes a sample of at most TRAIN_ROWS rows a label (in expectation, drawn by a hash of the key) and TRAIN_CHARS
+    characters of their texts; copies of a text count once. The sample is drawn from ``labels``, so that no text but those in
+    it leaves its task. Without rows of both labels the model scores every text below 0.5.
     """
-    rows = labelled.select(F.col(text).alias("text"), F.col(label).cast("int").alias("y"), F.col(lang).alias("lang")).where("text is not null and y in (0, 1)")
+    rows = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).where("k is not null and y in (0, 1)")
     counts = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     share = F.lit(0.0)
     for k, n in counts.items():
         share = F.when(F.col("y") == k, F.lit(min(1.0, TRAIN_ROWS / n))).otherwise(share)
-    sample = rows.withColumn("h", F.pmod(F.xxhash64("text"), F.lit(1 << 40))).where(F.col("h") < share * (1 << 40)).dropDuplicates(["h"])
+    drawn = rows.where(F.pmod(F.xxhash64(F.col("k").cast("string")), F.lit(1 << 40)) < share * (1 << 40)).distinct()
+    texts = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("text"), F.col(lang).alias("lang")).where("text is not null")
+    # About 2 * TRAIN_ROWS keys and labels, whatever the size of the tables.
+    sample = texts.join(F.broadcast(drawn), "k").withColumn("h", F.xxhash64("text")).dropDuplicates(["h", "y"])
     ids, y, langs, used = [], [], [], 0
-    for r in sample.orderBy("h").toLocalIterator():
+    for r in sample.orderBy("h", "y").toLocalIterator():
         raw = np.frombuffer(r["text"].encode(), np.uint8)
         found, _ = _features(raw, np.array([0, len(raw)]))
         if len(found) and used < TRAIN_CHARS:

@@ -22,7 +22,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types
 
 from ._pieces import MARK, Vocabulary, chunk_bounds, marks_as_spaces, vocabulary
 from ._text import _ODD, _power_tables, blocks, mix
@@ -320,7 +320,7 @@ def decode_block(ids: np.ndarray, first: np.ndarray, path: str) -> tuple[np.ndar
     return out[keep], at - np.cumsum(dropped)[at]
 
 
-_COLUMNS = {"ids": "array<int>", "n_ids": "long", "ids_crc32": "long", "round_trip": "boolean"}
+_COLUMNS = {"ids": types.ArrayType(types.IntegerType()), "n_ids": types.LongType(), "ids_crc32": types.LongType(), "round_trip": types.BooleanType()}
 
 
 def encode(df: DataFrame, path: str, text: str = "text", columns: tuple[str, ...] = ("ids", "n_ids")) -> DataFrame:
