@@ -236,10 +236,11 @@ def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", threshold:
     base, named, _ = _join(df, key, text, threshold, width)
     first = named.groupBy("root").agg(F.min("at").alias("at")).select(F.col("at.key").alias("__key"), F.col("at.th").alias("__th"), F.lit(True).alias("__worded"))
     bare = base.where("cls is null").select(F.col("key").alias("__key"), F.col("th").alias("__th"), F.lit(False).alias("__worded")).distinct()
-    rows = df.withColumns({"__k": F.col(key), "__t": F.coalesce(F.xxhash64(F.col(text)), F.lit(0))})
-    kept = first.unionByName(bare)
-    met = rows.join(kept.hint("shuffle_hash"), rows["__k"].eqNullSafe(kept["__key"]) & (rows["__t"] == kept["__th"]))
-    names = [F.col(f"`{c}`") for c in df.columns]
-    # Rows that repeat a kept key and text are one document of the class as well.
-    once = met.where("__worded").dropDuplicates(["__k", "__t"]).select(*names)
-    return once.unionByName(met.where("not __worded").select(*names))
+    # One hash of both, so that joining and dropping repeats share a shuffle.
+    both = lambda k, t: F.xxhash64(F.col(k), F.col(k).isNull(), F.col(t))
+    rows = df.withColumns({"__k": F.col(key), "__t": F.coalesce(F.xxhash64(F.col(text)), F.lit(0))}).withColumn("__h", both("__k", "__t"))
+    kept = first.unionByName(bare).withColumn("__g", both("__key", "__th"))
+    met = rows.join(kept.hint("shuffle_hash"), (rows["__h"] == kept["__g"]) & rows["__k"].eqNullSafe(kept["__key"]) & (rows["__t"] == kept["__th"]))
+    # Rows that repeat a kept key and text are one document of the class as well; those without words stay apart.
+    apart = F.when(F.col("__worded"), F.lit(-1)).otherwise(F.monotonically_increasing_id())
+    return met.withColumn("__u", apart).dropDuplicates(["__h", "__k", "__t", "__u"]).select(*[F.col(f"`{c}`") for c in df.columns])
