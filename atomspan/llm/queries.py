@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontamination, language_id, similarity_join, token_counts, topk, toxicity, viterbi
+from . import decontamination, hmm, language_id, similarity_join, token_counts, topk, toxicity, viterbi
 from .language_id import crc_mod
 
 
@@ -92,6 +92,12 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return viterbi.encode(docs, piece_model(), columns=("n_ids", "ids_crc32", "round_trip"))
 
 
+def op10_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce(crc_mod("doc_id", 7) == 2, F.lit(False)).alias("held_out"), "text")
+    model, counts = hmm.fit(docs.where(crc_mod("doc_id", 7) != 2))
+    return hmm.score(docs, model, counts)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_similarity_join": op2_similarity_join,
@@ -100,5 +106,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_topk": op5_topk,
     "op6_token_counts": op6_token_counts,
     "op7_sentencepiece": op7_sentencepiece,
+    "op10_hmm": op10_hmm,
 }
 ORACLE_SQL: dict[str, str] = {"op4_decontamination": OP4_SQL, "op5_topk": OP5_SQL}
