@@ -150,7 +150,9 @@ def items(hits: Column) -> Column:
 
 def remove_documents(corpus: DataFrame, benchmark: DataFrame, text: str = "text", max_hit: int = 0) -> DataFrame:
     """Rows of ``corpus`` with at most ``max_hit`` words inside windows of the benchmark; columns as in ``corpus``."""
-    return find(corpus, benchmark, text).where(n_hit(F.col("bench_hits")) <= max_hit).select(*[F.col(f"`{c}`") for c in corpus.columns])
+    # Rows go by an empty array to explode: a filter would be pushed into the scan and repeat its expressions.
+    kept = F.when(n_hit(F.col("bench_hits")) <= max_hit, F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))
+    return find(corpus, benchmark, text).withColumn("__kept", F.explode(kept)).select(*[F.col(f"`{c}`") for c in corpus.columns])
 
 
 def remove_spans(corpus: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:

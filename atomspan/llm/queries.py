@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontamination, hmm, language_id, similarity_join, token_counts, topk, toxicity, viterbi
+from . import decontamination, hmm, language_id, license_scan, quotes, similarity_join, token_counts, topk, toxicity, viterbi
 from .language_id import crc_mod
 
 
@@ -92,6 +92,16 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return viterbi.encode(docs, piece_model(), columns=("n_ids", "ids_crc32", "round_trip"))
 
 
+def op8_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quotes.conversations(_table(spark, sf_dir, "conversations"))
+    return found.select("conv_id", "turn", "role", "parent_turn", "by_quote", F.col("depth").cast("long").alias("depth"), "thread", F.sha2("text", 256).alias("text_sha256"))
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"), license_scan.notices(spark))
+    return found.select("doc_id", "template", F.col("shared").cast("long").alias("shared"), F.round("containment", 6).alias("containment"))
+
+
 def op10_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce(crc_mod("doc_id", 7) == 2, F.lit(False)).alias("held_out"), "text")
     model, counts = hmm.fit(docs.where(crc_mod("doc_id", 7) != 2))
@@ -106,6 +116,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_topk": op5_topk,
     "op6_token_counts": op6_token_counts,
     "op7_sentencepiece": op7_sentencepiece,
+    "op8_quotes": op8_quotes,
+    "op9_license_scan": op9_license_scan,
     "op10_hmm": op10_hmm,
 }
 ORACLE_SQL: dict[str, str] = {"op4_decontamination": OP4_SQL, "op5_topk": OP5_SQL}
