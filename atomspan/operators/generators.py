@@ -5,7 +5,7 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types
 
 from ..functions.scalars import cell_matrix, determinant, inverse, matrix_times, wrap
 
@@ -137,7 +137,7 @@ def random_displacements(atoms: DataFrame, rms: float, n: int, seed: int, sid: s
             out.append(own)
         return pd.concat(out)
 
-    return atoms.select(sid, "aid", "species", "x", "y", "z").groupBy(sid).applyInPandas(run, fields.add("copy", "int"))
+    return atoms.select(sid, "aid", "species", "x", "y", "z").groupBy(sid).applyInPandas(run, fields.add("copy", types.IntegerType()))
 
 
 def kabsch(pairs: DataFrame, sid: str = "sid") -> DataFrame:

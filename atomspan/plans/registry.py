@@ -90,14 +90,14 @@ def _r(e: str, n: int = 4) -> str:
 # Committees
 
 
-@query(f"SELECT l_partkey AS sid, count(*) AS n, {_r('min(l_extendedprice/l_quantity)')} AS e_min, {_r('max(l_extendedprice/l_quantity)')} AS e_max, {_r('avg(l_extendedprice/l_quantity)')} AS e_mean, {_r('stddev_pop(l_extendedprice/l_quantity)')} AS e_std FROM lineitem GROUP BY l_partkey")
+@query(f"SELECT l_partkey AS sid, count(*) AS n, {_r('min(l_extendedprice/l_quantity)', 9)} AS e_min, {_r('max(l_extendedprice/l_quantity)', 9)} AS e_max, {_r('avg(l_extendedprice/l_quantity)')} AS e_mean, {_r('stddev_pop(l_extendedprice/l_quantity)')} AS e_std FROM lineitem GROUP BY l_partkey")
 def ensemble_stats(spark, d):
-    return rounded(ensemble.ensemble_stats(predictions(spark, d)))
+    return rounded(rounded(ensemble.ensemble_stats(predictions(spark, d)), 9, "e_min", "e_max"), 4, "e_mean", "e_std")
 
 
-@query(f"SELECT l_partkey AS sid, {_r('max(CASE WHEN l_suppkey % 4 = 0 THEN l_extendedprice/l_quantity END)')} AS energy, {_r('stddev_pop(l_extendedprice/l_quantity)')} AS e_std FROM lineitem GROUP BY l_partkey")
+@query(f"SELECT l_partkey AS sid, {_r('max(CASE WHEN l_suppkey % 4 = 0 THEN l_extendedprice/l_quantity END)', 9)} AS energy, {_r('stddev_pop(l_extendedprice/l_quantity)')} AS e_std FROM lineitem GROUP BY l_partkey")
 def ensemble_reference(spark, d):
-    return rounded(ensemble.ensemble_reference(predictions(spark, d), 0))
+    return rounded(rounded(ensemble.ensemble_reference(predictions(spark, d), 0), 9, "energy"), 4, "e_std")
 
 
 @query(f"SELECT sid, {_r('e_std')} AS e_std FROM (SELECT l_partkey AS sid, stddev_pop(l_extendedprice/l_quantity) AS e_std FROM lineitem GROUP BY l_partkey) ORDER BY round(e_std, 4) DESC, sid LIMIT 10")
@@ -137,14 +137,14 @@ def composition_key_count(spark, d):
     return energies.composition_key(atoms(spark, d)).groupBy("key").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {_STRUCTURES} SELECT sid, {_r('energy')} AS energy, n_atoms, {_r('e_ref')} AS e_ref FROM s")
+@query(f"WITH {_STRUCTURES} SELECT sid, {_r('energy', 6)} AS energy, n_atoms, {_r('e_ref', 6)} AS e_ref FROM s")
 def referenced_energy(spark, d):
-    return rounded(energies.referenced_energy(structures(spark, d), atoms(spark, d), REFERENCE))
+    return rounded(energies.referenced_energy(structures(spark, d), atoms(spark, d), REFERENCE), 6)
 
 
-@query(f"WITH {_STRUCTURES} SELECT sid, {_r('e_ref')} AS e_ref FROM s WHERE e_ref <= 20000")
+@query(f"WITH {_STRUCTURES} SELECT sid, {_r('e_ref', 6)} AS e_ref FROM s WHERE e_ref <= 20000")
 def energy_filter(spark, d):
-    return rounded(energies.energy_filter(energies.referenced_energy(structures(spark, d), atoms(spark, d), REFERENCE), 20000.0).select("sid", "e_ref"))
+    return rounded(energies.energy_filter(energies.referenced_energy(structures(spark, d), atoms(spark, d), REFERENCE), 20000.0).select("sid", "e_ref"), 6)
 
 
 @query("SELECT o_orderkey AS sid FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING max(greatest(abs(l_quantity), abs(l_discount), abs(l_tax))) > 40)")
@@ -153,9 +153,9 @@ def force_filter(spark, d):
     return energies.force_filter(structures(spark, d), forces, 40.0).select("sid")
 
 
-@query(f"WITH {_STRUCTURES} SELECT count(*) AS n_structures, CAST(sum(n_atoms) AS BIGINT) AS n_atoms, {_r('min(e_ref)')} AS e_min, {_r('max(e_ref)')} AS e_max, {_r('avg(e_ref)')} AS e_av, {_r('(max(e_ref) + min(e_ref)) / 2')} AS shift, {_r('2 / (max(e_ref) - min(e_ref))', 9)} AS scale FROM s")
+@query(f"WITH {_STRUCTURES} SELECT count(*) AS n_structures, CAST(sum(n_atoms) AS BIGINT) AS n_atoms, {_r('min(e_ref)', 6)} AS e_min, {_r('max(e_ref)', 6)} AS e_max, {_r('avg(e_ref)', 5)} AS e_av, {_r('(max(e_ref) + min(e_ref)) / 2', 7)} AS shift, {_r('2 / (max(e_ref) - min(e_ref))', 9)} AS scale FROM s")
 def trainset_header(spark, d):
-    return rounded(rounded(energies.trainset_header(energies.referenced_energy(structures(spark, d), atoms(spark, d), REFERENCE)), 9, "scale"), 4, "e_min", "e_max", "e_av", "shift")
+    return rounded(rounded(rounded(rounded(energies.trainset_header(energies.referenced_energy(structures(spark, d), atoms(spark, d), REFERENCE)), 9, "scale", "shift"), 6, "e_min", "e_max"), 5, "e_av"), 7, "shift")
 
 
 @query(f"SELECT o_orderkey AS sid, {_r('1 / (1 + (o_totalprice - lo) / (hi - lo))', 6)} AS weight FROM orders, (SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders)")
@@ -204,7 +204,7 @@ def neighbor_edges(spark, d):
     return rounded(edges(spark, d).select("sid", "i", "j", "d"), 6)
 
 
-@query(f"WITH {_PAIRS} SELECT a.sid, a.aid AS i, count(e.d) AS n FROM a LEFT JOIN e ON a.sid = e.sid AND a.aid = e.i GROUP BY a.sid, a.aid")
+@query(f"WITH {_PAIRS} SELECT a.sid, a.aid AS i, coalesce(n, 0) AS n FROM a LEFT JOIN (SELECT sid, i, count(*) AS n FROM e GROUP BY sid, i) c ON a.sid = c.sid AND a.aid = c.i")
 def neighbor_counts(spark, d):
     return spatial.neighbor_counts(atoms(spark, d), edges(spark, d))
 
