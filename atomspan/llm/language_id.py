@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 from ._text import blocks
 
 #: Letters of training text a language, of all languages together, and rows a language from which they are taken.
-TRAIN_CHARS, TRAIN_CHARS_ALL, TRAIN_ROWS = 1 << 16, 1 << 20, 300
+TRAIN_CHARS, TRAIN_CHARS_ALL, TRAIN_ROWS = 1 << 15, 1 << 19, 300
 #: Longer rows are not taken for training, so that a sample holds many rows.
 TRAIN_ROW_CHARS = 8192
 LANE = 512
@@ -84,16 +84,18 @@ def automaton(codes: list[int]) -> np.ndarray:
     order = np.argsort(np.array(length), kind="stable")  # states near the root lie together
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
-    table = np.full((len(nxt), _CLASSES), -1, np.int64)
+    table = np.full((len(nxt), _CLASSES), -1, np.int32)
     rows = np.repeat(place, [len(d) for d in nxt])
     table[rows, np.fromiter((c for d in nxt for c in d), np.int64)] = place[np.fromiter((v for d in nxt for v in d.values()), np.int64)]
     root = table[0].copy()
     known = table >= 0
     restart = np.where(root >= 0, root * _CLASSES + (1 << _SHIFT), 1 << _SHIFT)
     unknown = root < 0
-    table = np.where(known, table * _CLASSES, restart[None, :] + np.where(unknown[None, :] & (np.arange(len(nxt)) > 0)[:, None], 1 << _SHIFT, 0))
+    table *= _CLASSES
+    table[~known] = np.broadcast_to((restart + np.where(unknown, 1 << _SHIFT, 0)).astype(np.int32), table.shape)[~known]
+    table[0] = np.where(known[0], table[0], restart)
     table[:, _PAD] = np.arange(len(nxt)) * _CLASSES
-    return table.astype(np.int32).ravel()
+    return table.ravel()
 
 
 class Model:
@@ -208,8 +210,8 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     return Model({k: " ".join(v) for k, v in texts.items()})
 
 
-def detect(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``df`` without ``text``, with lang_pred, lang_score (0 to 1) and lang_bits; for each row, one row.
+def detect(df: DataFrame, model: Model, text: str = "text", keep_text: bool = False) -> DataFrame:
+    """``df``, its ``text`` last or left out, with lang_pred, lang_score (0 to 1) and lang_bits; for each row, one row.
 
     A null text and one without a letter give ``und``, score 0 and null bits. Equal scores go to the first language by
     name. Columns of ``df`` called lang_pred, lang_score or lang_bits are replaced.
@@ -224,18 +226,14 @@ def detect(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     def run(batches):
         m = sent.value
         for batch in batches:
-            langs, scores, bits = [], [], []
-            for _, _, data, offsets in blocks(batch.column(batch.num_columns - 1)):
-                a, b, c = m.predict(data, offsets)
-                langs += a
-                scores.append(b)
-                bits.append(c)
-            none = [np.zeros(0)]
-            bits = np.concatenate(bits or none)
-            columns = [*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(np.concatenate(scores or none)), pa.array(bits, mask=np.isnan(bits))]
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], *made])
-
-    schema = df.select(*[F.col(f"`{n}`") for n in names]).schema.add("lang_pred", "string").add("lang_score", "double").add("lang_bits", "double")
+            passed = batch.columns if keep_text else batch.columns[:-1]
+            for i, j, data, offsets in blocks(batch.column(batch.num_columns - 1)):
+                langs, scores, bits = m.predict(data, offsets)
+                columns = [*[c.slice(i, j - i) for c in passed], pa.array(langs, pa.string()), pa.array(scores), pa.array(bits, mask=np.isnan(bits))]
+                yield pa.RecordBatch.from_arrays(columns, names=[*schema.names])
+
+    back = [F.col(f"`{n}`") for n in names] + ([F.col(text).cast("string").alias(text)] if keep_text else [])
+    schema = df.select(*back).schema.add("lang_pred", "string").add("lang_score", "double").add("lang_bits", "double")
     return df.select(*[F.col(f"`{n}`") for n in names], F.col(text).cast("string").alias("__text")).mapInArrow(run, schema)
 
 

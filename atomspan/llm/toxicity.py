@@ -26,6 +26,8 @@ BUCKETS, DIM, FILTERS, WIDTHS, HEADS = 1 << 20, 8, 8, (1, 2, 3), (4, 5, 6)
 TRAIN_ROWS, TRAIN_CHARS = 3000, 24_000_000
 #: A language gets a threshold of its own if the calibration part has so many rows of each label in it.
 CALIBRATE_ROWS = 20
+#: Rows of the language table.
+LANG_BUCKETS = 1 << 16
 _SALT = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -44,7 +46,7 @@ class Model:
     weight: np.ndarray
     offset: float
     langs: list[str]
-    lang_table: np.ndarray  # (BUCKETS, languages)
+    lang_table: np.ndarray  # (LANG_BUCKETS, languages)
     lang_prior: np.ndarray
     cut: np.ndarray  # by language, then for all others: the logit of the threshold
 
@@ -79,7 +81,7 @@ class Model:
             first = np.append(at[:-1][full], len(ids))
             pooled[full] = np.concatenate([np.maximum.reduceat(z, first[:-1], axis=0) for z in self.convolve(ids, first)], axis=1)
             if self.langs:
-                guess[full] = (np.add.reduceat(self.lang_table[ids[:, 0]], first[:-1], axis=0) + self.lang_prior).argmax(1)
+                guess[full] = (np.add.reduceat(self.lang_table[ids[:, 0] % LANG_BUCKETS], first[:-1], axis=0) + self.lang_prior).argmax(1)
         raw = pooled.astype(np.float64) @ self.weight + self.offset
         return raw - self.cut[guess], guess
 
@@ -89,12 +91,12 @@ def _train(ids: list[np.ndarray], y: np.ndarray, langs: list[str | None], epochs
     n = len(ids)
     part = np.arange(n) % 5 == 4  # calibration
     names = sorted({x for x in langs if x is not None})
-    table = np.full((BUCKETS, len(names)), 0.1)
+    table = np.full((LANG_BUCKETS, len(names)), 0.1)
     prior = np.full(len(names), 0.5)
     seen = np.full((2, BUCKETS), 0.5)
     for i, (words, lang) in enumerate(zip(ids, langs, strict=True)):
         if lang is not None:
-            np.add.at(table[:, names.index(lang)], words[:, 0], 1)
+            np.add.at(table[:, names.index(lang)], words[:, 0] % LANG_BUCKETS, 1)
             prior[names.index(lang)] += 1
         if not part[i]:
             seen[int(y[i])][np.unique(words)] += 1
@@ -181,7 +183,7 @@ def _calibrate(model: Model, ids: list[np.ndarray], y: np.ndarray, rows: np.ndar
         first = np.array([0, len(ids[i])])
         pooled = np.concatenate([z.max(0) for z in model.convolve(ids[i], first)])
         raw[k] = pooled @ model.weight + model.offset
-        guess[k] = (model.lang_table[ids[i][:, 0]].sum(0) + model.lang_prior).argmax() if model.langs else 0
+        guess[k] = (model.lang_table[ids[i][:, 0] % LANG_BUCKETS].sum(0) + model.lang_prior).argmax() if model.langs else 0
     model.cut[:] = _best_cut(raw, y[rows])
     for g in range(len(model.langs)):
         own = guess == g
@@ -233,8 +235,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     return _train(ids, np.array(y, float), langs)
 
 
-def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``df`` without ``text``, with tox_score (0 to 1) and tox_lang; one row for each row.
+def score(df: DataFrame, model: Model, text: str = "text", keep_text: bool = False) -> DataFrame:
+    """``df``, its ``text`` last or left out, with tox_score (0 to 1) and tox_lang; one row for each row.
 
     tox_score >= 0.5 marks a text as toxic under its language's threshold. Null and empty texts and texts without a
     word get the score of no evidence. Columns of ``df`` called tox_score or tox_lang are replaced.
@@ -249,11 +251,11 @@ def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
         m = sent.value
         langs = np.array([*m.langs, None], object)
         for batch in batches:
-            out, guess = [np.zeros(0)], [np.zeros(0, int)]
-            for _, _, data, offsets in blocks(batch.column(batch.num_columns - 1)):
-                z, g = m.logits(data, offsets)
-                out.append(1 / (1 + np.exp(-np.clip(z, -500, 500))))
-                guess.append(g)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.concatenate(out)), pa.array(langs[np.concatenate(guess)], pa.string())], names=[*batch.schema.names[:-1], *made])
-
-    return df.select(*[F.col(f"`{n}`") for n in names], F.col(text).cast("string").alias("__text")).mapInArrow(run, kept.schema.add("tox_score", "double").add("tox_lang", "string"))
+            passed = batch.columns if keep_text else batch.columns[:-1]
+            for i, j, data, offsets in blocks(batch.column(batch.num_columns - 1)):
+                z, guess = m.logits(data, offsets)
+                columns = [*[c.slice(i, j - i) for c in passed], pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500)))), pa.array(langs[guess], pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, names=[*schema.names])
+
+    schema = (df.select(*[F.col(f"`{n}`") for n in names], F.col(text).cast("string").alias(text)) if keep_text else kept).schema.add("tox_score", "double").add("tox_lang", "string")
+    return df.select(*[F.col(f"`{n}`") for n in names], F.col(text).cast("string").alias("__text")).mapInArrow(run, schema)

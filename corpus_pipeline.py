@@ -20,7 +20,7 @@ def _as(docs: DataFrame) -> list:
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that is recognised; those without a letter or near to no language go."""
     model = language_id.fit(docs.where(crc_mod("doc_id", 4) != 2))
-    found = language_id.detect(docs.withColumn("__whole", F.col("text")), model, "__whole")
+    found = language_id.detect(docs, model, keep_text=True)
     return found.where((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("lang_score") >= LEAST_LANGUAGE_SCORE)).select(*_as(docs))
 
 
@@ -28,7 +28,7 @@ def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Documents that the classifier, learnt from ``labels``, doesn't take for toxic."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.fit(docs, labels.where(crc_mod("doc_id", 5) != 0))
-    return toxicity.score(docs.withColumn("__whole", F.col("text")), model, "__whole").where("tox_score < 0.5").select(*_as(docs))
+    return toxicity.score(docs, model, keep_text=True).where("tox_score < 0.5").select(*_as(docs))
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
