@@ -62,6 +62,11 @@ def _long(scores: np.ndarray) -> np.ndarray:
     return scores.astype(np.int64)
 
 
+def _float(scores: np.ndarray) -> np.ndarray:
+    """For an order only: what is beyond 1e300 becomes that."""
+    return np.clip(scores, -(10**300), 10**300).astype(np.float64)
+
+
 class _Best:
     """The k best (score, then smaller id) of each query so far; an id counts once with its best score."""
 
@@ -103,7 +108,7 @@ def _gather(queries, k):
                 total = _long(sum(parts[1:], parts[0]))
                 own = names[:, None] == vec[None, :]
                 for part in parts:
-                    part = part.astype(np.float64)
+                    part = _float(part)
                     part[own] = -np.inf
                     m = min(k, len(vec))
                     top = np.argpartition(-part, m - 1, axis=1)[:, :m]
