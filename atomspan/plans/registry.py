@@ -469,3 +469,36 @@ def diameter(spark, d):
 def epoch_metrics(spark, d):
     batch = table(spark, d, "events").where("value is not null").groupBy("user_id", "event_type").agg(F.sqrt(F.avg(F.col("value") * F.col("value"))).alias("rmse"), F.avg(F.abs("value")).alias("mae"))
     return rounded(batch.groupBy("user_id").agg(F.avg("rmse").alias("rmse"), F.avg("mae").alias("mae")))
+
+
+# Networks
+
+
+def _networks(n: int) -> dict:
+    import numpy as np
+
+    r = np.random.default_rng(0)
+    return {s: [(r.normal(size=(n, 5)), r.normal(size=5), "tanh"), (r.normal(size=(5, 1)), r.normal(size=1), "linear")] for s in SPINS}
+
+
+def _with_energies(spark, d):
+    from ..operators import network
+
+    a = atoms(spark, d).dropDuplicates(["sid", "aid"])
+    found = spatial.edges(a, CUTOFF)
+    return network.atom_energies(spatial.descriptors(a, found, 8.0, 2, 8.0, 1, SPINS, 0.01), _networks(10)), found
+
+
+@query()
+def network_energies(spark, d):
+    from ..operators import network
+
+    return network.energies(_with_energies(spark, d)[0])
+
+
+@query()
+def network_forces(spark, d):
+    from ..operators import network
+
+    a, found = _with_energies(spark, d)
+    return network.forces(a, network.gradients(found, 8.0, 2, 8.0, 1, SPINS, 0.01))
