@@ -80,13 +80,15 @@ def link(df: DataFrame, conv: str = "conv_id", turn: str = "turn", text: str = "
 def threads(links: DataFrame) -> DataFrame:
     """``links`` with ``root``, the turn a chain of replies leads back to, and ``depth``, its length.
 
-    A chain is halved in each round, so there are as many rounds as the logarithm of the longest one.
+    A chain is halved in each round, so there are as many rounds as the logarithm of the longest one; only turns whose chain
+    has not ended are joined again.
     """
     now = stored(links.withColumn("up", F.col("parent")).withColumn("depth", F.when(F.col("parent").isNull(), F.lit(0)).otherwise(F.lit(1))).withColumn("root", F.coalesce("parent", "turn")), "threads")
     while now.where("up is not null").limit(1).count():
         above = now.select(F.col("conv").alias("conv"), F.col("turn").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("d2"), F.col("root").alias("r2"))
-        met = now.join(above, ["conv", "up"], "left")
-        now = stored(met.select("conv", "turn", "parent", "quoted", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth"), F.coalesce("r2", "root").alias("root")), "threads")
+        done, going = now.where("up is null"), now.where("up is not null")
+        met = going.join(above, ["conv", "up"], "left")
+        now = stored(done.unionByName(met.select("conv", "turn", "parent", "quoted", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth"), F.coalesce("r2", "root").alias("root"))), "threads")
     return now.drop("up")
 
 
