@@ -6,8 +6,9 @@ estimates the cross entropy in bits a letter; the language with the smallest est
 
 Longest matches come from a suffix automaton of each language's training text. A phrase always starts at the
 automaton's root, so the automaton is stored as one dense table whose missing transitions already hold the restart:
-a parse is one table look-up a letter, and many parses advance together in numpy lanes. Long texts are cut into lanes
-of ``LANE`` letters; a cut ends a phrase, alike for every language.
+a parse is one table look-up a letter, and many parses advance together in numpy lanes. Every letter of a training text
+is a symbol of its own: the most frequent ones of the language have a column, transitions by the others are found in a
+sorted list. Long texts are cut into lanes of ``LANE`` letters; a cut ends a phrase, alike for every language.
 
 Texts are lower-cased letter by letter; a run of anything else counts as one space.
 """
@@ -18,6 +19,7 @@ import hashlib
 import math
 from collections import Counter
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +35,7 @@ LANE = 512
 UNDETERMINED = "und"
 
 _PAD, _SPACE, _OTHER, _FIRST = 0, 1, 2, 3
+#: Columns of a table at most; further letters of a language have sparse transitions.
 _CLASSES = 64
 _SHIFT = 29
 
@@ -51,11 +54,30 @@ def _letters() -> tuple[np.ndarray, np.ndarray]:
     return alpha, lower
 
 
-def automaton(codes: list[int]) -> np.ndarray:
-    """Parsing table of a text's suffix automaton.
+class Automaton(NamedTuple):
+    """Parsing table of a text's suffix automaton, whose rows have ``width`` columns.
 
-    Row s, column c: next state times the row length, plus 2**29 for each phrase that ends by reading c in state s.
+    Row s, column c: next state times ``width``, plus 2**29 for each phrase that ends by reading c in state s. Letters
+    without a column are numbered from 0 to ``n_rare``; ``keys`` holds state * n_rare + letter of their transitions in
+    order, ``values`` the next state times ``width``, and ``restart`` for each letter the value where there is none.
     """
+
+    width: int
+    table: np.ndarray
+    n_rare: int
+    keys: np.ndarray
+    values: np.ndarray
+    restart: np.ndarray
+
+    def rare(self, state: np.ndarray, letter: np.ndarray) -> np.ndarray:
+        """Values of reading letters without a column in states, given as state times ``width``."""
+        key = state.astype(np.int64) // self.width * self.n_rare + letter
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.values[at], self.restart[letter])
+
+
+def automaton(codes: list[int], width: int) -> Automaton:
+    """Of a text in columns below ``width`` and, from there on, letters without a column."""
     nxt: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for c in codes:
@@ -84,18 +106,27 @@ def automaton(codes: list[int]) -> np.ndarray:
     order = np.argsort(np.array(length), kind="stable")  # states near the root lie together
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
-    table = np.full((len(nxt), _CLASSES), -1, np.int32)
     rows = np.repeat(place, [len(d) for d in nxt])
-    table[rows, np.fromiter((c for d in nxt for c in d), np.int64)] = place[np.fromiter((v for d in nxt for v in d.values()), np.int64)]
+    letter = np.fromiter((c for d in nxt for c in d), np.int64)
+    target = place[np.fromiter((v for d in nxt for v in d.values()), np.int64)]
+    dense = letter < width
+    table = np.full((len(nxt), width), -1, np.int32)
+    table[rows[dense], letter[dense]] = target[dense]
     root = table[0].copy()
     known = table >= 0
-    restart = np.where(root >= 0, root * _CLASSES + (1 << _SHIFT), 1 << _SHIFT)
+    restart = np.where(root >= 0, root * width + (1 << _SHIFT), 1 << _SHIFT)
     unknown = root < 0
-    table *= _CLASSES
+    table *= width
     table[~known] = np.broadcast_to((restart + np.where(unknown, 1 << _SHIFT, 0)).astype(np.int32), table.shape)[~known]
     table[0] = np.where(known[0], table[0], restart)
-    table[:, _PAD] = np.arange(len(nxt)) * _CLASSES
-    return table.ravel()
+    table[:, _PAD] = np.arange(len(nxt)) * width
+    # Every letter of the text leaves the root, so one without a column ends at most the phrase before it.
+    n_rare = int(max(letter, default=0)) + 1 - width if not dense.all() else 0
+    keys = rows[~dense] * n_rare + letter[~dense] - width
+    order = np.argsort(keys)
+    values = (target[~dense] * width).astype(np.int32)[order]
+    first = values[:n_rare] + np.int32(1 << _SHIFT)
+    return Automaton(width, table.ravel(), n_rare, keys[order], values, first)
 
 
 class Model:
@@ -106,33 +137,37 @@ class Model:
         self.texts = [texts[k] for k in self.langs]
         self.key = hashlib.sha256(repr(list(zip(self.langs, self.texts, strict=True))).encode()).hexdigest()
 
-    def tables(self) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    def tables(self) -> tuple[np.ndarray, list[tuple[Automaton, np.ndarray]], np.ndarray]:
+        """Symbol of each code point; each language's automaton and its column for each symbol; log2 of their lengths."""
         if _built.get("key") != self.key:
             alpha, lower = _letters()
             points = [np.frombuffer(t.encode("utf-32-le"), np.uint32) for t in self.texts]
-            seen = Counter(np.concatenate([lower[p[alpha[p]]] for p in points] or [np.zeros(0, np.int32)]).tolist())
-            top = [c for c, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[: _CLASSES - _FIRST]]
-            of = np.full(0x110000, _OTHER, np.uint8)
-            of[top] = np.arange(_FIRST, _FIRST + len(top))
-            classes = np.where(alpha, of[lower], np.uint8(_SPACE))
+            seen = np.unique(np.concatenate([lower[p[alpha[p]]] for p in points] or [np.zeros(0, np.int32)]))
+            of = np.full(0x110000, _OTHER, np.min_scalar_type(_FIRST + len(seen)))
+            of[seen] = np.arange(_FIRST, _FIRST + len(seen))
+            symbols = np.where(alpha, of[lower], of.dtype.type(_SPACE))
             automata, sizes = [], []
             for p in points:
-                codes = classes[p]
+                codes = symbols[p]
                 codes = codes[(codes != _SPACE) | (np.concatenate([[0], codes[:-1]]) != _SPACE)]
-                codes = codes[codes != _OTHER]
-                automata.append(automaton(codes.tolist()))
+                own, times = np.unique(codes[codes >= _FIRST], return_counts=True)
+                own = own[np.argsort(-times, kind="stable")]
+                column = np.full(_FIRST + len(seen), _OTHER, np.int32)
+                column[[_PAD, _SPACE]] = _PAD, _SPACE
+                column[own] = np.arange(_FIRST, _FIRST + len(own))
+                automata.append((automaton(column[codes].tolist(), min(_CLASSES, _FIRST + len(own))), column))
                 sizes.append(max(2, len(codes)))
-            _built.update(key=self.key, tables=(classes, automata, np.log2(np.array(sizes, float))))
+            _built.update(key=self.key, tables=(symbols, automata, np.log2(np.array(sizes, float))))
         return _built["tables"]
 
     def phrases(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of documents in a block: phrases by language, letters and spaces read, whether there is a letter."""
-        classes, automata, _ = self.tables()
+        symbols, automata, _ = self.tables()
         n = len(offsets) - 1
         at = np.zeros(len(data) + 1, np.int64)
         np.cumsum((data & 0xC0) != 0x80, out=at[1:])
         points = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
-        codes, first = classes[points], at[offsets]
+        codes, first = symbols[points], at[offsets]
         keep = codes != _SPACE
         keep[1:] |= codes[:-1] != _SPACE
         keep[first[:-1][first[:-1] < len(codes)]] = True
@@ -153,13 +188,21 @@ class Model:
             order = np.argsort(start - stop, kind="stable")  # longest first
             start, stop, doc = start[order], stop[order], doc[order]
             running = np.searchsorted(start - stop, -steps, "left")  # lanes longer than each step
-            padded = np.concatenate([codes, np.zeros(LANE, np.uint8)])
-            letters = [padded[start[: running[t]] + t].astype(np.int32) for t in range(LANE) if running[t]]
+            padded = np.concatenate([codes, np.zeros(LANE, codes.dtype)])
+            letters = [padded[start[: running[t]] + t] for t in range(LANE) if running[t]]
             mask = np.int32((1 << _SHIFT) - 1)
-            for k, table in enumerate(automata):
+            for k, (auto, column) in enumerate(automata):
                 state, count = np.zeros(len(doc), np.int32), np.zeros(len(doc), np.int32)
+                beyond = auto.n_rare > 0 and bool((column[codes] >= auto.width).any())
                 for c in letters:
-                    v = table[state[: len(c)] + c]
+                    c = column[c]
+                    far = np.flatnonzero(c >= auto.width) if beyond else ()
+                    if len(far):
+                        found = auto.rare(state[far], c[far] - auto.width)
+                        c[far] = _OTHER
+                    v = auto.table[state[: len(c)] + c]
+                    if len(far):
+                        v[far] = found
                     count[: len(c)] += v >> _SHIFT
                     state[: len(c)] = v & mask
                 total[k] = np.bincount(doc, weights=count + (state > 0), minlength=n)

@@ -60,6 +60,23 @@ def test_cross_parsing_equals_brute_force():
         assert list(model.phrases(raw, np.array([0, len(raw)]))[0][:, 0]) == [parse(t, train[k]) for k in "ab"]
 
 
+def test_letters_without_a_column_are_parsed_alike():
+    r = random.Random(9)
+    # Letters far more than columns, Zipf-like, some of them in both languages.
+    say = lambda lo, n: "".join(" " if r.random() < 0.1 else chr(lo + min(int(r.paretovariate(0.6)), 1500)) for _ in range(n)).strip()
+    squeeze = lambda t: re.sub(" +", " ", t).strip()
+    train = {"han": squeeze(say(0x4E00, 3000)), "hangul": squeeze(say(0xAC00, 3000)), "mixed": squeeze(say(0x5000, 3000) + " the dog")}
+    assert all(len(set(t)) > 2 * language_id._CLASSES for t in train.values())
+    model = language_id.Model(train)
+    for lo, name in ((0x4E00, "han"), (0xAC00, "hangul"), (0x5000, "mixed")):
+        texts = [squeeze(say(lo, 60)) for _ in range(30)]
+        raw = [t.encode() for t in texts]
+        data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+        got = model.phrases(data, offsets)[0]
+        assert got.T.tolist() == [[parse(t, train[k]) for k in model.langs] for t in texts]
+        assert set(model.predict(data, offsets)[0]) == {name}
+
+
 def test_language_of_odd_rows(spark):
     rows = docs(spark, [(1, "der hund und die katze", "de"), (2, "the dog and the cat", "en"), (3, None, "en"), (4, "der hund", None), (None, "the cat", "en"), (2, "the dog and the cat", "en"), *[(10 + i, t, None) for i, t in enumerate(ODD)]])
     clash = rows.withColumn("lang_pred", F.lit("x")).withColumn("score", F.lit(0))
