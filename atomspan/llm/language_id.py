@@ -2,7 +2,9 @@
 
 A text is parsed, against the training text of each language, into the longest phrases that occur in that training
 text (Ziv-Merhav cross-parsing). The number of phrases times log2 of the training length, over the text's length,
-estimates the cross entropy in bits a letter; the language with the smallest estimate wins.
+estimates the cross entropy in bits a letter; the language with the smallest estimate wins. A phrase costs no less than
+log2 of the number of letters that all languages have, and a letter that the training text lacks costs as much again, so
+that a short training text is not cheap.
 
 Longest matches come from a suffix automaton of each language's training text. A phrase always starts at the
 automaton's root, so the automaton is stored as one dense table whose missing transitions already hold the restart:
@@ -29,7 +31,7 @@ from ._text import blocks
 
 #: Letters of training text a language, of all languages together, and rows a language from which they are taken.
 TRAIN_CHARS, TRAIN_CHARS_ALL, TRAIN_ROWS = 1 << 15, 1 << 19, 300
-#: Longer rows are not taken for training, so that a sample holds many rows.
+#: Of longer rows a piece of this length is taken for training, so that a sample holds several rows.
 TRAIN_ROW_CHARS = 8192
 LANE = 512
 UNDETERMINED = "und"
@@ -137,8 +139,9 @@ class Model:
         self.texts = [texts[k] for k in self.langs]
         self.key = hashlib.sha256(repr(list(zip(self.langs, self.texts, strict=True))).encode()).hexdigest()
 
-    def tables(self) -> tuple[np.ndarray, list[tuple[Automaton, np.ndarray]], np.ndarray]:
-        """Symbol of each code point; each language's automaton and its column for each symbol; log2 of their lengths."""
+    def tables(self) -> tuple[np.ndarray, list[tuple[Automaton, np.ndarray]], np.ndarray, float]:
+        """Symbol of each code point; each language's automaton and its column for each symbol; bits of a phrase in each,
+        and of a letter that a training text lacks."""
         if _built.get("key") != self.key:
             alpha, lower = _letters()
             points = [np.frombuffer(t.encode("utf-32-le"), np.uint32) for t in self.texts]
@@ -153,16 +156,18 @@ class Model:
                 own, times = np.unique(codes[codes >= _FIRST], return_counts=True)
                 own = own[np.argsort(-times, kind="stable")]
                 column = np.full(_FIRST + len(seen), _OTHER, np.int32)
-                column[[_PAD, _SPACE]] = _PAD, _SPACE
+                column[[_PAD, _SPACE]] = _PAD, _SPACE if (codes == _SPACE).any() else _OTHER
                 column[own] = np.arange(_FIRST, _FIRST + len(own))
                 automata.append((automaton(column[codes].tolist(), min(_CLASSES, _FIRST + len(own))), column))
-                sizes.append(max(2, len(codes)))
-            _built.update(key=self.key, tables=(symbols, automata, np.log2(np.array(sizes, float))))
+                sizes.append(len(codes))
+            least = len(seen) + 2  # the letters, the space and any other letter
+            _built.update(key=self.key, tables=(symbols, automata, np.log2(np.maximum(sizes, least)), math.log2(least)))
         return _built["tables"]
 
-    def phrases(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of documents in a block: phrases by language, letters and spaces read, whether there is a letter."""
-        symbols, automata, _ = self.tables()
+    def phrases(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of documents in a block: phrases by language, letters and spaces read, whether there is a letter, and by language
+        the letters and spaces that its training text lacks."""
+        symbols, automata, *_ = self.tables()
         n = len(offsets) - 1
         at = np.zeros(len(data) + 1, np.int64)
         np.cumsum((data & 0xC0) != 0x80, out=at[1:])
@@ -182,7 +187,7 @@ class Model:
         doc = np.repeat(np.arange(n), lanes)
         start = first[:-1][doc] + (np.arange(len(doc)) - np.repeat(np.cumsum(lanes) - lanes, lanes)) * LANE
         stop = np.minimum(start + LANE, first[1:][doc])
-        total = np.zeros((len(automata), n), np.int64)
+        total, lacking = np.zeros((2, len(automata), n), np.int64)
         if len(doc):
             steps = np.arange(LANE)
             order = np.argsort(start - stop, kind="stable")  # longest first
@@ -193,7 +198,9 @@ class Model:
             mask = np.int32((1 << _SHIFT) - 1)
             for k, (auto, column) in enumerate(automata):
                 state, count = np.zeros(len(doc), np.int32), np.zeros(len(doc), np.int32)
-                beyond = auto.n_rare > 0 and bool((column[codes] >= auto.width).any())
+                own = column[codes]
+                lacking[k] = np.bincount(np.searchsorted(first, np.flatnonzero(own == _OTHER), "right") - 1, minlength=n)
+                beyond = auto.n_rare > 0 and bool((own >= auto.width).any())
                 for c in letters:
                     c = column[c]
                     far = np.flatnonzero(c >= auto.width) if beyond else ()
@@ -206,15 +213,16 @@ class Model:
                     count[: len(c)] += v >> _SHIFT
                     state[: len(c)] = v & mask
                 total[k] = np.bincount(doc, weights=count + (state > 0), minlength=n)
-        return total, size, has_letter
+        return total, size, has_letter, lacking
 
     def predict(self, data: np.ndarray, offsets: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, score and bits a letter of each document in a block."""
         n = len(offsets) - 1
         if not self.langs or not len(data):
             return [UNDETERMINED] * n, np.zeros(n), np.full(n, np.nan)
-        total, size, has_letter = self.phrases(data, offsets)
-        bits = total * self.tables()[2][:, None] / np.maximum(size, 1)
+        total, size, has_letter, lacking = self.phrases(data, offsets)
+        _, _, phrase, literal = self.tables()
+        bits = (total * phrase[:, None] + lacking * literal) / np.maximum(size, 1)
         best = bits.argmin(0)  # ties: the first language in alphabetical order
         low = bits.min(0)
         rest = bits.copy()
@@ -232,17 +240,22 @@ _built: dict = {}
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     """A model from rows with a text and a language.
 
-    Takes a sample of at most TRAIN_ROWS rows a language (in expectation; drawn by a hash of the text, so copies count
-    once), and from it at most TRAIN_CHARS characters a language, TRAIN_CHARS_ALL together. Rows whose language or
-    text is null are left out. A table without such rows gives a model that answers ``und``.
+    Takes a sample of at most TRAIN_ROWS distinct texts a language (in expectation; drawn by a hash of the text, so copies
+    count once), and from it at most TRAIN_CHARS characters a language, TRAIN_CHARS_ALL together; of a text longer than
+    TRAIN_ROW_CHARS a piece from anywhere in it. Rows whose language or text is null or that have no letter are left out.
+    A table without such rows gives a model that answers ``und``.
     """
-    rows = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    letter = r"\p{L}"
+    rows = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null").where(F.col("text").rlike(letter)).withColumn("x", F.xxhash64("text"))
+    counts = {r["lang"]: max(1, r["n"]) for r in rows.groupBy("lang").agg(F.approx_count_distinct("x").alias("n")).collect()}
     if not counts:
         return Model({})
     share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, TRAIN_ROWS / n))) for k, n in counts.items()])
-    drawn = F.pmod(F.xxhash64("text"), F.lit(1 << 40)).alias("h")
-    sample = rows.where(F.length("text") <= TRAIN_ROW_CHARS).withColumn("h", drawn).where(F.col("h") < share * (1 << 40)).distinct()
+    drawn = rows.withColumn("h", F.pmod("x", F.lit(1 << 40))).where(F.col("h") < share * (1 << 40))
+    at = F.pmod(F.xxhash64("x"), F.length("text") - TRAIN_ROW_CHARS + 1).cast("int") + 1
+    piece = F.col("text").substr(at, F.lit(TRAIN_ROW_CHARS))
+    piece = F.when(piece.rlike(letter), piece).otherwise(F.regexp_extract("text", rf"(?s){letter}.{{0,{TRAIN_ROW_CHARS - 1}}}", 0))
+    sample = drawn.select(F.when(F.length("text") <= TRAIN_ROW_CHARS, F.col("text")).otherwise(piece).alias("text"), "lang", "h").distinct()
     budget = min(TRAIN_CHARS, max(1024, TRAIN_CHARS_ALL // len(counts)))
     texts: dict[str, list[str]] = {}
     used: Counter = Counter()
@@ -287,4 +300,4 @@ def crc_mod(column: str, m: int):
 
 def bits_of_chance(model: Model) -> float:
     """Bits a letter beyond which a text is parsed no better than letter by letter."""
-    return max((math.log2(max(2, len(t))) for t in model.texts), default=0.0)
+    return float(max(model.tables()[2], default=0.0))

@@ -90,6 +90,23 @@ def test_language_of_odd_rows(spark):
     assert language_id.detect(rows.limit(0), nothing).count() == 0
 
 
+def test_long_rows_copies_and_short_training_texts(spark):
+    r = random.Random(10)
+    word = lambda a: "".join(r.choice(a) for _ in range(r.randrange(2, 7)))
+    vocabulary = {k: [word(a) for _ in range(60)] for k, a in (("long", "abcdefgh"), ("copied", "abcdwxyz"), ("plain", "efghijkl"))}
+    say = lambda k, n: " ".join(r.choice(vocabulary[k]) for _ in range(n))
+    rows = [(say("long", 3000), "long") for _ in range(8)] + [(say("plain", 60), "plain") for _ in range(40)]
+    rows += [(say("copied", 60), "copied") for _ in range(40)] + [("abcd wxyz", "copied")] * 6000
+    rows += [("0" * 9000 + "ok", "short"), ("1 2 3", "none")]
+    model = language_id.fit(docs(spark, [(i, t, k) for i, (t, k) in enumerate(rows)]))
+    size = dict(zip(model.langs, map(len, model.texts), strict=True))
+    assert set(size) == {"long", "plain", "copied", "short"}
+    assert size["long"] >= 4 * language_id.TRAIN_ROW_CHARS - 4 and size["copied"] == sum(len(t) + 1 for t, _ in set(x for x in rows if x[1] == "copied")) - 1
+    held = [(k, say(k, 20)) for k in vocabulary for _ in range(20)] + [("short", "ok ok OK")]
+    found = language_id.detect(docs(spark, [(i, t, None) for i, (_, t) in enumerate(held)]), model).collect()
+    assert [x.lang_pred for x in sorted(found, key=lambda x: x.doc_id)] == [k for k, _ in held]
+
+
 def test_held_out_language_accuracy(spark):
     t = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     model = language_id.fit(t.where(language_id.crc_mod("doc_id", 4) != 2))
