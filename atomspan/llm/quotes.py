@@ -2,10 +2,11 @@
 
 A line that begins with '>' signs is a quotation, and their number is its level. Passages are hashed without regard to
 case and white space: of a message, its own text (all lines of level 0), each paragraph and each line of it; of a
-quotation, the lines of a level within a block of quoted lines, together and each on its own. A quoted passage is joined,
-within its conversation, to the first message that has it as a passage of its own in an earlier turn. A message answers the
-one of which it quotes most letters at the lowest level that is found; one without a quotation that is found answers the
-turn before it. Joins are on hashes whose one side is unique, so common passages make no more rows than there are quotes.
+quotation, the lines of a level within a block of quoted lines: all together, each run of them without a line of another
+level between, each paragraph of a run, as blank quoted lines part it, and each line. A quoted passage is joined, within its
+conversation, to the first message that has it as a passage of its own in an earlier turn. A message answers the one of
+which it quotes most letters at the lowest level that is found, a line that is in several passages counted once; one without
+a quotation that is found answers the turn before it. Joins are on hashes whose one side is unique, so common passages make no more rows than there are quotes.
 """
 
 from __future__ import annotations
@@ -42,18 +43,37 @@ def _hashed(passages: Column) -> Column:
     return F.transform(F.array_distinct(clean), lambda x: F.struct(F.sha2(x, 256).alias("h"), F.length(x).alias("n")))
 
 
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often it is named."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _runs(lines: Column, begins) -> Column:
+    """Lines cut into arrays where ``begins(line, line before)`` holds."""
+    at = F.filter(F.transform(lines, lambda x, i: F.when((i == 0) | begins(x, F.get(lines, i - 1)), i)), lambda i: i.isNotNull())
+    return _let(at, lambda starts: F.transform(starts, lambda s, k: F.slice(lines, s + 1, F.coalesce(F.get(starts, k + 1), F.size(lines)) - s)))
+
+
 def _quoted(text: Column) -> Column:
-    """(level, hash, length) of quoted passages."""
+    """(level, hash, lines) of quoted passages; lines are (hash, length)."""
     blocks = F.regexp_extract_all(text, F.lit(_BLOCK), F.lit(0))
 
-    def of(block):
-        lines = F.transform(F.filter(F.split(block, "\n"), lambda x: level(x) > 0), lambda x: F.struct(level(x).alias("l"), x.alias("x")))
-        levels = F.array_distinct(F.transform(lines, lambda x: x["l"]))
-        whole = F.transform(levels, lambda k: F.struct(k.alias("l"), F.array_join(F.transform(F.filter(lines, lambda x: x["l"] == k), lambda x: x["x"]), "\n").alias("x")))
-        return F.concat(whole, lines)
+    def of(lines):
+        whole = F.transform(F.array_distinct(F.transform(lines, lambda x: x["l"])), lambda k: F.filter(lines, lambda x: x["l"] == k))
+        runs = _runs(lines, lambda x, y: x["l"] != y["l"])
+        paragraphs = _runs(lines, lambda x, y: (x["l"] != y["l"]) | (x["x"] == "") | (y["x"] == ""))
+        return F.concat(whole, runs, paragraphs, F.transform(lines, lambda x: F.array(x)))
+
+    def lines(block):
+        return F.transform(F.filter(F.split(block, "\n"), lambda x: level(x) > 0), lambda x: F.struct(level(x).alias("l"), normal(x).alias("x")))
+
+    def passage(p):
+        full = F.filter(p, lambda x: x["x"] != "")
+        own = F.array_distinct(F.transform(full, lambda x: F.struct(F.xxhash64(x["x"]).alias("h"), F.length(x["x"]).alias("n"))))
+        return F.struct(p[0]["l"].alias("l"), F.array_join(F.transform(full, lambda x: x["x"]), " ").alias("x"), own.alias("own"))
 
-    found = F.array_distinct(F.transform(F.flatten(F.transform(blocks, of)), lambda p: F.struct(p["l"].alias("l"), normal(p["x"]).alias("x"))))
-    return F.transform(F.filter(found, lambda p: p["x"] != ""), lambda p: F.struct(p["l"].alias("l"), F.sha2(p["x"], 256).alias("h"), F.length(p["x"]).alias("n")))
+    found = F.array_distinct(F.transform(F.flatten(F.transform(blocks, lambda b: _let(lines(b), of))), passage))
+    return F.transform(F.filter(found, lambda p: p["x"] != ""), lambda p: F.struct(p["l"].alias("l"), F.sha2(p["x"], 256).alias("h"), p["own"].alias("own")))
 
 
 def link(df: DataFrame, conv: str = "conv_id", turn: str = "turn", text: str = "text") -> DataFrame:
@@ -66,8 +86,9 @@ def link(df: DataFrame, conv: str = "conv_id", turn: str = "turn", text: str = "
     own = own_text(F.col("x"))
     mine = rows.select("c", "t", F.explode(_hashed(F.concat(F.array(own), F.split(own, r"\n\s*\n"), F.split(own, "\n")))).alias("p"))
     origin = mine.groupBy("c", F.col("p.h").alias("h")).agg(F.min("t").alias("parent"))
-    quotes = rows.where(F.col("x").contains(">")).select("c", "t", F.explode(_quoted(F.col("x"))).alias("p")).select("c", "t", "p.l", "p.h", "p.n")
-    met = quotes.join(origin, ["c", "h"]).where("parent < t").groupBy("c", "t", "l", "parent").agg(F.sum("n").alias("n"))
+    quotes = rows.where(F.col("x").contains(">")).select("c", "t", F.explode(_quoted(F.col("x"))).alias("p")).select("c", "t", "p.l", "p.h", "p.own")
+    met = quotes.join(origin, ["c", "h"]).where("parent < t").groupBy("c", "t", "l", "parent").agg(F.array_distinct(F.flatten(F.collect_list("own"))).alias("own"))
+    met = met.withColumn("n", F.aggregate("own", F.lit(0).cast("long"), lambda a, x: a + x["n"]))
     chosen = met.groupBy("c", "t").agg(F.min_by("parent", F.struct("l", -F.col("n"), -F.col("parent"))).alias("by_quote"))
     # The turn before, found within parts of a conversation and between them.
     turns = rows.select("c", "t").distinct().withColumn("b", F.floor(F.col("t") / TURNS))

@@ -345,6 +345,18 @@ def test_quotations(spark):
     assert quotes.conversations(df.limit(0)).count() == 0
 
 
+def test_quotations_of_parts_and_levels(spark):
+    one, two = "The first paragraph is\nabout rivers.", "The second is about\nstones and trees."
+    rows = [(1, 0, f"{one}\n\n{two}\n\nThe third is short."), (1, 1, "Nothing quoted"), (1, 2, "Nor here\nin two lines"), (1, 3, "> The first\n> paragraph is about rivers.\n>\n> The second is about stones\n> and trees.\nI agree")]
+    # Levels in turn: of ">" the second message is quoted, re-wrapped and parted by ">>" lines.
+    rows += [(2, 0, "alpha beta gamma\n\ndelta epsilon zeta"), (2, 1, "eta theta\niota kappa"), (2, 2, "filler"), (2, 3, ">> alpha beta\n>> gamma\n> eta theta iota\n> kappa\n>> delta epsilon\n>> zeta\n> lambda mu\nyes")]
+    # Each quoted letter counts once: turn 0 is quoted by a longer line than turn 1 by its paragraph and its lines.
+    rows += [(3, 0, "a line of some forty letters or a few more"), (3, 1, "a first short line\na second one\n\nan end"), (3, 2, "filler"), (3, 3, "> a first short line\n> a second one\n>\n> a line of some forty letters or a few more\nso")]
+    df = spark.createDataFrame([(c, t, "u", x) for c, t, x in rows], "conv_id long, turn long, role string, text string")
+    got = {(x.conv_id, x.turn): (x.parent_turn, x.by_quote) for x in quotes.conversations(df).collect() if x.turn == 3}
+    assert got == {(1, 3): (0, True), (2, 3): (1, True), (3, 3): (0, True)}
+
+
 def test_license_notices(spark):
     filler = " ".join(f"w{i}" for i in range(90))
     rows = [(1, f"{filler} Released under the MIT License. {filler}", None), (2, filler, None), (3, None, None), (4, "", None), (5, "licensed under the APACHE license version 2 0", None), (5, "licensed under the APACHE license version 2 0", None), (6, "released under the MIT", None), (None, "Licensed under CC BY-NC 4.0.", None), *[(10 + i, t, None) for i, t in enumerate(ODD)]]
