@@ -67,6 +67,22 @@ def mean_cosine(vectors: DataFrame, vector: str) -> DataFrame:
     return n.join(F.broadcast(total)).select("n", F.try_divide(F.col("q") - F.col("full"), F.col("n") * (F.col("n") - 1)).alias("mean_cosine"))
 
 
+def pair_means(vectors: DataFrame, key: str, vector: str) -> DataFrame:
+    """(n, mean_euclid, mean_cosine, mean_pearson) over all pairs of vectors with distinct keys; fewer than two raise.
+
+    Cosine and Pearson need no pairs; the mean distance has no such form, so pairs are joined and summed where they are made,
+    at a cost of the square of the number of vectors. A constant vector has correlation 0.
+    """
+    v = vectors.where(F.col(vector).isNotNull()).select(F.col(key).alias("k"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
+    if v.limit(2).count() < 2:
+        raise ValueError("a mean over pairs needs two vectors")
+    pairs = v.toDF("a", "va").join(v.toDF("b", "vb"), F.col("a") < F.col("b"))
+    euclid = pairs.agg(F.avg(F.sqrt(F.aggregate(F.zip_with("va", "vb", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, t: s + t))).alias("mean_euclid"))
+    means = v.withColumn("m", F.aggregate("v", F.lit(0.0), lambda s, t: s + t) / F.size("v"))
+    pearson = mean_cosine(means.select(F.transform("v", lambda x: x - F.col("m")).alias("v")), "v").select(F.col("mean_cosine").alias("mean_pearson"))
+    return mean_cosine(v, "v").crossJoin(euclid).crossJoin(pearson).select("n", "mean_euclid", "mean_cosine", "mean_pearson")
+
+
 def log_det(vectors: DataFrame, vector: str, alpha: float = 1e-3) -> float:
     """log det of the covariance plus alpha times its mean variance; fewer than two vectors raise.
 

@@ -354,6 +354,14 @@ def pair_metrics(spark, d):
     return rounded(diversity.pair_metrics(means, "label", "e").drop("pearson"), 5)
 
 
+@query(f"WITH l AS ({_LONG}), m AS (SELECT label, dim, avg(v) AS v FROM l GROUP BY label, dim) SELECT a.label AS a, b.label AS b, {_r('sqrt(sum(pow(a.v - b.v, 2)))', 5)} AS euclid, {_r('sum(a.v * b.v) / (sqrt(sum(a.v * a.v)) * sqrt(sum(b.v * b.v)))', 5)} AS cosine, {_r('corr(a.v, b.v)', 5)} AS pearson FROM m a JOIN m b ON a.label < b.label AND a.dim = b.dim GROUP BY a.label, b.label")
+def pair_metrics_whole(spark, d):
+    """As ``pair_metrics``, whose SQL takes four components, over all components and with the correlation."""
+    means = diversity.moments(diversity.long_form(vectors(spark, d), ("label",), "embedding"), ("label", "dim"), 1)
+    whole = means.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "m1"))), lambda x: x["m1"]).alias("e"))
+    return rounded(diversity.pair_metrics(whole, "label", "e"), 5)
+
+
 @query()
 def clusters(spark, d):
     rows = vectors(spark, d).select(F.col("vec_id").alias("sid"), F.col("embedding").alias("fingerprint"), F.col("label").cast("double").alias("energy"))

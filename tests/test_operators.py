@@ -114,3 +114,39 @@ def test_log_det_and_mean_cosine(spark):
     assert diversity.mean_cosine(df, "v").first().mean_cosine == pytest.approx((u @ u.T)[np.triu_indices(6, 1)].mean())
     with pytest.raises(ValueError):
         diversity.log_det(df.limit(1), "v")
+
+
+def test_pair_means(spark):
+    v = np.random.default_rng(1).normal(size=(7, 5))
+    v[3] = 2.0  # no correlation
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(9, None)], "id int, v array<double>")
+    got = diversity.pair_means(df, "id", "v").first()
+    i, j = np.triu_indices(7, 1)
+    unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-10)
+    u, c = unit(v), unit(v - v.mean(1, keepdims=True))
+    assert got.n == 7 and got.mean_euclid == pytest.approx(np.linalg.norm(v[i] - v[j], axis=1).mean())
+    assert got.mean_cosine == pytest.approx((u[i] * u[j]).sum(1).mean()) and got.mean_pearson == pytest.approx((c[i] * c[j]).sum(1).mean())
+    with pytest.raises(ValueError):
+        diversity.pair_means(df.where("id in (0, 9)"), "id", "v")
+
+
+def test_pair_metrics_take_all_components(spark):
+    import duckdb
+
+    from atomspan.plans import registry
+
+    small = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{small}/embeddings.parquet'")
+    want = con.execute(registry.ORACLE_SQL["pair_metrics_whole"])
+    names = [c[0] for c in want.description]
+    got = registry.QUERIES["pair_metrics_whole"](spark, small)
+    assert names == got.columns == ["a", "b", "euclid", "cosine", "pearson"]
+    assert sorted(map(str, want.fetchall())) == sorted(str(tuple(r)) for r in got.collect())
+    vectors = {}
+    for r in spark.read.parquet(f"{small}/embeddings.parquet").collect():
+        vectors.setdefault(r.label, []).append(r.embedding)
+    mean = {k: np.mean(np.array(x, float), 0) for k, x in vectors.items()}
+    for r in got.collect():
+        assert r.euclid == pytest.approx(np.linalg.norm(mean[r.a] - mean[r.b]), abs=1e-5)
+        assert r.pearson == pytest.approx(np.corrcoef(mean[r.a], mean[r.b])[0, 1], abs=1e-5)
