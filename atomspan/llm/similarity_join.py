@@ -3,7 +3,9 @@
 A text is the set of its runs of five words. Texts of the same set are one class from the start. Each class has TREES
 signatures of DEPTH MinHash values; a tree is the trie of its signatures in sorted order, and two classes are candidates
 if they share a prefix in some tree. The prefixes start whole and are shortened, a value at a time, until a pair at the
-threshold meets in some tree with the target recall (:func:`prefix_length`); more similar pairs do so more surely.
+threshold meets in some tree with the target recall (:func:`prefix_length`); more similar pairs do so more surely. As the length depends on the threshold
+alone, each tree is stored as the hashes of prefixes of that length. Below a threshold of about 0.33 even prefixes of one
+value miss the target, and the shorter the prefixes, the larger the groups to be verified.
 
 Candidates form groups (the components that shared prefixes link). Every pair within a group is then verified on the
 sets themselves. A group of up to BLOCK_ROWS classes is one unit of work; of a larger one, every pair of blocks is. A
@@ -68,9 +70,9 @@ def _digests(hashes: np.ndarray, first: np.ndarray) -> list[bytes | None]:
     return [pairs[i].tobytes() if n else None for i, n in enumerate(np.diff(first))]
 
 
-def sketch(df: DataFrame, key: str, text: str, width: int) -> DataFrame:
+def sketch(df: DataFrame, key: str, text: str, width: int, threshold: float = THRESHOLD) -> DataFrame:
     """(key, th: hash of the text, cls: the set's digest, size of the set, prefix hash of each tree)."""
-    depth = prefix_length()
+    depth = prefix_length(threshold)
 
     def run(batches):
         for batch in batches:
@@ -179,7 +181,7 @@ def _units(df: DataFrame, threshold: float) -> DataFrame:
 
 def _join(df: DataFrame, key: str, text: str, threshold: float, width: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows' classes (key, th, cls), classes' components (cls, rep, at, root), and classes' links (cls, n_links)."""
-    base = stored(sketch(df, key, text, width), "sketches")
+    base = stored(sketch(df, key, text, width, threshold), "sketches")
     have = base.where("cls is not null")
     classes = stored(have.groupBy("cls").agg(F.min("key").alias("rep"), F.min(F.struct(F.col("key").isNull(), "key", "th")).alias("at"), F.first("size").alias("size"), F.first("trees").alias("trees")), "classes")
     # Prefixes that two classes share.

@@ -221,6 +221,17 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, block):
     assert sorted(x.doc_id for x in kept.collect()) == sorted({want.get(i, (i, 0))[0] for i, _ in rows})
 
 
+def test_near_duplicates_at_a_lower_threshold(spark):
+    rows = []
+    for g in range(60):
+        words = [f"g{g}w{k}" for k in range(64)]
+        rows += [(2 * g, " ".join(words)), (2 * g + 1, " ".join(words[:44] + [f"g{g}x{k}" for k in range(20)]))]
+    a, b = (set(zip(*[t.split()[i:] for i in range(5)])) for _, t in rows[:2])
+    assert 0.5 <= len(a & b) / len(a | b) < 0.55
+    out = similarity_join.near_duplicates(docs(spark, [(i, t, None) for i, t in rows]), threshold=0.5).collect()
+    assert {x.doc_id: (x.class_id, x.n_links) for x in out} == {i: (i - i % 2, 1) for i, _ in rows}
+
+
 def test_near_duplicates_of_nothing_and_of_null_keys(spark):
     none = docs(spark, [(None, "a b c d e f", None), (None, "a b c d e f", None), (3, "a b c d e f", None)])
     assert {x.class_id for x in similarity_join.near_duplicates(none).collect()} == {3}
