@@ -1,8 +1,8 @@
 """Neighbour lists as band joins, triplets, and descriptors as grouped sums.
 
-Atoms are rows (keys..., aid, species, x, y, z). A band join deals atoms into cubic cells as wide as the cutoff; a target
-stands in the 27 cells around its own, so an equi-join by structure and cell finds every pair within the cutoff, and its
-cost grows with the number of neighbours and not with the square of a structure's size.
+Atoms are rows (keys..., aid, species, x, y, z). A band join deals atoms into cubic cells as wide as the cutoff; one side
+stands in the cells around its own as well, so an equi-join by structure and cell finds every pair within the cutoff, and
+its cost grows with the number of neighbours and not with the square of a structure's size.
 """
 
 from __future__ import annotations
@@ -14,27 +14,49 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.scalars import angular_basis, cell_matrix, inverse, matrix_times, radial_basis, wrap
 
 
-def _cells(cutoff: float, around: bool) -> list[Column]:
-    own = [F.floor(F.col(c) / cutoff).cast("int") for c in "xyz"]
-    if not around:
-        return [c.alias(f"c{k}") for c, k in zip(own, "xyz", strict=True)]
-    return own
+#: Structures of at most so many atoms are one cell: all pairs are fewer rows than 27 copies of each atom.
+SMALL = 27
 
 
-def _spread(df: DataFrame, cutoff: float) -> DataFrame:
-    """Each row in the 27 cells around its own."""
-    own = _cells(cutoff, True)
-    step = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(c).alias("c")) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)])
-    rows = df.withColumn("__s", F.explode(step))
-    return rows.withColumns({f"c{k}": o + F.col(f"__s.{s}") for k, o, s in zip("xyz", own, "abc", strict=True)}).drop("__s")
+def _sized(atoms: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """With ``__small``: whether the structure is small enough to be one cell. Counts are summed before their shuffle."""
+    n = atoms.groupBy(*keys).agg((F.count("*") <= SMALL).alias("__small"))
+    return atoms.join(n, list(keys))
+
+
+def _cells(cutoff: float) -> dict[str, Column]:
+    """Cell of an atom."""
+    return {f"c{c}": F.when(F.col("__small"), 0).otherwise(F.floor(F.col(c) / cutoff).cast("long")) for c in "xyz"}
+
+
+def _spread(rows: DataFrame, steps: list[tuple[int, int, int]]) -> DataFrame:
+    """Each row in its own cell and, unless its structure is one cell, in those at ``steps``; ``__home``: in its own."""
+    step = lambda v: F.struct(*[F.lit(x).alias(k) for x, k in zip(v, "xyz", strict=True)])
+    home = F.array(step((0, 0, 0)))
+    spread = rows.withColumn("__s", F.explode(F.when(F.col("__small"), home).otherwise(F.array(step((0, 0, 0)), *map(step, steps)))))
+    moved = spread.withColumns({f"c{k}": F.col(f"c{k}") + F.col(f"__s.{k}") for k in "xyz"})
+    return moved.withColumn("__home", (F.col("__s.x") == 0) & (F.col("__s.y") == 0) & (F.col("__s.z") == 0)).drop("__s")
+
+
+_AROUND = [(a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1) if (a, b, c) != (0, 0, 0)]
+_AHEAD = [s for s in _AROUND if s > (0, 0, 0)]
+_LENGTH = "sqrt(dx * dx + dy * dy + dz * dz)"
 
 
 def edges(atoms: DataFrame, cutoff: float, keys: tuple[str, ...] = ("sid",)) -> DataFrame:
-    """(keys, i, j, species_i, species_j, dx, dy, dz, d) of all ordered pairs of different atoms with d <= cutoff."""
-    a = atoms.select(*keys, F.col("aid").alias("i"), F.col("species").alias("species_i"), F.col("x").alias("xi"), F.col("y").alias("yi"), F.col("z").alias("zi"), *_cells(cutoff, False))
-    b = _spread(atoms.select(*keys, "aid", "species", "x", "y", "z"), cutoff).withColumnsRenamed({"aid": "j", "species": "species_j"})
-    met = a.join(b, [*keys, "cx", "cy", "cz"]).where("i != j").select(*keys, "i", "j", "species_i", "species_j", (F.col("x") - F.col("xi")).alias("dx"), (F.col("y") - F.col("yi")).alias("dy"), (F.col("z") - F.col("zi")).alias("dz"))
-    return met.withColumn("d", F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy") + F.col("dz") * F.col("dz"))).where(F.col("d") <= cutoff)
+    """(keys, i, j, species_i, species_j, dx, dy, dz, d) of all ordered pairs of different atoms with d <= cutoff.
+
+    Atoms stand in the 13 cells ahead of their own, so a pair from two cells meets once and is given in both directions.
+    The join is sorted and merged: the size of an exploded side is not what Spark takes it for, so it is never broadcast.
+    """
+    rows = _sized(atoms.select(*keys, "aid", "species", "x", "y", "z"), keys).withColumns(_cells(cutoff))
+    a = rows.select(*keys, F.col("aid").alias("i"), F.col("species").alias("species_i"), F.col("x").alias("xi"), F.col("y").alias("yi"), F.col("z").alias("zi"), "cx", "cy", "cz")
+    b = _spread(rows, _AHEAD).drop("__small").withColumnsRenamed({"aid": "j", "species": "species_j"})
+    met = a.hint("merge").join(b, [*keys, "cx", "cy", "cz"]).where("i != j").select(*keys, "i", "j", "species_i", "species_j", "__home", (F.col("x") - F.col("xi")).alias("dx"), (F.col("y") - F.col("yi")).alias("dy"), (F.col("z") - F.col("zi")).alias("dz"))
+    near = met.withColumn("d", F.expr(_LENGTH)).where(F.col("d") <= cutoff)
+    pair = lambda i, j, sign: F.struct(F.col(i).alias("i"), F.col(j).alias("j"), F.col(f"species_{i}").alias("species_i"), F.col(f"species_{j}").alias("species_j"), *[(sign * F.col(c)).alias(c) for c in ("dx", "dy", "dz")])
+    both = F.when(F.col("__home"), F.array(pair("i", "j", 1.0))).otherwise(F.array(pair("i", "j", 1.0), pair("j", "i", -1.0)))
+    return near.select(*keys, "d", F.explode(both).alias("e")).select(*keys, "e.*", "d")
 
 
 def image_range(cell: list[list], cutoff: float, pbc: tuple[bool, bool, bool] = (True, True, True)) -> list:
@@ -57,7 +79,7 @@ def periodic_edges(atoms: DataFrame, cutoff: float, keys: tuple[str, ...] = ("si
     inv = inverse(m)
     fractions = matrix_times([F.col("x"), F.col("y"), F.col("z")], inv)
     wrapped = [wrap(f) if p else f for f, p in zip(fractions, pbc, strict=True)]
-    rows = atoms.withColumns({f"f{k}": f for k, f in zip("xyz", wrapped, strict=True)})
+    rows = _sized(atoms, keys).withColumns({f"f{k}": f for k, f in zip("xyz", wrapped, strict=True)})
     place = matrix_times([F.col("fx"), F.col("fy"), F.col("fz")], m)
     home = rows.withColumns({k: p for k, p in zip("xyz", place, strict=True)})
     span = image_range(m, cutoff, pbc)
@@ -69,10 +91,11 @@ def periodic_edges(atoms: DataFrame, cutoff: float, keys: tuple[str, ...] = ("si
             ghosts = ghosts.where((F.col(f"f{k}") + F.col(f"o{k}") >= -w - 1e-9) & (F.col(f"f{k}") + F.col(f"o{k}") <= 1 + w + 1e-9))
     moved = matrix_times([F.col(f"f{k}") + F.col(f"o{k}") for k in "xyz"], m)
     ghosts = ghosts.withColumns({k: p for k, p in zip("xyz", moved, strict=True)})
-    a = home.select(*keys, F.col("aid").alias("i"), F.col("species").alias("species_i"), F.col("x").alias("xi"), F.col("y").alias("yi"), F.col("z").alias("zi"), *_cells(cutoff, False))
-    b = _spread(ghosts.select(*keys, F.col("aid").alias("j"), F.col("species").alias("species_j"), "ox", "oy", "oz", "x", "y", "z"), cutoff)
-    met = a.join(b, [*keys, "cx", "cy", "cz"]).where("i != j or ox != 0 or oy != 0 or oz != 0").select(*keys, "i", "j", "species_i", "species_j", "ox", "oy", "oz", (F.col("x") - F.col("xi")).alias("dx"), (F.col("y") - F.col("yi")).alias("dy"), (F.col("z") - F.col("zi")).alias("dz"))
-    return met.withColumn("d", F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy") + F.col("dz") * F.col("dz"))).where(F.col("d") <= cutoff)
+    # The atoms of the cell itself are spread; their images, of which there are more, stay in one cell each.
+    a = _spread(home.withColumns(_cells(cutoff)), _AROUND).select(*keys, F.col("aid").alias("i"), F.col("species").alias("species_i"), F.col("x").alias("xi"), F.col("y").alias("yi"), F.col("z").alias("zi"), "cx", "cy", "cz")
+    b = ghosts.withColumns(_cells(cutoff)).select(*keys, F.col("aid").alias("j"), F.col("species").alias("species_j"), "ox", "oy", "oz", "x", "y", "z", "cx", "cy", "cz")
+    met = a.hint("merge").join(b, [*keys, "cx", "cy", "cz"]).where("i != j or ox != 0 or oy != 0 or oz != 0").select(*keys, "i", "j", "species_i", "species_j", "ox", "oy", "oz", (F.col("x") - F.col("xi")).alias("dx"), (F.col("y") - F.col("yi")).alias("dy"), (F.col("z") - F.col("zi")).alias("dz"))
+    return met.withColumn("d", F.expr(_LENGTH)).where(F.col("d") <= cutoff)
 
 
 def pair_cutoff(found: DataFrame, cutoffs: dict[tuple[str, str], float], default: float) -> DataFrame:
@@ -108,7 +131,8 @@ def triplets(found: DataFrame, cutoff: float, min_cutoff: float = 0.0, keys: tup
 
 
 def _spin(column: str, spins: dict[str, int]) -> Column:
-    out = F.lit(None).cast("double")
+    """Typespin of a species; one that has none raises an error."""
+    out = F.raise_error(F.concat(F.lit("no typespin for species "), F.coalesce(column, F.lit("null")))).cast("double")
     for s, v in spins.items():
         out = F.when(F.col(column) == s, F.lit(float(v))).otherwise(out)
     return out
