@@ -12,7 +12,7 @@ from typing import NamedTuple
 
 import numpy as np
 
-from ._text import mix, split_words
+from ._text import LOW_BYTES, eights, mix, split_words
 
 MARK = "▁"
 _NOT_SPACE = np.ones(256, bool)
@@ -91,11 +91,97 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(ids, scores, float(normal_scores.min() - 10), byte_ids, text, max(map(len, ids)))
 
 
-def chunk_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a block without U+2581 in it: each chunk's key, begin (without its first mark), end, and documents' ranges.
+class Chunks(NamedTuple):
+    """Chunks of a block: each one's key (a hash), begin (without its first mark), end, and documents' ranges of them.
 
-    Spaces at a text's end are a chunk of their own.
+    Keys may collide; chunks are told apart by their bytes, as numbers of eight.
     """
+
+    key: np.ndarray
+    begin: np.ndarray
+    end: np.ndarray
+    first: np.ndarray
+    data: np.ndarray
+    numbers: np.ndarray
+
+    def words(self, rows: np.ndarray) -> np.ndarray:
+        """The bytes of some chunks as numbers of eight, each chunk's last one filled up with zeros."""
+        size = self.end[rows] - self.begin[rows]
+        n = (size + 7) >> 3
+        out = self.numbers[np.repeat(self.begin[rows] - 8 * (np.cumsum(n) - n), n) + 8 * np.arange(int(n.sum()))]
+        full = n > 0
+        out[np.cumsum(n)[full] - 1] &= LOW_BYTES[(size - 8 * (n - 1))[full]]
+        return out
+
+    def same(self, rows: np.ndarray, others: np.ndarray) -> np.ndarray:
+        """Whether chunks equal others of this block, byte by byte."""
+        size = self.end[rows] - self.begin[rows]
+        out = size == self.end[others] - self.begin[others]
+        at = np.flatnonzero(out)
+        return _all_equal(out, at, size[at], self.words(rows[at]), self.words(others[at]))
+
+    def texts(self, rows: np.ndarray) -> list[str]:
+        return texts_of(self.data, self.begin[rows], self.end[rows])
+
+
+def _all_equal(out: np.ndarray, at: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``out`` without those of ``at`` whose numbers, (size + 7) // 8 each, differ."""
+    if len(bad := np.flatnonzero(a != b)):
+        ends = np.cumsum((size + 7) >> 3)
+        out[at[np.unique(np.searchsorted(ends, bad, "right"))]] = False
+    return out
+
+
+class ChunkTable:
+    """Values of chunks, found by hash and told apart by their bytes; of colliding chunks the first is held."""
+
+    def __init__(self, columns: int = 1):
+        self.key = np.zeros(0, np.uint64)
+        self.at, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.numbers = np.zeros(0, np.uint64)
+        self.values = np.zeros((0, columns), np.int64)
+
+    def find(self, chunks: Chunks, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of chunks, and which of them are here."""
+        if not len(self.key):
+            return np.zeros(len(rows), np.int64), np.zeros(len(rows), bool)
+        key = chunks.key[rows]
+        place = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        size = chunks.end[rows] - chunks.begin[rows]
+        ok = (self.key[place] == key) & (self.size[place] == size)
+        at = np.flatnonzero(ok)
+        n = (size[at] + 7) >> 3
+        mine = self.numbers[np.repeat(self.at[place[at]] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+        return place, _all_equal(ok, at, size[at], chunks.words(rows[at]), mine)
+
+    def add(self, chunks: Chunks, rows: np.ndarray, values: np.ndarray) -> None:
+        """Chunks of different keys, of which those stay out whose key is here."""
+        if len(self.key):
+            place = np.minimum(np.searchsorted(self.key, chunks.key[rows]), len(self.key) - 1)
+            new = self.key[place] != chunks.key[rows]
+            rows, values = rows[new], values[new]
+        size = chunks.end[rows] - chunks.begin[rows]
+        n = (size + 7) >> 3
+        key = np.concatenate([self.key, chunks.key[rows]])
+        order = np.argsort(key, kind="stable")
+        self.at = np.concatenate([self.at, np.cumsum(n) - n + len(self.numbers)])[order]
+        self.size = np.concatenate([self.size, size])[order]
+        self.values = np.concatenate([self.values, values.reshape(len(rows), self.values.shape[1])])[order]
+        self.numbers = np.concatenate([self.numbers, chunks.words(rows)])
+        self.key = key[order]
+
+
+def distinct(chunks: Chunks, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct chunks: a row of each, each row's place among them, how many rows each has, and rows that are none of
+    them, as their key collides with another chunk's."""
+    _, one, back, often = np.unique(chunks.key[rows], return_index=True, return_inverse=True, return_counts=True)
+    one = rows[one]
+    odd = rows[~chunks.same(rows, one[back])]
+    return one, back, often, odd
+
+
+def chunk_bounds(data: np.ndarray, offsets: np.ndarray) -> Chunks:
+    """Of a block without U+2581 in it. Spaces at a text's end are a chunk of their own."""
     words = split_words(data, offsets, _NOT_SPACE, fold=False)
     count = np.diff(words.first)
     before = np.empty(len(words.start), np.int64)
@@ -122,7 +208,7 @@ def chunk_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
         first = words.first + np.concatenate([[0], np.cumsum(extra)])
     else:
         end, first = words.end, words.first
-    return key, begin, end, first
+    return Chunks(key, begin, end, first, data, eights(data))
 
 
 def marks_as_spaces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -7,6 +7,7 @@ for a word.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -16,8 +17,11 @@ import pyarrow as pa
 #: Bytes of text that are worked on at once.
 BLOCK_BYTES = 1 << 20
 
-_ODD = 0x9E3779B97F4A7C15
-_powers: dict[str, np.ndarray] = {}
+_ODD, _ODD2, _SECOND = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0x2545F4914F6CDD1D)
+#: The low bytes of a number, by how many.
+LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Words of more bytes are hashed by blake2b.
+LONG_WORD = 64
 
 #: Bytes of a word under the ASCII word rule: 0-9, A-Z, a-z and every byte of a non-ASCII character.
 ALNUM = np.zeros(256, bool)
@@ -40,30 +44,48 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse modulo 2**64, for n positions at least."""
-    if "up" not in _powers or len(_powers["up"]) < n:
-        size = max(n, BLOCK_BYTES + 1)
-        for name, base in (("up", _ODD), ("down", pow(_ODD, -1, 1 << 64))):
-            table = np.empty(size, np.uint64)
-            table[0] = 1
-            done = 1
-            while done < size:
-                step = np.uint64(pow(base, done, 1 << 64))
-                more = min(done, size - done)
-                table[done : done + more] = table[:more] * step
-                done += more
-            _powers[name] = table
-    return _powers["up"], _powers["down"]
+def eights(data: np.ndarray) -> np.ndarray:
+    """At each byte, the number that it and the next seven make (zeros after the end)."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data),), "<u8", padded, 0, (1,)).copy()
+
+
+def hash_ranges(data: np.ndarray, numbers: np.ndarray, start: np.ndarray, end: np.ndarray, wide: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+    """64-bit hashes of byte ranges that are not empty, and with ``wide`` a second, independent one.
+
+    Eight bytes at a time are mixed into the hash of those before, so that no arrangement of bytes cancels out; of
+    ranges up to 8 bytes and of one length, no two have the same hash.
+    """
+    size = end - start
+    first = numbers[start] & LOW_BYTES[np.minimum(size, 8)]
+    one = mix(first ^ size.astype(np.uint64) * _ODD)
+    two = mix(first * _ODD2 + size.astype(np.uint64) * _SECOND) if wide else None
+    left = np.flatnonzero((size > 8) & (size <= LONG_WORD))
+    for k in range(8, LONG_WORD, 8):
+        left = left[size[left] > k]
+        if not len(left):
+            break
+        more = numbers[start[left] + k] & LOW_BYTES[np.minimum(size[left] - k, 8)]
+        one[left] = mix(one[left] * _ODD2 ^ more)
+        if wide:
+            two[left] = mix(two[left] * _SECOND + mix(more + _ODD))
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        digest = hashlib.blake2b(data[start[i] : end[i]], digest_size=16).digest()
+        one[i] = int.from_bytes(digest[:8], "little")
+        if wide:
+            two[i] = int.from_bytes(digest[8:], "little")
+    return one, two
 
 
 class Words(NamedTuple):
-    """Words of a block: 64-bit hash, byte range, and for each document the range of its words."""
+    """Words of a block: 64-bit hash, byte range, for each document the range of its words, and a second hash if asked."""
 
     hash: np.ndarray
     start: np.ndarray
     end: np.ndarray
     first: np.ndarray  # len(documents) + 1
+    second: np.ndarray | None = None
 
 
 def string_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -90,15 +112,15 @@ def blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, in
         i = j
 
 
-def split_words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray = ALNUM, heads: tuple[int, ...] = (), fold: bool = True) -> Words | tuple[Words, list[np.ndarray]]:
+def split_words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray = ALNUM, heads: tuple[int, ...] = (), fold: bool = True, wide: bool = False) -> Words | tuple[Words, list[np.ndarray]]:
     """Maximal runs of the bytes in ``table``, within documents; hashed with A-Z lower-cased if ``fold``.
 
-    With ``heads``, also for each number of bytes the hashes of the words' first bytes; 0 for words not longer.
+    With ``heads``, also for each number of bytes, 8 at most, the hashes of the words' first bytes; 0 for words not longer.
     """
     n = len(data)
     if not n:
         none = np.zeros(0, np.int64)
-        words = Words(none.astype(np.uint64), none, none, np.zeros(len(offsets), np.int64))
+        words = Words(none.astype(np.uint64), none, none, np.zeros(len(offsets), np.int64), none.astype(np.uint64))
         return (words, [words.hash for _ in heads]) if heads else words
     inside = table[data]
     begins = inside.copy()
@@ -110,19 +132,14 @@ def split_words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray = ALNUM
     last = offsets[1:][offsets[1:] > 0] - 1
     ends[last] = inside[last]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    up, down = _power_tables(n + 1)
-    sums = np.empty(n + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum(((LOWER[data] if fold else data).astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
-    hashed = mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64) * np.uint64(_ODD))
-    words = Words(hashed, start, end, np.searchsorted(start, offsets))
+    folded = LOWER[data] if fold else data
+    numbers = eights(folded)
+    one, two = hash_ranges(folded, numbers, start, end, wide)
+    words = Words(one, start, end, np.searchsorted(start, offsets), two)
     if not heads:
         return words
-    tops = []
-    for k in heads:
-        stop = np.minimum(start + k, n)
-        tops.append(np.where(end > stop, mix((sums[stop] - sums[start]) * down[start] + np.uint64((k + 1) * 0x2545F4914F6CDD1D & (1 << 64) - 1)), np.uint64(0)))
-    return words, tops
+    first = numbers[start]
+    return words, [np.where(end - start > k, mix((first & LOW_BYTES[k]) ^ np.uint64(k + 1) * _SECOND), np.uint64(0)) for k in heads]
 
 
 def shingles(words: Words, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -139,5 +156,5 @@ def shingles(words: Words, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
     left = np.repeat(words.first[1:], each) - at
     out = np.zeros(first[-1], np.uint64)
     for k in range(width):
-        out = out * np.uint64(0xD6E8FEB86659FD93) + np.where(left > k, h[at + k], np.uint64(0))
+        out = out * _ODD2 + np.where(left > k, h[at + k], np.uint64(0))
     return mix(out), first

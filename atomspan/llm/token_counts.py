@@ -2,11 +2,12 @@
 
 A pre-token is a chunk of the text that no piece crosses (see :mod:`._pieces`). Two tiers, both at the map side:
 
-1. A compact table (hash, number of tokens) of the corpus's most frequent pre-tokens is broadcast; ``HEAD`` of them at most.
-   It comes from a pass over all texts, in which each task keeps a bounded list of its frequent pre-tokens.
+1. A compact table (pre-token, number of tokens) of the corpus's most frequent pre-tokens is broadcast; ``HEAD`` of them at
+   most, none longer than 64 bytes. It comes from a pass over all texts, in which each task keeps a bounded list of its frequent pre-tokens.
 2. Misses are encoded by the library, each distinct one once, and kept in a cache of the Python worker, also bounded.
 
-Neither tier changes a count: both hold what the library gives.
+Neither tier changes a count: both hold what the library gives, and a pre-token that is found by its hash counts only if
+its bytes are the same.
 """
 
 from __future__ import annotations
@@ -15,70 +16,56 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ._pieces import chunk_bounds, encode_chunks, marks_as_spaces, texts_of, vocabulary
-from ._text import blocks
+from ._pieces import Chunks, ChunkTable, chunk_bounds, distinct, encode_chunks, marks_as_spaces, vocabulary
+from ._text import blocks, eights
 
-#: Entries of the broadcast table (10 bytes each), of a task's list, and of a worker's cache.
+#: Entries of the broadcast table, of a task's list, and of a worker's cache.
 HEAD, TASK_HEAD, CACHE = 1 << 16, 1 << 12, 1 << 20
-_EMPTY = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-_cache: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+_cache: dict[str, ChunkTable] = {}
 
 
-def _merge(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
-    """Both sorted tables as one; keys are distinct."""
-    keys = np.concatenate([a[0], b[0]])
-    order = np.argsort(keys, kind="stable")
-    return keys[order], np.concatenate([a[1], b[1]])[order]
-
-
-def _lookup(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Values of keys, and which of them are in the table."""
-    if not len(table[0]):
-        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-    at = np.minimum(np.searchsorted(table[0], keys), len(table[0]) - 1)
-    return table[1][at], table[0][at] == keys
-
-
-def frequent(df: DataFrame, path: str, text: str = "text", size: int = HEAD) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and token counts of frequent pre-tokens of all texts; at most ``size``."""
+def frequent(df: DataFrame, path: str, text: str = "text", size: int = HEAD) -> ChunkTable:
+    """Token counts of frequent pre-tokens of all texts; at most ``size``."""
 
     def run(batches):
-        seen: tuple = (*_EMPTY,)
-        names: dict[int, str] = {}
+        seen: dict[int, list] = {}
         for batch in batches:
             for _, _, data, offsets in blocks(batch.column(0)):
-                data, offsets = marks_as_spaces(data, offsets)
-                key, begin, end, _ = chunk_bounds(data, offsets)
-                keys, one, count = np.unique(key, return_index=True, return_counts=True)
-                often = count >= 4  # a word that matters occurs so often in some block
+                chunks = chunk_bounds(*marks_as_spaces(data, offsets))
+                keys, one, count = np.unique(chunks.key, return_index=True, return_counts=True)
+                often = (count >= 4) & (chunks.end[one] - chunks.begin[one] <= 64)  # a word that matters occurs so often in some block
                 keys, one, count = keys[often], one[often], count[often]
-                old, known = _lookup(seen, keys)
-                if len(seen[0]):
-                    seen[1][np.searchsorted(seen[0], keys[known])] += count[known]
-                fresh = ~known
-                names.update(zip(keys[fresh].tolist(), texts_of(data, begin[one[fresh]], end[one[fresh]]), strict=True))
-                seen = _merge(seen, (keys[fresh], count[fresh]))
-                if len(seen[0]) > 16 * TASK_HEAD:
-                    keep = np.sort(np.argsort(-seen[1], kind="stable")[: 4 * TASK_HEAD])
-                    seen = seen[0][keep], seen[1][keep]
-                    names = {k: names[k] for k in seen[0].tolist()}
-        top = np.argsort(-seen[1], kind="stable")[:TASK_HEAD]
-        if len(top):
-            keys = seen[0][top]
-            lengths = [len(x) for x in encode_chunks(path, [names[k] for k in keys.tolist()])]
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(seen[1][top]), pa.array(lengths, pa.int32())], names=["h", "n", "tokens"])
-
-    rows = df.select(F.col(text).cast("string")).mapInArrow(run, "h long, n long, tokens int")
-    top = rows.groupBy("h").agg(F.sum("n").alias("n"), F.max("tokens").alias("tokens")).orderBy(F.desc("n"), "h").limit(size).select("h", "tokens").toArrow()
-    keys = top["h"].to_numpy().view(np.uint64)
-    order = np.argsort(keys)
-    return keys[order], top["tokens"].to_numpy()[order].astype(np.int64)
-
-
-def count_tokens(df: DataFrame, path: str, text: str = "text", head: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
+                for k, n, t in zip(keys.tolist(), count.tolist(), chunks.texts(one), strict=True):
+                    if k in seen:
+                        seen[k][0] += n
+                    else:
+                        seen[k] = [n, t]
+                if len(seen) > 16 * TASK_HEAD:
+                    seen = dict(sorted(seen.items(), key=lambda x: -x[1][0])[: 4 * TASK_HEAD])
+        top = sorted(seen.items(), key=lambda x: (-x[1][0], x[0]))[:TASK_HEAD]
+        if top:
+            texts = [t for _, (_, t) in top]
+            lengths = [len(x) for x in encode_chunks(path, texts)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.array([k for k, _ in top], np.uint64).view(np.int64)), pa.array([n for _, (n, _) in top], pa.int64()), pa.array(lengths, pa.int32()), pa.array(texts, pa.string())], names=["h", "n", "tokens", "chunk"])
+
+    rows = df.select(F.col(text).cast("string")).mapInArrow(run, "h long, n long, tokens int, chunk string")
+    ranked = rows.groupBy("h").agg(F.sum("n").alias("n"), F.min(F.struct("chunk", "tokens")).alias("t")).orderBy(F.desc("n"), "h").limit(size)
+    top = ranked.select("h", "t.tokens", "t.chunk").toArrow()
+    table = ChunkTable()
+    if top.num_rows:
+        raw = [t.encode() for t in top["chunk"].to_pylist()]
+        ends = np.cumsum([len(r) for r in raw])
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        chunks = Chunks(top["h"].to_numpy().view(np.uint64), np.concatenate([[0], ends[:-1]]), ends, np.zeros(0, np.int64), data, eights(data))
+        table.add(chunks, np.arange(len(raw)), top["tokens"].to_numpy().astype(np.int64))
+    return table
+
+
+def count_tokens(df: DataFrame, path: str, text: str = "text", head: ChunkTable | None = None) -> DataFrame:
     """``df`` without ``text``, with n_bytes and n_tokens (long); a null text counts as empty, with 0 of both.
 
-    ``path``: a model file that every machine has. Columns of ``df`` of the new names are replaced.
+    ``path``: a model file that every machine has. Columns of ``df`` of the new names are replaced. Very long texts are
+    whole blocks of their own; rows that repeat give rows that repeat.
     """
     made = ["n_bytes", "n_tokens"]
     df = df.drop(*made)
@@ -86,27 +73,35 @@ def count_tokens(df: DataFrame, path: str, text: str = "text", head: tuple[np.nd
     vocabulary(path)  # checks that the model can be applied by chunk
     sent = df.sparkSession.sparkContext.broadcast(frequent(df, path, text) if head is None else head)
 
+    def lengths(texts: list[str]) -> np.ndarray:
+        return np.array([len(x) for x in encode_chunks(path, texts)], np.int64)
+
     def run(batches):
         table = sent.value
         for batch in batches:
             sizes, totals = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for _, _, data, offsets in blocks(batch.column(batch.num_columns - 1)):
                 sizes.append(np.diff(offsets))
-                data, offsets = marks_as_spaces(data, offsets)
-                key, begin, end, first = chunk_bounds(data, offsets)
-                length, known = _lookup(table, key)
+                chunks = chunk_bounds(*marks_as_spaces(data, offsets))
+                at, known = table.find(chunks, np.arange(len(chunks.key)))
+                length = np.zeros(len(chunks.key), np.int64)
+                length[known] = table.values[at[known], 0]
                 if len(miss := np.flatnonzero(~known)):
-                    keys, one, back = np.unique(key[miss], return_index=True, return_inverse=True)
-                    cache = _cache.get(path, _EMPTY)
-                    got, cached = _lookup(cache, keys)
-                    if not cached.all():
-                        new = np.flatnonzero(~cached)
-                        at = miss[one[new]]
-                        got[new] = [len(x) for x in encode_chunks(path, texts_of(data, begin[at], end[at]))]
-                        _cache[path] = _merge(cache if len(cache[0]) + len(new) <= CACHE else _EMPTY, (keys[new], got[new]))
+                    one, back, _, odd = distinct(chunks, miss)
+                    cache = _cache.get(path)
+                    if cache is None or len(cache.key) > CACHE:
+                        cache = _cache[path] = ChunkTable()
+                    at, cached = cache.find(chunks, one)
+                    got = np.zeros(len(one), np.int64)
+                    got[cached] = cache.values[at[cached], 0]
+                    if len(new := np.flatnonzero(~cached)):
+                        got[new] = lengths(chunks.texts(one[new]))
+                        cache.add(chunks, one[new], got[new])
                     length[miss] = got[back]
+                    if len(odd):
+                        length[odd] = lengths(chunks.texts(odd))
                 sums = np.concatenate([[0], np.cumsum(length)])
-                totals.append(sums[first[1:]] - sums[first[:-1]])
+                totals.append(sums[chunks.first[1:]] - sums[chunks.first[:-1]])
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.concatenate(sizes)), pa.array(np.concatenate(totals))], names=[*batch.schema.names[:-1], *made])
 
     kept = df.select(*[F.col(f"`{n}`") for n in names])

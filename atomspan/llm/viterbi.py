@@ -4,13 +4,17 @@ The ids of a text are the pieces of the segmentation with the highest total scor
 the longest, then the same for what precedes it); a character that no piece covers becomes its UTF-8 bytes. Two
 forms of one recursion:
 
-* :class:`Stream` reads a text character by character. It keeps scores for the last ``longest`` boundaries only, those
-  from which a piece can still reach the next character, and backpointers since the last commit. Whenever the
-  backpointer paths from all these boundaries meet in one boundary, the ids up to it are committed and forgotten.
+* :class:`Stream` reads a text character by character. Boundaries survive from which a piece can still reach the next
+  character; no more than ``longest`` of them do. Scores and backpointers are kept since the last commit. When
+  the backpointer paths from all surviving boundaries meet in one boundary, the ids up to it are committed and forgotten;
+  that is looked for every ``STEP`` characters, or less often while it fails.
 * A boundary before U+2581 that follows another character is crossed by no piece: all paths meet there. So chunks
   between such boundaries are independent, and the distinct chunks of a block advance together in numpy lanes. Chunks
   of more than ``LANE`` characters go through :class:`Stream`.
 
+Pieces are found by walking the trie of their characters, so a match is exact; chunks that are met again are found by hash
+and count as the same if their bytes are.
+
 The scores are those in the model file. In a file of the BPE kind they are merge ranks; the library's merge order gives
 other ids for some words, this gives what the library gives for the same pieces in its unigram mode.
 """
@@ -19,48 +23,127 @@ from __future__ import annotations
 
 import zlib
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types
 
-from ._pieces import MARK, Vocabulary, chunk_bounds, marks_as_spaces, vocabulary
-from ._text import _ODD, _power_tables, blocks, mix
+from ._pieces import MARK, Chunks, ChunkTable, chunk_bounds, distinct, marks_as_spaces, vocabulary
+from ._text import _ODD, blocks
 
-LANE = 32
+LANE, STEP = 32, 16
 #: Chunks that a Python worker remembers.
 CACHE = 1 << 18
-_SLOTS = 1 << 21
+_SLOT_BITS = 20
+_FREE = np.uint64((1 << 64) - 1)
+
+
+class Trie(NamedTuple):
+    """Pieces by their characters: ``step`` of node << 21 | character is the next node, ``piece`` a node's id or -1.
+
+    ``key`` and ``value`` hold the same steps in open addressing, for many look-ups at once.
+    """
+
+    step: dict[int, int]
+    piece: list[int]
+    key: np.ndarray
+    value: np.ndarray
+    pieces: np.ndarray
+
+    def follow(self, node: np.ndarray, points: np.ndarray) -> np.ndarray:
+        """The next nodes, -1 where there is none."""
+        want = node.astype(np.uint64) << np.uint64(21) | points.astype(np.uint64)
+        slot = _slot(want)
+        got = self.key[slot]
+        out = np.where(got == want, self.value[slot], -1)
+        more = np.flatnonzero((got != want) & (got != _FREE))
+        while len(more):
+            slot[more] = slot[more] + 1 & (1 << _SLOT_BITS) - 1
+            got = self.key[slot[more]]
+            hit = got == want[more]
+            out[more[hit]] = self.value[slot[more[hit]]]
+            more = more[~hit & (got != _FREE)]
+        return out
+
+
+def _slot(key: np.ndarray) -> np.ndarray:
+    return (key * _ODD >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
+
+
+@lru_cache(4)
+def trie(path: str) -> Trie:
+    step: dict[int, int] = {}
+    piece = [-1]
+    for name, i in vocabulary(path).ids.items():
+        node = 0
+        for c in name:
+            key = node << 21 | ord(c)
+            if (after := step.get(key)) is None:
+                after = step[key] = len(piece)
+                piece.append(-1)
+            node = after
+        piece[node] = i
+    if 2 * len(step) > 1 << _SLOT_BITS:
+        raise ValueError("the model has too many pieces")
+    keys, values = np.fromiter(step, np.uint64), np.fromiter(step.values(), np.int64)
+    table, value = np.full(1 << _SLOT_BITS, _FREE), np.zeros(1 << _SLOT_BITS, np.int64)
+    slot = _slot(keys)
+    while len(keys):
+        _, first = np.unique(slot, return_index=True)
+        first = first[table[slot[first]] == _FREE]
+        table[slot[first]], value[slot[first]] = keys[first], values[first]
+        left = np.ones(len(keys), bool)
+        left[first] = False
+        keys, values, slot = keys[left], values[left], slot[left] + 1 & (1 << _SLOT_BITS) - 1
+    return Trie(step, piece, table, value, np.array(piece))
 
 
 class Stream:
     """Viterbi over characters that arrive one by one; :meth:`feed` and :meth:`close` return ids as they are certain."""
 
-    def __init__(self, vocab: Vocabulary):
-        self.v = vocab
+    def __init__(self, path: str):
+        self.v, self.trie = vocabulary(path), trie(path)
+        self.scores = self.v.scores.tolist()
         self.chars: list[str] = []  # since the last commit
-        self.score: list[float] = [0.0]  # of the boundaries since the last commit; only the last few are used
+        self.score: list[float] = [0.0]  # of the boundaries since the last commit
         self.back: list[int] = [0]  # length of the piece that ends at a boundary
+        self.walks: list[tuple[int, int]] = []  # boundaries from which a piece may go on, and the nodes reached
+        self.look = STEP
         self.most = 0  # most characters ever held
 
     def feed(self, char: str) -> list[int]:
         self.chars.append(char)
-        n, v = len(self.chars), self.v
+        n, point, step, piece = len(self.chars), ord(char), self.trie.step, self.trie.piece
         self.most = max(self.most, n)
-        best, back = -np.inf, 0
-        for k in range(min(n, v.longest), 0, -1):
-            i = v.ids.get("".join(self.chars[n - k :]))
-            s = v.scores[i] if i is not None else v.unknown if k == 1 else None
-            if s is not None and self.score[n - k] + s > best:
-                best, back = self.score[n - k] + s, k
+        best, back, walks = -np.inf, 0, []
+        for at, node in (*self.walks, (n - 1, 0)):
+            after = step.get(node << 21 | point)
+            i = -1
+            if after is not None:
+                walks.append((at, after))
+                i = piece[after]
+            if i >= 0:
+                total = self.score[at] + self.scores[i]
+            elif at == n - 1:
+                total = self.score[at] + self.v.unknown
+            else:
+                continue
+            if total > best:
+                best, back = total, n - at
+        self.walks = walks
         self.score.append(best)
         self.back.append(back)
-        live = {b for b in range(max(0, n - v.longest + 1), n + 1)}
+        if n < self.look:
+            return []
+        live = {at for at, _ in walks} | {n}
         while len(live) > 1:
             top = max(live)
             live.remove(top)
             live.add(top - self.back[top] if top else 0)
-        return self._commit(live.pop())
+        ids = self._commit(live.pop())
+        self.look = max(STEP, 2 * len(self.chars))
+        return ids
 
     def close(self) -> list[int]:
         return self._commit(len(self.chars))
@@ -77,86 +160,49 @@ class Stream:
             base = self.score[boundary]
             self.chars, self.back = self.chars[boundary:], [0, *self.back[boundary + 1 :]]
             self.score = [s - base for s in self.score[boundary:]]
+            self.walks = [(at - boundary, node) for at, node in self.walks if at >= boundary]
         return ids[::-1]
 
 
-def encode_stream(text: str, vocab: Vocabulary) -> list[int]:
+def encode_stream(text: str, path: str) -> list[int]:
     """Ids of one text, streamed."""
-    stream, ids = Stream(vocab), []
+    stream, ids = Stream(path), []
     for c in (MARK + text.replace(" ", MARK)) if text else "":
         ids += stream.feed(c)
     return ids + stream.close()
 
 
-@lru_cache(4)
-def _table(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """By slot: 1 for a piece's hash, 2 for the hash of what longer pieces begin with; by slot, a piece's place among the
-    sorted hashes; those hashes, ids and scores. A piece whose slot is taken has its place at the slot of its high bits.
-    """
-    v = vocabulary(path)
-    up, _ = _power_tables(64)
-    hash_of = lambda p: int(_piece_hash(np.array([ord(c) for c in p], np.uint64), up))
-    hashes = np.array([hash_of(p) for p in v.ids], np.uint64)
-    heads = np.array([hash_of(p) for p in {p[:k] for p in v.ids for k in range(1, len(p))}], np.uint64)
-    order = np.argsort(hashes)
-    slots = np.zeros(_SLOTS, np.uint8)
-    slots[hashes & np.uint64(_SLOTS - 1)] |= 1
-    slots[heads & np.uint64(_SLOTS - 1)] |= 2
-    ids = np.array(list(v.ids.values()), np.int32)[order]
-    hashes = hashes[order]
-    places = np.full((2, _SLOTS), -1, np.int32)
-    for i, h in enumerate(hashes.tolist()):
-        row, slot = (0, h & _SLOTS - 1) if places[0, h & _SLOTS - 1] < 0 else (1, h >> 40 & _SLOTS - 1)
-        if places[row, slot] >= 0:
-            raise ValueError("two pieces share both their slots")
-        places[row, slot] = i
-    return slots, places, hashes, ids, v.scores[ids].astype(np.float64)
-
-
-def _piece_hash(points: np.ndarray, up: np.ndarray) -> np.uint64:
-    return mix(((points + np.uint64(1)) * up[: len(points)]).sum(keepdims=True) + np.uint64(len(points) * _ODD & (1 << 64) - 1))[0]
-
-
 def _lanes(points: np.ndarray, start: np.ndarray, size: np.ndarray, path: str) -> tuple[np.ndarray, np.ndarray]:
     """Ids of chunks (ranges of code points), one after the other, and how many each has."""
-    v, (slots, places, hashes, ids, scores) = vocabulary(path), _table(path)
-    n, most = len(points), int(size.max())
-    up, down = _power_tables(n + 1)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((points.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
-    # Edges: pieces (place in the sorted table, -1: unknown character) by the point at which they begin.
+    v, pieces, most = vocabulary(path), trie(path), int(size.max())
+    # Edges: pieces (id, -1: unknown character) by the point at which they begin.
     live = _ragged(start, size)
     lane_of = np.repeat(np.arange(len(size)), size)
     step_of, stop = live - start[lane_of], (start + size)[lane_of]
     base = np.cumsum(size + 1) - size - 1  # a lane's boundary 0
     from_ = base[lane_of] + step_of
-    known = np.arange(len(live))
+    known, node = np.arange(len(live)), np.zeros(len(live), np.int64)
     edges = []
     for k in range(1, v.longest + 1):
-        known = known[live[known] + k <= stop[known]]
-        at = live[known]
-        h = mix((sums[at + k] - sums[at]) * down[at] + np.uint64(k * _ODD & (1 << 64) - 1))
-        mark = slots[h & np.uint64(_SLOTS - 1)]
-        maybe = np.flatnonzero(mark & 1)
-        h = h[maybe]
-        place = places[0, h & np.uint64(_SLOTS - 1)]
-        ok = (place >= 0) & (hashes[place] == h)
-        other = np.flatnonzero(~ok)
-        again = places[1, h[other] >> np.uint64(40) & np.uint64(_SLOTS - 1)]
-        found = (again >= 0) & (hashes[again] == h[other])
-        place[other[found]], ok[other[found]] = again[found], True
-        edges.append((known[maybe[ok]], place[ok], np.full(int(ok.sum()), k, np.int8)))
+        inside = live[known] + k <= stop[known]
+        known, node = known[inside], node[inside]
+        node = pieces.follow(node, points[live[known] + k - 1])
+        known, node = known[node >= 0], node[node >= 0]
+        place = pieces.pieces[node]
+        ok = place >= 0
+        edges.append((known[ok], place[ok], np.full(int(ok.sum()), k, np.int8)))
         if k == 1:
             lost = np.ones(len(live), bool)
             lost[edges[0][0]] = False
             lost = np.flatnonzero(lost)
             edges.append((lost, np.full(len(lost), -1), np.ones(len(lost), np.int8)))
-        known = known[mark >= 2]
+        if not len(known):
+            break
     edge, place, width = (np.concatenate(x) for x in zip(*edges, strict=True))
     step = step_of[edge].astype(np.int16)
     sort = np.argsort(step, kind="stable")
     edge, place, width = edge[sort], place[sort], width[sort]
-    gain = np.where(place >= 0, scores[place], v.unknown)
+    gain = np.where(place >= 0, v.scores[place], v.unknown)
     source = from_[edge]
     target = source + width
     first = np.searchsorted(step[sort], np.arange(most + 1))
@@ -169,7 +215,7 @@ def _lanes(points: np.ndarray, start: np.ndarray, size: np.ndarray, path: str) -
         better = np.flatnonzero(cand > score[to])
         to = to[better]
         score[to], by[to] = cand[better], better + a
-    back, by = width[by], np.where(place[by] >= 0, ids[place[by]], -1)
+    back, by = width[by], place[by]
     order = np.arange(len(size))
     # Walk back from each lane's end; step t holds the t-th last piece.
     at, left = base + size, size.copy()
@@ -210,26 +256,14 @@ class _Seen:
     """Ids of chunks that a worker has met more than once in a block; emptied when CACHE of them are held."""
 
     def __init__(self):
-        self.keys, self.where, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.int32)
-
-    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places of keys, and which are there."""
-        if not len(self.keys):
-            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return at, self.keys[at] == keys
-
-    def add(self, keys: np.ndarray, count: np.ndarray, ids: np.ndarray) -> None:
-        """keys are new; ids: those of all of them, one after the other."""
-        if len(self.keys) + len(keys) > CACHE:
+        self.table, self.ids = ChunkTable(2), np.zeros(0, np.int32)  # values: where, count
+
+    def add(self, chunks: Chunks, rows: np.ndarray, count: np.ndarray, ids: np.ndarray) -> None:
+        """ids: those of all chunks, one after the other."""
+        if len(self.table.key) + len(rows) > CACHE:
             self.__init__()
-        where = np.cumsum(count) - count + len(self.ids)
+        self.table.add(chunks, rows, np.stack([np.cumsum(count) - count + len(self.ids), count], axis=1))
         self.ids = np.concatenate([self.ids, ids])
-        all_ = np.concatenate([self.keys, keys])
-        order = np.argsort(all_, kind="stable")
-        self.keys = all_[order]
-        self.where, self.count = np.concatenate([self.where, where])[order], np.concatenate([self.count, count])[order]
 
 
 _seen: dict[str, _Seen] = {}
@@ -259,9 +293,9 @@ def _encode_chunks(data: np.ndarray, begin: np.ndarray, size: np.ndarray, path:
     long = np.flatnonzero(chars > LANE)
     if not len(long):
         return parts[0].astype(np.int32), count
-    done, v = len(parts[0]) if parts else 0, vocabulary(path)
+    done = len(parts[0]) if parts else 0
     for i in long:
-        stream, ids = Stream(v), []
+        stream, ids = Stream(path), []
         for c in map(chr, points[start[i] : start[i] + chars[i]].tolist()):
             ids += stream.feed(c)
         ids += stream.close()
@@ -273,27 +307,26 @@ def _encode_chunks(data: np.ndarray, begin: np.ndarray, size: np.ndarray, path:
 
 def encode_block(data: np.ndarray, offsets: np.ndarray, path: str) -> tuple[np.ndarray, np.ndarray]:
     """Ids of a block of documents, one after the other, and their ranges."""
-    data, offsets = marks_as_spaces(data, offsets)
-    key, begin, end, first = chunk_bounds(data, offsets)
-    if not len(key):
+    chunks = chunk_bounds(*marks_as_spaces(data, offsets))
+    if not len(chunks.key):
         return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
     seen = _seen.setdefault(path, _Seen())
-    at, known = seen.find(key)
-    where, count = np.zeros(len(key), np.int64), np.zeros(len(key), np.int64)
-    if len(seen.keys):
-        where[known], count[known] = seen.where[at[known]], seen.count[at[known]]
+    at, known = seen.table.find(chunks, np.arange(len(chunks.key)))
+    where, count = np.zeros((2, len(chunks.key)), np.int64)
+    where[known], count[known] = seen.table.values[at[known]].T
     flat = seen.ids
     if len(miss := np.flatnonzero(~known)):
-        keys, one, back, often = np.unique(key[miss], return_index=True, return_inverse=True, return_counts=True)
-        one = miss[one]
-        ids, each = _encode_chunks(data, begin[one], end[one] - begin[one], path)
+        one, back, often, odd = distinct(chunks, miss)
+        rows = np.concatenate([one, odd])
+        ids, each = _encode_chunks(chunks.data, chunks.begin[rows], chunks.end[rows] - chunks.begin[rows], path)
         place = np.cumsum(each) - each
         where[miss], count[miss] = place[back] + len(flat), each[back]
+        where[odd], count[odd] = place[len(one) :] + len(flat), each[len(one) :]
         flat = np.concatenate([flat, ids])
         again = np.flatnonzero(often > 1)
-        seen.add(keys[again], each[again], ids[_ragged(place[again], each[again])])
+        seen.add(chunks, one[again], each[again], ids[_ragged(place[again], each[again])])
     sums = np.concatenate([[0], np.cumsum(count)])
-    return flat[_ragged(where, count)], sums[first]
+    return flat[_ragged(where, count)], sums[chunks.first]
 
 
 @lru_cache(4)
@@ -364,24 +397,37 @@ def encode(df: DataFrame, path: str, text: str = "text", columns: tuple[str, ...
 def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "text") -> DataFrame:
     """``df`` without ``ids``, with the text they stand for; null for null, which is kept apart from no ids.
 
-    Bytes that are no UTF-8 become U+FFFD, as the library does; ids outside of the vocabulary raise an error.
+    Bytes that are no UTF-8 become U+FFFD, as the library does; ids that are null or outside of the vocabulary raise an
+    error. A column of ``df`` called as ``text`` is replaced.
     """
     df = df.drop(text)
     names = [c for c in df.columns if c != ids]
     kept = df.select(*[F.col(f"`{n}`") for n in names])
 
+    def texts(column: pa.Array) -> pa.Array:
+        missing = column.is_null().to_numpy(zero_copy_only=False)
+        own = column.flatten()
+        if own.null_count:
+            raise ValueError("an id is null")
+        own = own.to_numpy(zero_copy_only=False).astype(np.int64)
+        if len(own) and not 0 <= own.min() <= own.max() < len(vocabulary(path).text):
+            raise ValueError("an id is outside of the vocabulary")
+        size = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        raw, to = decode_block(own, np.concatenate([[0], np.cumsum(size)]), path)
+        whole = raw.tobytes()
+        begins = raw[to[:-1][to[:-1] < len(raw)]]
+        try:
+            whole.decode()
+            good = not ((begins & 0xC0) == 0x80).any()  # no text begins within a character
+        except UnicodeDecodeError:
+            good = False
+        if not good:
+            return pa.array([None if m else whole[a:b].decode("utf-8", "replace") for m, a, b in zip(missing, to[:-1], to[1:], strict=True)], pa.string())
+        valid = pa.py_buffer(np.packbits(~missing, bitorder="little").tobytes())
+        return pa.Array.from_buffers(pa.large_string(), len(column), [valid, pa.py_buffer(to.astype(np.int64).tobytes()), pa.py_buffer(whole)]).cast(pa.string())
+
     def run(batches):
         for batch in batches:
-            column = batch.column(batch.num_columns - 1)
-            texts = []
-            for row in column:
-                if row.as_py() is None:
-                    texts.append(None)
-                    continue
-                own = np.array(row.as_py(), np.int64)
-                if len(own) and not 0 <= own.min() <= own.max() < len(vocabulary(path).text):
-                    raise ValueError("an id is outside of the vocabulary")
-                texts.append(decode_block(own, np.array([0, len(own)]), path)[0].tobytes().decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], names=[*batch.schema.names[:-1], text])
-
-    return df.select(*[F.col(f"`{n}`") for n in names], F.col(ids).alias("__ids")).mapInArrow(run, kept.schema.add(text, "string"))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], texts(batch.column(batch.num_columns - 1))], names=[*batch.schema.names[:-1], text])
+
+    return df.select(*[F.col(f"`{n}`") for n in names], F.col(ids).cast("array<int>").alias("__ids")).mapInArrow(run, kept.schema.add(text, "string"))

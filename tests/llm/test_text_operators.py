@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from atomspan.llm import _pieces, decontamination, hmm, language_id, license_scan, quotes, similarity_join, token_counts, topk, toxicity, viterbi
+from atomspan.llm import _pieces, _text, decontamination, hmm, language_id, license_scan, quotes, similarity_join, token_counts, topk, toxicity, viterbi
 from atomspan.llm._text import ALNUM, NON_SPACE, blocks, split_words
 
 spm = pytest.importorskip("sentencepiece")
@@ -271,15 +271,82 @@ def test_viterbi_equals_the_library_in_unigram_mode(tmp_path):
     sp = spm.SentencePieceProcessor(model_file=path)
     r = random.Random(6)
     texts = [t for t in ODD if len(t) < 1000] + ["".join(r.choice(" ▁theing\né語😀  ") for _ in range(r.randrange(50))) for _ in range(400)]
-    vocab = _pieces.vocabulary(path)
     for _, _, data, offsets in blocks(pa.array(texts)):
         ids, first = viterbi.encode_block(data, offsets, path)
         for t, a, b in zip(texts, first[:-1], first[1:], strict=True):
-            assert ids[a:b].tolist() == sp.encode(t) == viterbi.encode_stream(t, vocab)
+            assert ids[a:b].tolist() == sp.encode(t) == viterbi.encode_stream(t, path)
+
+
+def thue_morse(a, b, n=1024):
+    """Two words that hashes by a polynomial modulo 2**64 do not tell apart."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join((a, b)[x] for x in bits), "".join((b, a)[x] for x in bits)
+
+
+def test_words_of_colliding_patterns_are_told_apart(spark):
+    sp = spm.SentencePieceProcessor(model_file=PATH)
+    one, two = thue_morse("a", "b")
+    for k in (8, 16, 40):
+        assert len({h for w in thue_morse("a", "b", k) for h in split_words(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)])).hash.tolist()}) == 2
+    texts = [f"{one} x {one} x", f"{two} x {two} x", one, two]
+    table = docs(spark, [(i, t, None) for i, t in enumerate(texts)]).coalesce(1)
+    assert {x.doc_id: x.n_tokens for x in token_counts.count_tokens(table, PATH).collect()} == {i: len(sp.encode(t)) for i, t in enumerate(texts)}
+    out = viterbi.encode(table, PATH, columns=("ids", "round_trip")).collect()
+    assert all(x.round_trip and x.ids == viterbi.encode_stream(texts[x.doc_id], PATH) for x in out)
+    assert {x.class_id for x in similarity_join.near_duplicates(table.where("doc_id > 1")).collect()} == {2, 3}
+    model, counts = hmm.fit(table.where("doc_id = 2"))
+    assert {x.doc_id: x.n_known for x in hmm.score(table, model, counts).collect()}[3] == 1
+
+
+def test_chunks_of_one_hash_are_told_apart(spark, monkeypatch):
+    """With hashes that all collide, results stay what the library gives."""
+    short = lambda data, numbers, start, end, wide=False: ((end - start).astype(np.uint64) % np.uint64(3), None)
+    monkeypatch.setattr(_text, "hash_ranges", short)
+    monkeypatch.setattr(token_counts, "_cache", {})
+    monkeypatch.setattr(viterbi, "_seen", {})
+    r = random.Random(12)
+    texts = ODD + [" ".join("".join(r.choice("abé ") for _ in range(r.randrange(1, 20))) for _ in range(30)) for _ in range(20)]
+    for _ in range(2):
+        for _, _, data, offsets in blocks(pa.array(texts), 300):
+            ids, first = viterbi.encode_block(data, offsets, PATH)
+            for k, (a, b) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)):
+                assert ids[first[k] : first[k + 1]].tolist() == viterbi.encode_stream(data[a:b].tobytes().decode().replace("▁", " "), PATH)
+    chunks = _pieces.chunk_bounds(*(lambda raw: (np.frombuffer(raw, np.uint8), np.array([0, len(raw)])))(" ".join(w for t in texts for w in t.split()).encode()))
+    table = _pieces.ChunkTable()
+    rows, back, _, odd = _pieces.distinct(chunks, np.arange(len(chunks.key)))
+    table.add(chunks, rows, np.arange(len(rows)))
+    at, ok = table.find(chunks, np.arange(len(chunks.key)))
+    words = chunks.texts(np.arange(len(chunks.key)))
+    assert len(odd) and set(odd) == set(np.flatnonzero(~ok))
+    assert all(words[rows[table.values[at[i], 0]]] == words[i] for i in np.flatnonzero(ok))
+
+
+def test_long_texts_without_spaces():
+    import time
+
+    text = "".join(random.Random(13).choice("漢字かな交じり文を読むabc") for _ in range(60000))
+    began = time.time()
+    ids = viterbi.encode_stream(text, PATH)
+    assert time.time() - began < 5
+    raw = np.frombuffer(text.encode(), np.uint8)
+    got, first = viterbi.encode_block(raw, np.array([0, len(raw)]), PATH)
+    assert got.tolist() == ids and viterbi.decode_block(got, first, PATH)[0].tobytes() == text.encode()
+
+
+def test_decoding_odd_ids(spark):
+    v = _pieces.vocabulary(PATH)
+    e = [int(v.byte_ids[b]) for b in "é".encode()]
+    rows = [(1, [e[0]]), (2, [e[1]]), (3, None), (4, []), (5, e), (6, [v.ids["▁a"]])]
+    df = spark.createDataFrame(rows, "doc_id long, ids array<int>").coalesce(1)
+    sp = spm.SentencePieceProcessor(model_file=PATH)
+    for part in (df, df.where("doc_id > 2")):
+        assert all(x.text == (None if dict(rows)[x.doc_id] is None else sp.decode(dict(rows)[x.doc_id])) for x in viterbi.decode(part, PATH).collect())
+    with pytest.raises(Exception, match="an id is null"):
+        viterbi.decode(spark.createDataFrame([(1, [None])], "doc_id long, ids array<int>"), PATH).collect()
 
 
 def test_stream_holds_a_window():
-    stream = viterbi.Stream(_pieces.vocabulary(PATH))
+    stream = viterbi.Stream(PATH)
     for c in "▁this▁is▁a▁text" * 200:
         stream.feed(c)
     assert stream.most < 64
@@ -344,6 +411,58 @@ def test_hidden_markov_model(spark):
     assert all(x.score == x.base_score for x in hmm.score(table, none, no_counts).collect())
 
 
+def naive_counts(model, docs_):
+    """Expected counts and log10 likelihoods by the plain recursion."""
+    out, logs = hmm._nothing(model), []
+    for o in docs_:
+        e = model.emit[o]
+        alphas, scales = [], []
+        a = model.start * e[0]
+        for t in range(len(o)):
+            a = (alphas[-1] @ model.move) * e[t] if t else a
+            scales.append(a.sum())
+            alphas.append(a / a.sum())
+        b = np.ones(hmm.STATES)
+        for t in range(len(o) - 1, -1, -1):
+            g = alphas[t] * b
+            out["emit"][o[t]] += g
+            if t:
+                out["move"] += model.move * np.outer(alphas[t - 1], e[t] * b / scales[t])
+                b = model.move @ (e[t] * b) / scales[t]
+        out["start"] += g
+        logs.append(np.log10(scales).sum())
+    return out, logs
+
+
+def test_runs_change_nothing(monkeypatch):
+    monkeypatch.setattr(hmm, "RUN", 7)
+    monkeypatch.setattr(hmm, "RUNS", 3)
+    r = np.random.default_rng(3)
+    n = 20
+    emit = r.dirichlet(np.ones(n) * 0.3, hmm.STATES).T + 1e-9
+    model = hmm.Model(None, r.dirichlet(np.ones(hmm.STATES)), r.dirichlet(np.ones(hmm.STATES), hmm.STATES), emit, 1, 1, 1, np.ones(1))
+    docs_ = [r.integers(0, n, k).astype(np.int32) for k in (1, 7, 8, 50, 3, 14, 101)]
+    first = np.concatenate([[0], np.cumsum([len(o) for o in docs_])])
+    want, logs = naive_counts(model, docs_)
+    got = hmm._nothing(model)
+    hmm._expect(model, np.concatenate(docs_), first, got)
+    for k in want:
+        assert np.allclose(got[k], want[k], rtol=1e-9, atol=1e-12)
+    assert hmm._likelihood(model, np.concatenate(docs_), first) == pytest.approx(logs, rel=1e-12)
+
+
+def test_a_text_of_a_million_tokens():
+    import time
+
+    r = np.random.default_rng(4)
+    emit = r.dirichlet(np.ones(50), hmm.STATES).T
+    model = hmm.Model(None, r.dirichlet(np.ones(hmm.STATES)), r.dirichlet(np.ones(hmm.STATES), hmm.STATES), emit, 1, 1, 1, np.ones(1))
+    o = r.integers(0, 50, 1_000_000).astype(np.int32)
+    began, got = time.time(), hmm._nothing(model)
+    hmm._expect(model, o, np.array([0, len(o)]), got)
+    assert time.time() - began < 60 and got["emit"].sum() == pytest.approx(len(o)) and got["move"].sum() == pytest.approx(len(o) - 1)
+
+
 def test_quotations(spark):
     rows = [(1, 0, "user", "Hello there\n\nHow are you?"), (1, 1, "bot", "> How are  YOU?\nFine."), (1, 2, "user", ">> How are you?\n> Fine.\nGood to hear"), (1, 3, "user", "> Hello there\nlate reply"), (1, 4, None, None), (2, 5, "user", "> nothing known\nhi"), (None, 0, "u", "a"), (2, 5, "user", "again"), (2, 3000, "user", "")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("thread", F.lit("clash"))
