@@ -5,12 +5,16 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; where none is set (a single machine, as in tests), a new one of our own."""
+    """The cluster's checkpoint folder. Where none is set, a new one of our own on a single machine, as in tests; on a
+    cluster, whose machines don't share such a folder, an error."""
     if not (folder := spark.conf.get("spark.checkpoint.dir", None)):
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all machines of {master} share")
         folder = tempfile.mkdtemp(prefix="atomspan_")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -19,4 +23,37 @@ def shared_folder(spark: SparkSession) -> str:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared folder and read back: a cut in its lineage that survives lost executors."""
     df.write.parquet(path := f"{shared_folder(df.sparkSession)}/{name}_{uuid.uuid4().hex}")
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_path = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Deletes what :func:`stored` wrote for ``df``, which nothing needs any more."""
+    spark = df.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._stored_path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def hot_join(rows: DataFrame, unique: DataFrame, key: str, size: str, total: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined to ``unique``, which has a row for each key, by ``key``; ``size``: how many rows have that key.
+
+    Keys that more than a quarter of a task's even share of ``total`` rows have would fill one task; they are broadcast, as
+    there are at most four times as many as tasks. The others are joined as usual. Null keys match nothing.
+    ``size`` is left out.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    limit = max(total // (4 * parts), 1)
+    values = [c for c in unique.columns if c not in (key, size)]
+    named = lambda df, tag: df.select(F.col(key).alias(f"__{tag}"), F.struct(*values).alias(f"__{tag}v"))
+    hot = named(unique.where(F.col(size) > limit), "hot")
+    cold = named(unique.where(F.col(size) <= limit), "cold")
+    # Rows with a hot key or none go anywhere; their other join key is a number of their own that no key equals.
+    met = rows.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left")
+    free = F.col("__hot").isNotNull() | F.col(key).isNull()
+    met = met.withColumn("__spread", F.when(free, F.monotonically_increasing_id()).otherwise(F.lit(-1).cast("long"))).withColumn("__own", F.when(~free, F.col(key)))
+    met = met.join(cold.withColumn("__none", F.lit(-1).cast("long")), (F.col("__own").eqNullSafe(F.col("__cold"))) & (F.col("__spread") == F.col("__none")), "left")
+    found = F.coalesce("__hotv", "__coldv")
+    if how == "inner":
+        met = met.where(found.isNotNull())
+    return met.select(*[F.col(f"`{c}`") for c in rows.columns], *[found[c].alias(c) for c in values])

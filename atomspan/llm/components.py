@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ._shared import stored
+from ._shared import forget, hot_join, stored
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -13,23 +13,27 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     Nodes are of any type that has an order; null nodes are left out, loops count as nodes on their own. Each round
     links nodes to smaller neighbours (Kiveris and others 2014), so the number of rounds grows with the logarithm of
     the number of nodes. A round shuffles a row for each edge twice; sums are made before the shuffle, and the rows of a
-    node of many neighbours are only joined to its one minimum.
+    node of many neighbours are joined to its minimum where they are (:func:`hot_join`). A round's table is deleted when
+    the next one is written.
     """
-    pairs = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x is not null and y is not null")
-    nodes = stored(pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct(), "nodes")
-    now = pairs.where("x != y").select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
-    mark = None
+    pairs = edges.select(F.col(a).alias("p"), F.col(b).alias("q")).where("p is not null and q is not null")
+    given = stored(pairs.select(F.greatest("p", "q").alias("x"), F.least("p", "q").alias("y")).distinct(), "edges")
+    nodes = given.select(F.explode(F.array("x", "y")).alias("node")).distinct()
+    now, mark, old = given.where("x != y"), None, None
     while True:
+        seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("x", "y").cast("decimal(38,0)")).alias("s")).first()
+        if seen == mark or not seen["n"]:
+            break
+        mark, total = seen, seen["n"]
         # Large star: every larger neighbour of a node goes to the node's smallest neighbour.
         both = now.union(now.select(F.col("y"), F.col("x"))).toDF("u", "v")
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        big = both.where("v > u").join(low, "u").select(F.col("v").alias("x"), F.col("m").alias("y")).distinct()
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        big = hot_join(both.where("v > u"), low, "u", "n", total).select(F.col("v").alias("x"), F.col("m").alias("y")).distinct()
         # Small star: a node's smaller neighbours and itself go to the smallest of them.
-        low = big.groupBy("x").agg(F.min("y").alias("m"))
-        small = big.join(low, "x").select(F.explode(F.array(F.struct("x", F.col("m").alias("y")), F.struct(F.col("y").alias("x"), F.col("m").alias("y")))).alias("e")).select("e.*").where("x != y").distinct()
+        low = big.groupBy("x").agg(F.min("y").alias("m"), F.count("*").alias("n"))
+        small = hot_join(big, low, "x", "n", total).select(F.explode(F.array(F.struct("x", F.col("m").alias("y")), F.struct(F.col("y").alias("x"), F.col("m").alias("y")))).alias("e")).select("e.*").where("x != y").distinct()
         now = stored(small, "edges")
-        seen = now.agg(F.count("*"), F.sum(F.xxhash64("x", "y").cast("decimal(38,0)"))).first()
-        if seen == mark:
-            break
-        mark = seen
+        if old is not None:
+            forget(old)
+        old = now
     return nodes.join(now.select(F.col("x").alias("node"), F.col("y").alias("root")), "node", "left").select("node", F.coalesce("root", "node").alias("root"))

@@ -1,15 +1,18 @@
 """Near duplicates by an n-gram Jaccard join: a MinHash LSH forest, then exact verification.
 
 A text is the set of its runs of five words. Texts of the same set are one class from the start. Each class has TREES
-signatures of DEPTH MinHash values; a tree is the trie of its signatures in sorted order, and two classes are candidates
-if they share a prefix in some tree. The prefixes start whole and are shortened, a value at a time, until a pair at the
-threshold meets in some tree with the target recall (:func:`prefix_length`); more similar pairs do so more surely. As the length depends on the threshold
-alone, each tree is stored as the hashes of prefixes of that length. Below a threshold of about 0.33 even prefixes of one
-value miss the target, and the shorter the prefixes, the larger the groups to be verified.
-
-Candidates form groups (the components that shared prefixes link). Every pair within a group is then verified on the
-sets themselves. A group of up to BLOCK_ROWS classes is one unit of work; of a larger one, every pair of blocks is. A
-unit returns counts of links and a spanning forest, never pairs, so its output has a row for each class in it.
+signatures of DEPTH MinHash values. A tree is the trie of its signatures; two classes are candidates if they share a
+prefix of the matched length in some tree, that is, lie in one subtree at that depth, which a grouping by prefix finds.
+The matched prefixes start whole and are shortened, a value at a time, until a pair at the threshold meets in some
+tree with the target recall and the similar pairs of a sample of classes do so as well (:func:`fitted_length`); more
+similar pairs meet more surely. Below a threshold of about 0.33 even prefixes of one value miss the target, and the
+shorter the prefixes, the larger the subtrees to be verified.
+
+Candidates are verified on the sets themselves. The components that shared prefixes link are units of work if they
+have at most BLOCK_ROWS classes and BLOCK_SET_BYTES of sets, and all their pairs are verified. Of a larger one, either every pair
+of its blocks is a unit, or every pair of blocks of each of its subtrees, a pair of classes counting in the first tree in
+which they meet: whichever copies fewer sets. Units return counts of links and a spanning forest, never pairs, so their
+output has a row for each class in them.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ._shared import stored
+from ._shared import hot_join, stored
 from ._text import blocks, mix, shingles, split_words
 from .components import connected_components
 
@@ -27,6 +30,10 @@ TREES, DEPTH = 16, 8
 RECALL = 0.998
 #: Classes, and bytes of their sets, in a block.
 BLOCK_ROWS, BLOCK_SET_BYTES = 2048, 16 << 20
+#: Classes (in expectation; twice as many at most) whose similar pairs check the length of prefixes.
+FIT_ROWS = 1000
+#: Bits of the filter through which texts pass that are read again, at least and at most. A full filter keeps no text back.
+FILTER_BITS = (1 << 16, 1 << 26)
 
 _rng = np.random.default_rng(20)
 _A = (_rng.integers(1, 1 << 32, TREES * DEPTH, np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -41,6 +48,36 @@ def prefix_length(threshold: float = THRESHOLD, recall: float = RECALL, trees: i
     return k
 
 
+def _met(sig: np.ndarray, pairs: np.ndarray, length: int) -> np.ndarray:
+    """Whether pairs of rows of (classes, trees, DEPTH) share a prefix in some tree."""
+    return (sig[pairs[:, 0], :, :length] == sig[pairs[:, 1], :, :length]).all(2).any(1)
+
+
+def fitted_length(classes: DataFrame, threshold: float) -> int:
+    """The length of matched prefixes: :func:`prefix_length`, or less if pairs of a sample miss each other more often.
+
+    The sample is of the classes whose first value in the first tree falls into a range, so that similar classes are
+    in it together; FIT_ROWS of them are expected and twice as many taken at most. Their pairs of estimated similarity
+    over the threshold are looked at in the other trees.
+    """
+    length = prefix_length(threshold)
+    some = max(1, classes.count() // FIT_ROWS)
+    first = F.conv(F.hex(F.substring("sig", 1, 2)), 16, 10).cast("int")
+    rows = [r["sig"] for r in classes.where(first < 65536 // some + 1).limit(2 * FIT_ROWS).select("sig").collect()]
+    if len(rows) < 2:
+        return length
+    sig = np.frombuffer(b"".join(map(bytes, rows)), ">u2").astype(np.uint16).reshape(-1, TREES, DEPTH)[:, 1:]
+    flat, found = sig.reshape(len(sig), -1), []
+    for i in range(len(sig) - 1):
+        like = (flat[i + 1 :] == flat[i]).mean(1) >= threshold
+        found.append(np.stack([np.full(like.sum(), i), i + 1 + np.flatnonzero(like)], axis=1))
+    pairs = np.concatenate(found)
+    missed = len(pairs) * (1 - RECALL)
+    while length > 1 and (~_met(sig, pairs, length)).sum() > missed + 3 * missed**0.5 + 1:
+        length -= 1
+    return length
+
+
 def signatures(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
     """MinHash values, 16 bits of each, of documents that all have a shingle: (documents, TREES * DEPTH)."""
     short = (hashes >> np.uint64(32)).astype(np.uint32)
@@ -70,29 +107,23 @@ def _digests(hashes: np.ndarray, first: np.ndarray) -> list[bytes | None]:
     return [pairs[i].tobytes() if n else None for i, n in enumerate(np.diff(first))]
 
 
-def sketch(df: DataFrame, key: str, text: str, width: int, threshold: float = THRESHOLD) -> DataFrame:
-    """(key, th: hash of the text, cls: the set's digest, size of the set, prefix hash of each tree)."""
-    depth = prefix_length(threshold)
+def sketch(df: DataFrame, key: str, text: str, width: int) -> DataFrame:
+    """(key, th: hash of the text, cls: the set's digest, size of the set, sig: signatures, two bytes a value)."""
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(2)
-            for i, j, data, offsets in blocks(texts):
+            for i, j, data, offsets in blocks(batch.column(2)):
                 hashes, first = _sets(data, offsets, width)
                 full = np.flatnonzero(np.diff(first))
-                keys = np.zeros((j - i, TREES), np.uint64)
+                sig = [None] * (j - i)
                 if len(full):
-                    sig = signatures(hashes, np.append(first[full], len(hashes))).reshape(len(full), TREES, DEPTH)
-                    h = np.zeros((len(full), TREES), np.uint64)
-                    for k in range(depth):
-                        h = mix(h + sig[:, :, k] + np.uint64(k + 1))
-                    keys[full] = mix(h ^ np.arange(1, TREES + 1, dtype=np.uint64) << np.uint64(40))
-                trees = pa.FixedSizeListArray.from_arrays(pa.array(keys.view(np.int64).ravel()), TREES).cast(pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(_digests(hashes, first), pa.binary()), pa.array(np.diff(first)), trees], names=["key", "th", "cls", "size", "trees"])
+                    for k, row in zip(full.tolist(), signatures(hashes, np.append(first[full], len(hashes))).astype(">u2"), strict=True):
+                        sig[k] = row.tobytes()
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(_digests(hashes, first), pa.binary()), pa.array(np.diff(first)), pa.array(sig, pa.binary())], names=["key", "th", "cls", "size", "sig"])
 
     rows = df.select(F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("th"), F.col(text).cast("string").alias("text"))
     kind = dict(df.dtypes)[key]
-    return rows.mapInArrow(run, f"key {kind}, th long, cls binary, size long, trees array<long>")
+    return rows.mapInArrow(run, f"key {kind}, th long, cls binary, size long, sig binary")
 
 
 def common(sets: list[np.ndarray]) -> np.ndarray:
@@ -135,14 +166,17 @@ def common(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def verify(sets: list[np.ndarray], side: np.ndarray | None, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Links of each set within the unit, and the first set of its component. side: if given, pairs are of both sides."""
+def verify(sets: list[np.ndarray], side: np.ndarray | None, threshold: float, earlier: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Links of each set within the unit, and the first set of its component. side: if given, pairs are of both sides;
+    earlier: if given, each set's prefixes in the trees before this one, and pairs that share one don't count."""
     size = np.array([len(s) for s in sets])
     both = common(sets)
     linked = both >= threshold * (size[:, None] + size[None, :] - both) - 1e-9
     np.fill_diagonal(linked, False)
     if side is not None:
         linked &= side[:, None] != side[None, :]
+    for prefix in () if earlier is None else earlier.T:
+        linked &= prefix[:, None] != prefix[None, :]
     root = np.arange(len(sets))
     while True:
         low = np.minimum(root, np.where(linked, root[None, :], len(sets)).min(1))
@@ -153,18 +187,18 @@ def verify(sets: list[np.ndarray], side: np.ndarray | None, threshold: float) ->
 
 
 def _units(df: DataFrame, threshold: float) -> DataFrame:
-    """(cls, links, root) of the rows (unit, cls, side, two, set) that are sorted by unit within partitions."""
+    """(cls, links, root) of the rows (unit, cls, side, two, tree, prefixes, set) that are sorted by unit within partitions."""
 
     def run(batches):
         unit, held = None, []
 
         def done():
+            held.sort(key=lambda h: h[0])
             names = [h[0] for h in held]
-            order = sorted(range(len(names)), key=names.__getitem__)
-            sets = [np.frombuffer(held[i][3], np.uint64) for i in order]
-            side = np.array([held[i][1] for i in order]) if held[0][2] else None
-            links, root = verify(sets, side, threshold)
-            return pa.RecordBatch.from_arrays([pa.array([names[i] for i in order], pa.binary()), pa.array(links, pa.int64()), pa.array([names[order[r]] for r in root], pa.binary())], names=["cls", "links", "root"])
+            side = np.array([h[1] for h in held]) if held[0][2] else None
+            earlier = np.array([h[4][: held[0][3]] for h in held], np.int64) if held[0][3] else None
+            links, root = verify([np.frombuffer(h[5], np.uint64) for h in held], side, threshold, earlier)
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(links, pa.int64()), pa.array([names[r] for r in root], pa.binary())], names=["cls", "links", "root"])
 
         for batch in batches:
             for u, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -179,40 +213,86 @@ def _units(df: DataFrame, threshold: float) -> DataFrame:
     return df.mapInArrow(run, "cls binary, links long, root binary")
 
 
-def _join(df: DataFrame, key: str, text: str, threshold: float, width: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows' classes (key, th, cls), classes' components (cls, rep, at, root), and classes' links (cls, n_links)."""
-    base = stored(sketch(df, key, text, width, threshold), "sketches")
-    have = base.where("cls is not null")
-    classes = stored(have.groupBy("cls").agg(F.min("key").alias("rep"), F.min(F.struct(F.col("key").isNull(), "key", "th")).alias("at"), F.first("size").alias("size"), F.first("trees").alias("trees")), "classes")
-    # Prefixes that two classes share.
-    prefixes = classes.select("cls", F.explode("trees").alias("prefix"))
-    shared = prefixes.groupBy("prefix").agg(F.count("*").alias("n"), F.min("cls").alias("lead")).where("n > 1").select("prefix", "lead")
-    groups = connected_components(prefixes.join(shared, "prefix").select("cls", "lead").distinct(), "cls", "lead")
-    members = stored(groups.select(F.col("node").alias("cls"), F.col("root").alias("grp")).join(classes.select("cls", "at", "size"), "cls"), "members")
-    sizes = members.groupBy("grp").agg(F.count("*").alias("n"), F.sum(F.col("size") * 8).alias("bytes"))
-    blocks_of = F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.ceil(F.col("bytes") / BLOCK_SET_BYTES)).cast("int")
-    placed = members.join(sizes.select("grp", blocks_of.alias("nb")), "grp").withColumn("b", F.pmod(F.xxhash64("cls"), F.col("nb")).cast("int"))
-    # Sets of the members, from their texts, straight to the units of work they take part in.
-    active = placed.select(F.col("at.key").alias("__key"), F.col("at.th").alias("__th"), "cls", "grp", "nb", "b")
-    texts = df.select(F.col(key).alias("__key"), F.xxhash64(F.col(text)).alias("__th"), F.col(text).cast("string").alias("text"))
-    met = texts.join(active.hint("shuffle_hash"), texts["__key"].eqNullSafe(active["__key"]) & (texts["__th"] == active["__th"])).select("cls", "grp", "nb", "b", "text")
-
-    def to_sets(batches):
+def _filter_table(hashes: DataFrame, n: int) -> np.ndarray:
+    """Bits at two places of each of n hashes (column h); of a fixed size at most, whatever their number."""
+    bits = min(FILTER_BITS[1], max(FILTER_BITS[0], 1 << (16 * n).bit_length()))
+    places = F.array(*[F.pmod(x, F.lit(bits)) for x in (F.col("h"), F.shiftright("h", 27))])
+    words = hashes.select(F.explode(places).alias("p")).groupBy(F.shiftright("p", 6).alias("k")).agg(F.expr("bit_or(shiftleft(1L, cast(p & 63 as int)))").alias("v")).toArrow()
+    table = np.zeros(bits // 64, np.int64)
+    table[words["k"].to_numpy()] = words["v"].to_numpy()
+    return table
+
+
+def _in_filter(table: np.ndarray, h: np.ndarray) -> np.ndarray:
+    out = np.ones(len(h), bool)
+    for x in (h, h >> 27):
+        p = x % (64 * len(table))
+        out &= table[p >> 6] >> (p & 63) & 1 == 1
+    return out
+
+
+def _sets_again(df: DataFrame, key: str, text: str, width: int, wanted: DataFrame, n: int) -> DataFrame:
+    """(__key, __th, set) of the n rows of ``df`` that are wanted (columns k, t), and of a few more. Texts stay in their tasks."""
+    table = df.sparkSession.sparkContext.broadcast(_filter_table(wanted.select(F.xxhash64("k", "t").alias("h")), n))
+
+    def run(batches):
         for batch in batches:
-            for i, j, data, offsets in blocks(batch.column(4)):
-                hashes, first = _sets(data, offsets, width)
-                sets = pa.array([hashes[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([*[c.slice(i, j - i) for c in batch.columns[:4]], sets], names=["cls", "grp", "nb", "b", "set"])
+            for part in [batch.filter(pa.array(_in_filter(table.value, batch.column(2).to_numpy())))]:
+                for i, j, data, offsets in blocks(part.column(3)):
+                    hashes, first = _sets(data, offsets, width)
+                    sets = pa.array([hashes[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary())
+                    yield pa.RecordBatch.from_arrays([part.column(0).slice(i, j - i), part.column(1).slice(i, j - i), sets], names=["__key", "__th", "set"])
+
+    rows = df.select(F.col(key).alias("k"), F.xxhash64(F.col(text)).alias("t"), F.col(text).cast("string").alias("text")).select("k", "t", F.xxhash64("k", "t").alias("h"), "text")
+    return rows.mapInArrow(run, f"__key {dict(df.dtypes)[key]}, __th long, set binary")
 
-    sets = met.mapInArrow(to_sets, "cls binary, grp binary, nb int, b int, set binary")
-    other = F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("o")
-    units = sets.select("cls", "grp", "b", "set", other).select(F.concat("grp", F.encode(F.format_string("%d,%d", F.least("b", "o"), F.greatest("b", "o")), "utf-8")).alias("unit"), "cls", "b", (F.col("b") != F.col("o")).alias("two"), "set")
+
+def _blocks_of(n, size):
+    return F.greatest(F.ceil(n / BLOCK_ROWS), F.ceil(size / BLOCK_SET_BYTES)).cast("long")
+
+
+def _join(df: DataFrame, key: str, text: str, threshold: float, width: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows' classes (key, th, cls), classes' components (cls, rep, at, n, root), and classes' links (cls, n_links)."""
+    base = stored(sketch(df, key, text, width), "sketches")
+    have = base.where("cls is not null")
+    classes = stored(have.groupBy("cls").agg(F.min("key").alias("rep"), F.min(F.struct(F.col("key").isNull(), "key", "th")).alias("at"), F.first("size").alias("size"), F.first("sig").alias("sig"), F.count("*").alias("n")), "classes")
+    length, count = fitted_length(classes, threshold), classes.count()
+    # Subtrees that hold two classes or more.
+    trees = F.array(*[F.xxhash64(F.lit(t), F.substring("sig", 2 * DEPTH * t + 1, 2 * length)) for t in range(TREES)])
+    forest = classes.select("cls", "size", F.posexplode(trees).alias("tree", "prefix"))
+    subtrees = forest.groupBy("prefix").agg(F.count("*").alias("n"), F.min("cls").alias("lead")).where("n > 1")
+    shared = hot_join(forest, subtrees.withColumn("many", F.col("n")), "prefix", "n", TREES * count)
+    shared = stored(shared.select("cls", "size", "tree", "prefix", "lead"), "subtrees")
+    groups = connected_components(shared.select("cls", "lead").distinct(), "cls", "lead")
+    members = stored(groups.select(F.col("node").alias("cls"), F.col("root").alias("grp")).join(classes.select("cls", "at", "size", trees.alias("trees")), "cls"), "members")
+    # Components in one block; of the others, what either way of cutting copies.
+    sizes = members.groupBy("grp").agg(F.count("*").alias("n"), _blocks_of(F.count("*"), F.sum(F.col("size") * 8)).alias("nb"))
+    large = stored(sizes.where("nb > 1"), "large")
+    within = members.join(F.broadcast(large), "grp") if (some := large.count()) <= 100_000 else members.join(large, "grp")
+    leaf = within.select("cls", "grp", "size", F.col("n").alias("all"), F.col("nb").alias("grp_nb"), F.posexplode("trees").alias("tree", "prefix"))
+    leaves = leaf.groupBy("grp", "grp_nb", "all", "tree", "prefix").agg(F.count("*").alias("m"), _blocks_of(F.count("*"), F.sum(F.col("size") * 8)).alias("nb")).where("m > 1")
+    by_leaf = leaves.groupBy("grp", "grp_nb", "all").agg(F.sum(F.col("m") * F.col("nb")).alias("copies")).where(F.col("copies") < F.col("all") * F.col("grp_nb")).select("grp")
+    whole = members.join(sizes.select("grp", "nb"), "grp").withColumns({"tree": F.lit(0), "unit": F.col("grp")})
+    if some:
+        by_leaf = stored(by_leaf, "by_leaf")
+        whole = whole.join(by_leaf, "grp", "left_anti")
+        own = leaves.join(by_leaf, "grp", "left_semi").select("grp", "tree", "prefix", "nb")
+        leafy = members.join(by_leaf, "grp", "left_semi").select("cls", "at", "trees", "grp", F.posexplode("trees").alias("tree", "prefix")).join(own, ["grp", "tree", "prefix"])
+        leafy = leafy.withColumn("unit", F.encode(F.concat(F.col("tree").cast("string"), F.lit(":"), F.col("prefix").cast("string")), "utf-8"))
+        both = ["cls", "at", "trees", "tree", "unit", "nb"]
+        whole = whole.select(*both).unionByName(leafy.select(*both))
+    placed = whole.withColumn("b", F.pmod(F.xxhash64("cls"), F.col("nb")).cast("int"))
+    active = placed.select(F.col("at.key").alias("k"), F.col("at.th").alias("t"), "cls", "unit", "nb", "b", "tree", F.when(F.col("tree") > 0, F.col("trees")).alias("prefixes"))
+    sets = _sets_again(df, key, text, width, members.select(F.col("at.key").alias("k"), F.col("at.th").alias("t")), members.count())
+    met = sets.join(active, sets["__key"].eqNullSafe(active["k"]) & (sets["__th"] == active["t"]))
+    other = F.explode(F.sequence(F.lit(0), F.col("nb").cast("int") - 1)).alias("o")
+    units = met.select("cls", "unit", "b", "tree", "prefixes", "set", other).select(F.concat("unit", F.encode(F.format_string("/%d,%d", F.least("b", "o"), F.greatest("b", "o")), "utf-8")).alias("unit"), "cls", "b", (F.col("b") != F.col("o")).alias("two"), "tree", "prefixes", "set")
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    once = units.repartition(n, "unit").sortWithinPartitions("unit", "cls").select("unit", "cls", "b", "two", "set")
-    found = stored(_units(once.dropDuplicates(["unit", "cls"]).sortWithinPartitions("unit", "cls"), threshold), "links")
+    once = units.repartition(n, "unit").dropDuplicates(["unit", "cls"]).sortWithinPartitions("unit", "cls").select("unit", "cls", "b", "two", "tree", "prefixes", "set")
+    found = stored(_units(once, threshold), "links")
     links = found.groupBy("cls").agg(F.sum("links").alias("n_links"))
     roots = connected_components(found.select("cls", "root").where("cls != root"), "cls", "root").select(F.col("node").alias("cls"), "root")
-    named = classes.select("cls", "rep", "at").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    named = classes.select("cls", "rep", "at", "n").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     return base, stored(named, "roots"), links
 
 
@@ -222,12 +302,15 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", thre
     class_id: the smallest key of all rows that links of at least ``threshold`` connect to this one; rep_id: the smallest
     key of the rows with the same set of shingles; n_links: how many other sets are linked to this row's set. A text of
     fewer words than ``width`` is one shingle of all its words. A text without words, or null, is linked to none: its
-    class_id and rep_id are its own key. Rows may repeat, and keys may be null or repeat; null keys count as largest.
+    class_id and rep_id are its own key. Rows may repeat, and keys may be null or repeat; null keys count as largest. Very
+    long texts count whole. Other columns of ``df`` don't matter.
     """
     base, named, links = _join(df, key, text, threshold, width)
-    low = named.groupBy("root").agg(F.min("rep").alias("class_id"))
-    known = named.join(low, "root").join(links, "cls", "left").select("cls", "class_id", F.col("rep").alias("rep_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return base.select("key", "cls").join(known, "cls", "left").select(F.col("key").alias(key), F.when(F.col("cls").isNull(), F.col("key")).otherwise(F.col("class_id")).alias("class_id"), F.when(F.col("cls").isNull(), F.col("key")).otherwise(F.col("rep_id")).alias("rep_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    low = named.groupBy("root").agg(F.min("rep").alias("class_id"), F.count("*").alias("many"))
+    known = hot_join(named, low, "root", "many", named.count()).join(links, "cls", "left").select("cls", "n", "class_id", F.col("rep").alias("rep_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    rows = hot_join(base.select("key", "cls"), known, "cls", "n", base.count(), "left")
+    mine = lambda c: F.when(F.col("cls").isNull(), F.col("key")).otherwise(F.col(c)).alias(c)
+    return rows.select(F.col("key").alias(key), mine("class_id"), mine("rep_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, width: int = WIDTH) -> DataFrame:

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from atomspan.llm import _pieces, _text, decontamination, hmm, language_id, license_scan, quotes, similarity_join, token_counts, topk, toxicity, viterbi
+from atomspan.llm import queries as llm_queries
 from atomspan.llm._text import ALNUM, NON_SPACE, blocks, split_words
 
 spm = pytest.importorskip("sentencepiece")
@@ -232,6 +233,43 @@ def test_near_duplicates_at_a_lower_threshold(spark):
     assert {x.doc_id: (x.class_id, x.n_links) for x in out} == {i: (i - i % 2, 1) for i, _ in rows}
 
 
+@pytest.mark.parametrize("block", [2048, 4])
+def test_a_chain_of_near_duplicates_equals_brute_force(spark, monkeypatch, block):
+    """A component of many small subtrees, and another in which all texts are alike."""
+    monkeypatch.setattr(similarity_join, "BLOCK_ROWS", block)
+    words = [f"w{k}" for k in range(400)]
+    rows = [(i, " ".join(words[4 * i : 4 * i + 60])) for i in range(40)]
+    rows += [(100 + i, " ".join([f"same{k}" for k in range(80)] + [f"end{i}"])) for i in range(15)]
+    out = similarity_join.near_duplicates(docs(spark, [(i, t, None) for i, t in rows])).collect()
+    assert {x.doc_id: (x.class_id, x.n_links) for x in out} == brute_join(rows)
+
+
+def test_recall_near_the_threshold(spark):
+    """Of 1500 pairs between 0.8 and 0.84, at least the target share is linked, and of pairs below none."""
+    rows, near = [], 0
+    for g in range(1500):
+        n = 104
+        base = [f"g{g}w{k}" for k in range(n)]
+        cut = 11 if g % 5 else 14  # new words at the end: J = (100 - cut) / (100 + cut)
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(base[: n - cut] + [f"g{g}x{k}" for k in range(cut)]))]
+        near += cut == 11
+    out = {x.doc_id: x for x in similarity_join.near_duplicates(docs(spark, [(i, t, None) for i, t in rows])).collect()}
+    assert 0.8 <= 89 / 111 < 0.81 and 86 / 114 < 0.8
+    found = [out[2 * g + 1].class_id == 2 * g for g in range(1500)]
+    assert sum(found) >= near * similarity_join.RECALL - 4 and not any(found[g] for g in range(0, 1500, 5))
+
+
+def test_a_sample_can_shorten_prefixes(spark, monkeypatch):
+    sig = np.random.default_rng(1).integers(0, 65536, (300, similarity_join.TREES, similarity_join.DEPTH)).astype(np.uint16)
+    twin = sig.copy()
+    twin[:, 1:, 2] += 1  # alike but for one value of each prefix
+    table = lambda x: spark.createDataFrame([(bytearray(r.astype(">u2").tobytes()),) for r in x], "sig binary")
+    monkeypatch.setattr(similarity_join, "FIT_ROWS", 600)
+    assert similarity_join.fitted_length(table(np.concatenate([sig, sig])), 0.8) == similarity_join.prefix_length(0.8) == 5
+    assert similarity_join.fitted_length(table(np.concatenate([sig, twin])), 0.8) == 2
+    assert similarity_join.fitted_length(table(sig).limit(0), 0.8) == 5
+
+
 def test_near_duplicates_of_nothing_and_of_null_keys(spark):
     none = docs(spark, [(None, "a b c d e f", None), (None, "a b c d e f", None), (3, "a b c d e f", None)])
     assert {x.class_id for x in similarity_join.near_duplicates(none).collect()} == {3}
@@ -381,6 +419,48 @@ def test_top_k_equals_brute_force(spark):
     assert topk.top_k(df.limit(0), F.col("vec_id") % 25 == 0).count() == 0
 
 
+def sql_rows(sql, tables):
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    for name, table in tables.items():
+        con.register(name, table.toArrow())
+    return con.execute(sql).fetchall()
+
+
+def test_top_k_of_repeated_rows(spark):
+    r = np.random.default_rng(5)
+    base = [(i, r.normal(size=5).round(2).tolist()) for i in range(7)] + [(7, [5.0] * 5)]
+    rows = base + [base[7]] * 5 + [base[0]] + [(50, [9.0, 9.0, 1.0, 0.0, 0.0])] * 2 + [(i, x) for i, (_, x) in enumerate(base[:3], 100)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = sorted((q, k, v, s) for q, k, v, s in sql_rows("SELECT query_id, rank, vec_id, score FROM (" + llm_queries.OP5_SQL + ")", {"embeddings": df}))
+    for n in (1, 6):
+        out = topk.top_k(df.repartition(n), F.col("vec_id") % 50 == 0)
+        assert sorted(map(tuple, out.collect())) == want
+    assert max(sum(v == 7 for q, _, v, _ in want if q == x) for x in (0, 50, 100)) >= 5
+
+
+def test_cutoffs_skip_work():
+    r = np.random.default_rng(6)
+    centres = r.normal(size=(20, 64))
+    x = np.floor(256 * (centres[r.integers(0, 20, 2000)] + 0.1 * r.normal(size=(2000, 64))))
+    vec, q = np.arange(2000), topk.Queries(np.arange(0, 2000, 50), x[::50])
+    (a, _, s), first = topk.gather(q, vec, x, 5)
+    cut = np.array([np.sort(s[a == n])[-5] for n in q.names])
+    (a, v, s), second = topk.resolve(q, cut, vec, x)
+    brute = len(q.names) * 2000 * 64
+    assert first < 0.3 * brute and second < 0.5 * brute
+    full = (x[::50] @ x.T).astype(np.int64)
+    want = {(n, w) for i, n in enumerate(q.names) for w in vec if w != n and full[i, w] >= cut[i]}
+    assert set(zip(a.tolist(), v.tolist(), strict=True)) == want and all(full[n // 50, w] == k for n, w, k in zip(a, v, s, strict=True))
+
+
+def test_top_k_in_several_blocks_of_queries(spark, monkeypatch):
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 2)
+    df = spark.createDataFrame([(i, [float(i % 7), 1.0, -float(i)]) for i in range(60)], "vec_id long, embedding array<double>")
+    want = sorted((q, k, v, s) for q, k, v, s in sql_rows("SELECT query_id, rank, vec_id, score FROM (" + llm_queries.OP5_SQL.replace("% 50", "% 10") + ")", {"embeddings": df}))
+    assert sorted(map(tuple, topk.top_k(df, F.col("vec_id") % 10 == 0).collect())) == want
+
+
 def test_hidden_markov_model(spark):
     r = random.Random(8)
     say = lambda k: " ".join(f"{k}{min(int(r.expovariate(0.1)), 60)}" for _ in range(80))
