@@ -570,8 +570,54 @@ def test_quotations_of_parts_and_levels(spark):
 def test_license_notices(spark):
     filler = " ".join(f"w{i}" for i in range(90))
     rows = [(1, f"{filler} Released under the MIT License. {filler}", None), (2, filler, None), (3, None, None), (4, "", None), (5, "licensed under the APACHE license version 2 0", None), (5, "licensed under the APACHE license version 2 0", None), (6, "released under the MIT", None), (None, "Licensed under CC BY-NC 4.0.", None), *[(10 + i, t, None) for i, t in enumerate(ODD)]]
-    table = docs(spark, rows).withColumn("template", F.lit("clash")).drop("template")
-    out = license_scan.scan(table, license_scan.notices(spark)).collect()
+    table = docs(spark, rows).withColumns({"template": F.lit("clash"), "start": F.lit("x"), "containment": F.lit(2), "h": F.lit("mine"), "n": F.lit(5), "w": F.lit(6), "band": F.lit(7), "id": F.lit(8)})
+    found = license_scan.scan(table, license_scan.notices(spark))
+    assert set(found.columns) == {"doc_id", "lang", "source", "n_chars", "h", "n", "w", "band", "id", "template", "start", "shared", "containment"}
+    out = found.collect()
     assert sorted((str(x.doc_id), x.template) for x in out) == [("1", "MIT"), ("5", "Apache-2.0"), ("5", "Apache-2.0"), ("None", "CC-BY-NC-4.0")]
+    assert {(x.h, x.n, x.w, x.band, x.id) for x in out} == {("mine", 5, 6, 7, 8)}
     assert license_scan.scan(table.limit(0), license_scan.notices(spark)).count() == 0
     assert license_scan.scan(table, license_scan.notices(spark).limit(0)).count() == 0
+
+
+def license_sets(t, width=5):
+    w = words_of(t)
+    return [tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))] if w else []
+
+
+def brute_licenses(text, templates):
+    """Template: best containment over the operator's windows, where it reaches the share."""
+    out = {}
+    for name, t in templates:
+        want = set(license_sets(t))
+        if not want or name is None:
+            continue
+        places = license_sets(text, min(5, len(words_of(t))))
+        step = 1 << (len(words_of(t)) - 1).bit_length()
+        best = max((len(want & set(places[k : k + 2 * step])) / len(want) for k in range(0, max(1, len(places)), step)), default=0)
+        if best >= license_scan.CONTAINMENT:
+            out[name] = round(best, 6)
+    return out
+
+
+@pytest.mark.parametrize("limit", [200_000, 70])
+def test_license_scan_equals_brute_force(spark, monkeypatch, limit):
+    """All windows that hold a template are found, those of altered texts and of tables in several parts too."""
+    monkeypatch.setattr(license_scan, "TABLE_SHINGLES", limit)
+    r = random.Random(14)
+    templates = license_scan.NOTICES + license_scan.LICENSES + [("tiny", "All rights kept"), ("none", "..."), (None, "x y z")]
+    filler = lambda n: " ".join(f"w{r.randrange(500)}" for _ in range(n))
+    texts = [None, "", filler(50)]
+    for _, t in templates[:-2]:
+        for changed in (0, 0.02, 0.06):
+            w = [x if r.random() >= changed else "other" for x in t.split()]
+            texts.append(f"{filler(r.randrange(80))} {' '.join(w)} {filler(r.randrange(80))}")
+    texts += [" ".join(r.choice(templates[:-2])[1] for _ in range(5)) for _ in range(12)]
+    if limit < 1000:
+        texts = texts[::6]
+    found = license_scan.scan(docs(spark, [(i, t, None) for i, t in enumerate(texts)]), spark.createDataFrame(templates, "template string, text string"))
+    got: dict = {i: {} for i in range(len(texts))}
+    for x in found.collect():
+        got[x.doc_id][x.template] = round(x.containment, 6)
+    want = {i: brute_licenses(t, templates) for i, t in enumerate(texts)}
+    assert sum(map(len, want.values())) > 10 and got == want
