@@ -93,8 +93,8 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = quotes.conversations(_table(spark, sf_dir, "conversations"))
-    return found.select("conv_id", "turn", "role", "parent_turn", "by_quote", F.col("depth").cast("long").alias("depth"), "thread", F.sha2("text", 256).alias("text_sha256"))
+    found = quotes.as_chat(quotes.conversations(_table(spark, sf_dir, "conversations")))
+    return found.select("conv_id", "turn", "role", "parent_turn", "by_quote", "depth", "thread", "position", F.sha2("chat", 256).alias("chat_sha256"))
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,11 @@
 """Conversations in the order of replies, from the quotations in their messages; DataFrame expressions only.
 
+A conversation is a tree of replies. Its reading order is depth first: a message, then those that answer it, earlier ones
+first, each with all that follows from it. Chains of messages that answer the turn before are runs, and are read in one
+piece; only the tree of runs is walked, by list ranking on its tour (each round doubles the length of the steps). What has
+to be known of the row before, in the order of turns or of replies, is found in partitions by range and handed on between
+them, so that one conversation may be of any size.
+
 A line that begins with '>' signs is a quotation, and their number is its level. Passages are hashed without regard to
 case and white space: of a message, its own text (all lines of level 0), each paragraph and each line of it; of a
 quotation, the lines of a level within a block of quoted lines: all together, each run of them without a line of another
@@ -13,13 +19,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ._shared import stored
+from ._shared import forget, hot_join, stored
 
 _PREFIX = r"^[ \t]*(?:>[ \t]*)+"
 _BLOCK = r"(?m)(?:^[ \t]*>[^\n]*(?:\n|\z))+"
-#: Turns in a part of a conversation, when turns before are looked for.
-TURNS = 1024
-
 
 def level(line: Column) -> Column:
     """Quote level of a line."""
@@ -76,11 +79,32 @@ def _quoted(text: Column) -> Column:
     return F.transform(F.filter(found, lambda p: p["x"] != ""), lambda p: F.struct(p["l"].alias("l"), F.sha2(p["x"], 256).alias("h"), p["own"].alias("own")))
 
 
+def _in_order(df: DataFrame, *order: Column) -> DataFrame:
+    """``df`` stored in partitions by range, numbered in the given order by ``__part``, and its rows by ``__no``."""
+    cut = stored(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "ordered")
+    inside = cut.withColumn("__no", F.row_number().over(Window.partitionBy("__part").orderBy(*order)).cast("long"))
+    sizes = cut.groupBy("__part").agg(F.count("*").alias("n"))  # a row a partition
+    before = sizes.select("__part", F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    return inside.join(F.broadcast(before), "__part").withColumn("__no", F.col("__no") + F.col("__before")).drop("__before")
+
+
+def _last(df: DataFrame, value: Column, name: str, to: int = 0) -> DataFrame:
+    """With ``name``: the last value that is not null of the rows up to this one, or with ``to`` -1 before it, in the
+    order of ``__no``."""
+    df = df.withColumn("__v", value)
+    own = F.last("__v", ignorenulls=True).over(Window.partitionBy("__part").orderBy("__no").rowsBetween(Window.unboundedPreceding, to))
+    ends = df.where(F.col("__v").isNotNull()).groupBy("__part").agg(F.max_by("__v", "__no").alias("v"))
+    parts = df.select("__part").distinct().join(ends, "__part", "left")
+    handed = parts.select("__part", F.last("v", ignorenulls=True).over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)).alias("__handed"))
+    return df.withColumn("__own", own).join(F.broadcast(handed), "__part").withColumn(name, F.coalesce("__own", "__handed")).drop("__v", "__own", "__handed")
+
+
 def link(df: DataFrame, conv: str = "conv_id", turn: str = "turn", text: str = "text") -> DataFrame:
-    """(conv, turn, parent, quoted): for each turn of a conversation the turn it answers, and whether a quotation says so.
+    """(conv, turn, parent, quoted, before): for each turn of a conversation the turn it answers, whether a quotation says
+    so, and the turn before; in the order of :func:`_in_order`.
 
     The first turn answers none. Rows of the same conversation and turn are one message in several parts. Rows without a
-    conversation or turn are left out.
+    conversation or turn are left out. Turns are numbers.
     """
     rows = df.select(F.col(conv).alias("c"), F.col(turn).alias("t"), F.col(text).cast("string").alias("x")).where("c is not null and t is not null")
     own = own_text(F.col("x"))
@@ -90,40 +114,73 @@ def link(df: DataFrame, conv: str = "conv_id", turn: str = "turn", text: str = "
     met = quotes.join(origin, ["c", "h"]).where("parent < t").groupBy("c", "t", "l", "parent").agg(F.array_distinct(F.flatten(F.collect_list("own"))).alias("own"))
     met = met.withColumn("n", F.aggregate("own", F.lit(0).cast("long"), lambda a, x: a + x["n"]))
     chosen = met.groupBy("c", "t").agg(F.min_by("parent", F.struct("l", -F.col("n"), -F.col("parent"))).alias("by_quote"))
-    # The turn before, found within parts of a conversation and between them.
-    turns = rows.select("c", "t").distinct().withColumn("b", F.floor(F.col("t") / TURNS))
-    last = turns.groupBy("c", "b").agg(F.max("t").alias("m")).withColumn("m", F.lag("m").over(Window.partitionBy("c").orderBy("b")))
-    before = turns.withColumn("p", F.lag("t").over(Window.partitionBy("c", "b").orderBy("t"))).join(last, ["c", "b"])
-    linked = before.select("c", "t", F.coalesce("p", "m").alias("before")).join(chosen, ["c", "t"], "left")
-    return linked.select(F.col("c").alias("conv"), F.col("t").alias("turn"), F.coalesce("by_quote", "before").alias("parent"), F.col("by_quote").isNotNull().alias("quoted"))
+    turns = _last(_in_order(rows.select("c", "t").distinct(), F.col("c"), F.col("t")), F.struct("c", "t"), "prior", -1)
+    before = F.when(F.col("prior.c") == F.col("c"), F.col("prior.t"))
+    linked = turns.select("c", "t", "__part", "__no", before.alias("before")).join(chosen, ["c", "t"], "left")
+    return linked.select(F.col("c").alias("conv"), F.col("t").alias("turn"), F.coalesce("by_quote", "before").alias("parent"), F.col("by_quote").isNotNull().alias("quoted"), "before", "__part", "__no")
+
+
+def _rank(runs: DataFrame) -> DataFrame:
+    """(conv, run, start, base): of runs (conv, run, n: turns; up, at: the turn answered and its run and place there) the
+    number of turns read before, and the depth of the first turn."""
+    order = [F.col("conv"), F.col("up.run"), F.col("up.turn").desc(), F.col("run")]
+    replies = _last(_in_order(runs.where("up is not null").select("conv", "run", "up"), *order), F.struct("conv", "up.run", F.col("run").alias("reply")), "prior", -1)
+    older = replies.select("conv", "run", F.when((F.col("prior.conv") == F.col("conv")) & (F.col("prior.run") == F.col("up.run")), F.col("prior.reply")).alias("older"))
+    final = replies.groupBy("conv", F.col("up.run").alias("run")).agg((-F.min(F.struct(F.col("up.turn").alias("t"), (-F.col("run")).alias("r")))["r"]).alias("final"))
+    known = runs.join(older, ["conv", "run"], "left").join(final, ["conv", "run"], "left")
+    # The tour enters a run (side 0) and leaves it (side 1); each event but the first of a conversation has one before it.
+    entry = F.struct(F.lit(0).alias("side"), F.when(F.col("older").isNotNull(), F.struct(F.col("older").alias("run"), F.lit(1).alias("side"))).otherwise(F.when(F.col("up").isNotNull(), F.struct(F.col("up.run").alias("run"), F.lit(0).alias("side")))).alias("prior"), F.col("n").alias("read"), F.coalesce(F.col("up.place") + 1, F.lit(0)).cast("long").alias("down"))
+    leave = F.struct(F.lit(1).alias("side"), F.when(F.col("final").isNotNull(), F.struct(F.col("final").alias("run"), F.lit(1).alias("side"))).otherwise(F.struct(F.col("run").alias("run"), F.lit(0).alias("side"))).alias("prior"), F.lit(0).cast("long").alias("read"), (-F.coalesce(F.col("up.place") + 1, F.lit(0))).cast("long").alias("down"))
+    now = stored(known.select("conv", "run", "n", F.explode(F.array(entry, leave)).alias("e")).select("conv", "run", "n", "e.*"), "tour")
+    while now.where("prior is not null").limit(1).count():
+        done, going = now.where("prior is null"), now.where("prior is not null")
+        above = now.select("conv", F.struct("run", "side").alias("prior"), F.col("prior").alias("p2"), F.col("read").alias("r2"), F.col("down").alias("d2"))
+        met = going.join(above, ["conv", "prior"])  # events before are all different, so no key is hot
+        after = stored(done.unionByName(met.select("conv", "run", "n", "side", F.col("p2").alias("prior"), (F.col("read") + F.col("r2")).alias("read"), (F.col("down") + F.col("d2")).alias("down"))), "tour")
+        forget(now)
+        now = after
+    return now.where("side = 0").select("conv", "run", (F.col("read") - F.col("n")).alias("start"), F.col("down").alias("base"))
 
 
 def threads(links: DataFrame) -> DataFrame:
-    """``links`` with ``root``, the turn a chain of replies leads back to, and ``depth``, its length.
-
-    A chain is halved in each round, so there are as many rounds as the logarithm of the longest one; only turns whose chain
-    has not ended are joined again.
-    """
-    now = stored(links.withColumn("up", F.col("parent")).withColumn("depth", F.when(F.col("parent").isNull(), F.lit(0)).otherwise(F.lit(1))).withColumn("root", F.coalesce("parent", "turn")), "threads")
-    while now.where("up is not null").limit(1).count():
-        above = now.select(F.col("conv").alias("conv"), F.col("turn").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("d2"), F.col("root").alias("r2"))
-        done, going = now.where("up is null"), now.where("up is not null")
-        met = going.join(above, ["conv", "up"], "left")
-        now = stored(done.unionByName(met.select("conv", "turn", "parent", "quoted", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth"), F.coalesce("r2", "root").alias("root"))), "threads")
-    return now.drop("up")
+    """``links`` with ``thread``, the first turn of the run of replies that a turn is in; ``depth``, its distance from the
+    conversation's first turn; and ``position``, its place in reading order, from 0."""
+    begins = F.col("before").isNull() | (F.col("parent") != F.col("before"))
+    turns = _last(links, F.when(begins, F.struct(F.col("turn").alias("run"), F.col("__no").alias("first"))), "own")
+    turns = stored(turns.select("conv", "turn", "parent", "quoted", F.col("own.run").alias("run"), (F.col("__no") - F.col("own.first")).alias("place")), "turns")
+    total = turns.count()
+    starts = turns.where("turn = run").select("conv", "run", F.struct("conv", F.col("parent").alias("turn")).alias("key"), "parent")
+    sizes = starts.where("parent is not null").groupBy("key").agg(F.count("*").alias("many"))
+    answered = sizes.join(turns.select(F.struct("conv", "turn").alias("key"), F.struct("run", "turn", "place").alias("up")), "key")
+    lengths = turns.groupBy("conv", "run").agg(F.count("*").alias("n"))
+    runs = stored(hot_join(starts, answered, "key", "many", starts.count(), "left").select("conv", "run", "up").join(lengths, ["conv", "run"]), "runs")
+    ranked = _rank(runs).join(lengths, ["conv", "run"]).select(F.struct("conv", "run").alias("key"), "start", "base", "n")
+    found = hot_join(turns.withColumn("key", F.struct("conv", "run")), ranked, "key", "n", total)
+    return found.select("conv", "turn", "parent", "quoted", F.col("run").alias("thread"), (F.col("base") + F.col("place")).alias("depth"), (F.col("start") + F.col("place")).alias("position"))
 
 
 def conversations(df: DataFrame, conv: str = "conv_id", turn: str = "turn", text: str = "text") -> DataFrame:
-    """``df`` with quotations taken out of ``text``, and parent_turn, by_quote, depth, thread.
+    """``df`` with quotations taken out of ``text``, and parent_turn, by_quote, depth, thread, position.
 
-    Ordered by conversation, thread, turn, rows read as conversations in which every message follows the one it answers,
-    as a parent is of an earlier turn. Rows without a conversation or turn have nulls in the new columns.
+    Ordered by conversation and position, rows read as conversations without quotes in which what answers a message
+    follows it. Rows without a conversation or turn have nulls in the new columns; columns of the new names are replaced.
+    Null texts stay null, empty ones empty, and very long ones are parsed whole; they quote nothing if no line begins
+    with '>'. Rows of the same conversation and turn, repeated or not, share their links and position.
     """
-    found = threads(link(df, conv, turn, text)).select(F.col("conv").alias("__c"), F.col("turn").alias("__t"), F.col("parent").alias("parent_turn"), F.col("quoted").alias("by_quote"), "depth", F.col("root").alias("thread"))
-    rows = df.drop("parent_turn", "by_quote", "depth", "thread").withColumns({text: own_text(F.col(text).cast("string")), "__k": F.col(conv), "__u": F.col(turn)})
-    return rows.join(found, (F.col("__k") == F.col("__c")) & (F.col("__u") == F.col("__t")), "left").drop("__k", "__u", "__c", "__t")
+    made = ["parent_turn", "by_quote", "depth", "thread", "position"]
+    found = threads(link(df, conv, turn, text)).select(F.col("conv").alias("__c"), F.col("turn").alias("__t"), F.col("parent").alias("parent_turn"), F.col("quoted").alias("by_quote"), "depth", "thread", "position")
+    rows = df.drop(*made).withColumns({text: own_text(F.col(text).cast("string")), "__k": F.col(conv), "__u": F.col(turn)})
+    placed = rows.where("__k is not null and __u is not null").join(found, (F.col("__k") == F.col("__c")) & (F.col("__u") == F.col("__t")), "left").drop("__k", "__u", "__c", "__t")
+    apart = rows.where("__k is null or __u is null").drop("__k", "__u")
+    return placed.unionByName(apart, allowMissingColumns=True)
 
 
 def as_chat(df: DataFrame, role: str = "role", text: str = "text") -> DataFrame:
     """``df`` with ``chat``: each message in a plain chat template."""
     return df.withColumn("chat", F.concat(F.lit("<|"), F.coalesce(F.col(role).cast("string"), F.lit("unknown")), F.lit("|>\n"), F.coalesce(F.col(text), F.lit("")), F.lit("\n<|end|>\n")))
+
+
+def chats(df: DataFrame, conv: str = "conv_id", turn: str = "turn", text: str = "text", role: str = "role") -> DataFrame:
+    """:func:`conversations` with ``chat``, sorted by conversation and position over all partitions: written out as it is, the
+    column ``chat`` is every conversation in reading order, one after the other."""
+    return as_chat(conversations(df, conv, turn, text), role, text).orderBy(conv, "position")

@@ -548,13 +548,88 @@ def test_quotations(spark):
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("thread", F.lit("clash"))
     out = quotes.conversations(df).collect()
     assert len(out) == len(rows)
-    got = {(x.conv_id, x.turn): (x.text, x.parent_turn, x.by_quote, x.depth, x.thread) for x in out if x.conv_id == 1}
-    assert got == {(1, 0): ("Hello there\n\nHow are you?", None, False, 0, 0), (1, 1): ("Fine.", 0, True, 1, 0), (1, 2): ("Good to hear", 1, True, 2, 0), (1, 3): ("late reply", 0, True, 1, 0), (1, 4): (None, 3, False, 2, 0)}
+    got = {(x.conv_id, x.turn): (x.text, x.parent_turn, x.by_quote, x.depth, x.thread, x.position) for x in out if x.conv_id == 1}
+    assert got == {(1, 0): ("Hello there\n\nHow are you?", None, False, 0, 0, 0), (1, 1): ("Fine.", 0, True, 1, 0, 1), (1, 2): ("Good to hear", 1, True, 2, 0, 2), (1, 3): ("late reply", 0, True, 1, 3, 3), (1, 4): (None, 3, False, 2, 3, 4)}
+    assert [(x.parent_turn, x.position) for x in out if x.conv_id is None] == [(None, None)]
     assert [x.parent_turn for x in out if x.turn == 3000] == [5]
     assert quotes.as_chat(quotes.conversations(df)).where("chat is null").count() == 0
     assert quotes.conversations(df.limit(0)).count() == 0
 
 
+def plain(t):
+    return " ".join(re.sub(r"(?m)^[ \t]*(?:>[ \t]*)+", "", t).lower().split())
+
+
+def brute_parents(turns):
+    """Parent by quotation of each turn of one conversation, {turn: text}, by the rules in words."""
+    depth = lambda line: len(re.match(r"[ \t]*(?:>[ \t]*)*", line)[0].replace(" ", "").replace("\t", ""))
+    own = {t: "\n".join(x for x in text.split("\n") if not depth(x)).strip() for t, text in turns.items()}
+    passages = {t: {plain(p) for p in [x, *re.split(r"\n\s*\n", x), *x.split("\n")]} - {""} for t, x in own.items()}
+    out = {}
+    for t, text in turns.items():
+        blocks_, run = [], []
+        for line in [*text.split("\n"), "end"]:
+            if depth(line):
+                run.append((depth(line), plain(line)))
+            elif run:
+                blocks_.append(run)
+                run = []
+        hits = {}
+        for block in blocks_:
+            pieces = [[x for x in block if x[0] == k] for k in dict.fromkeys(k for k, _ in block)]
+            for new in (lambda x, y: x[0] != y[0], lambda x, y: x[0] != y[0] or not x[1] or not y[1], lambda x, y: True):
+                parts = [[block[0]]]
+                for x, y in zip(block[1:], block, strict=False):
+                    if new(x, y):
+                        parts.append([])
+                    parts[-1].append(x)
+                pieces += parts
+            for piece in pieces:
+                whole = " ".join(x for _, x in piece if x)
+                first = min((u for u in turns if whole in passages[u]), default=None) if whole else None
+                if first is not None and first < t:
+                    hits.setdefault((piece[0][0], first), set()).update(x for _, x in piece if x)
+        if hits:
+            out[t] = min(hits, key=lambda k: (k[0], -sum(map(len, hits[k])), -k[1]))[1]
+    return own, out
+
+
+def test_reading_order_equals_brute_force(spark):
+    r = random.Random(15)
+    rows, want = [], {}
+    for c in range(25):
+        turns = {}
+        for t in sorted(r.sample(range(200), 1 + 2 * c)):
+            say = "\n\n".join("\n".join(" ".join(f"{r.choice('abc')}{r.randrange(30)}" for _ in range(r.randrange(1, 5))) for _ in range(r.randrange(1, 3))) for _ in range(r.randrange(1, 3)))
+            quote = ""
+            if turns and r.random() < 0.6:
+                source = r.choice([u for u in turns])
+                lines_ = turns[source].split("\n")
+                a = r.randrange(len(lines_))
+                quote = "\n".join(r.choice(["> ", ">"]) + x for x in lines_[a : a + r.randrange(1, 6)]) + "\n"
+            turns[t] = quote + say
+        own, quoted = brute_parents(turns)
+        order = sorted(turns)
+        parent = {t: quoted.get(t, order[i - 1] if i else None) for i, t in enumerate(order)}
+        depth, place = {}, {}
+
+        def read(t):
+            place[t], depth[t] = len(place), 0 if parent[t] is None else depth[parent[t]] + 1
+            for u in order:
+                if parent[u] == t:
+                    read(u)
+
+        read(order[0])
+        rows += [(c, t, "user", x) for t, x in turns.items()]
+        want |= {(c, t): (own[t], parent[t], t in quoted, depth[t], place[t]) for t in turns}
+    r.shuffle(rows)
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3).withColumn("position", F.lit("clash"))
+    got = {(x.conv_id, x.turn): (x.text, x.parent_turn, x.by_quote, x.depth, x.position) for x in quotes.conversations(df).collect()}
+    assert got == want and sum(v[2] for v in want.values()) > 100
+    chat = [(x.conv_id, x.position) for x in quotes.chats(df).collect()]
+    assert chat == sorted(chat)
+
+
 def test_quotations_of_parts_and_levels(spark):
     one, two = "The first paragraph is\nabout rivers.", "The second is about\nstones and trees."
     rows = [(1, 0, f"{one}\n\n{two}\n\nThe third is short."), (1, 1, "Nothing quoted"), (1, 2, "Nor here\nin two lines"), (1, 3, "> The first\n> paragraph is about rivers.\n>\n> The second is about stones\n> and trees.\nI agree")]
