@@ -139,7 +139,7 @@ def split_words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray = ALNUM
     if not heads:
         return words
     first = numbers[start]
-    return words, [np.where(end - start > k, mix((first & LOW_BYTES[k]) ^ np.uint64(k + 1) * _SECOND), np.uint64(0)) for k in heads]
+    return words, [np.where(end - start > k, mix((first & LOW_BYTES[k]) ^ np.uint64((k + 1) * int(_SECOND) & (1 << 64) - 1)), np.uint64(0)) for k in heads]
 
 
 def shingles(words: Words, width: int = 5) -> tuple[np.ndarray, np.ndarray]:

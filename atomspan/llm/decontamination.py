@@ -10,7 +10,7 @@ neither texts nor words are shuffled and each row of the corpus keeps to itself,
 3. What is left is looked up in the hash table, and counts once its words equal the window's.
 
 The benchmark is small against the corpus, but that is checked: more than ``TABLE_WINDOWS`` windows are dealt into several
-tables, each of them used in a pass of its own.
+tables, each of them used in a pass of its own; a long item goes in pieces of PIECE windows.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from ._shared import stored
 
 N = 10
 #: Windows in one table, at about 50 bytes each.
-TABLE_WINDOWS = 100_000
+TABLE_WINDOWS, PIECE = 100_000, 10_000
 #: Slots of the bit table and of the hash table.
 BITS, SLOTS = 1 << 18, 1 << 15
 
@@ -39,6 +39,12 @@ def _items(benchmark: DataFrame, item: str, text: str) -> DataFrame:
     return benchmark.select(F.col(item).cast("string").alias("id"), words(F.col(text).cast("string")).alias("w")).where(F.size("w") > 0).distinct()
 
 
+def _pieces(items: DataFrame, n: int) -> DataFrame:
+    """Items of more than PIECE windows as several, which overlap so that they have the same windows."""
+    more = F.greatest(F.size("w") - n, F.lit(0)) / PIECE
+    return items.select("id", "w", F.explode(F.sequence(F.lit(0), F.floor(more).cast("int"))).alias("k")).select("id", F.slice("w", F.col("k") * PIECE + 1, PIECE + n - 1).alias("w"))
+
+
 def _starts(n: int) -> Column:
     return F.sequence(F.lit(0), F.greatest(F.size("w") - n, F.lit(0)))
 
@@ -118,15 +124,22 @@ def find(corpus: DataFrame, benchmark: DataFrame, text: str = "text", item: str
     """Each row of ``corpus`` as it is, with what its text shares with the benchmark.
 
     n_words (long), bench_hits: array of (start, stop, items) of the windows that occur, as 0-based word ranges with stop
-    excluded; a null id stands as null among items. A null or empty text has 0 words and no hits. Columns of ``corpus``
-    of these names are replaced.
+    excluded; a null id stands as null among items. A null or empty text has 0 words and no hits; very long texts are
+    scanned whole, and rows that repeat give rows that repeat. Columns of ``corpus`` of these names are replaced.
     """
-    bench = _items(benchmark, item, item_text)
+    made = ["n_words", "bench_hits"]
+    kept = [F.col(f"`{c}`") for c in corpus.columns if c not in made]
+    return _find(corpus, benchmark, text, item, item_text, n).select(*kept, F.col("__n").alias("n_words"), F.col("__hits").alias("bench_hits"))
+
+
+def _find(corpus: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", n: int = N) -> DataFrame:
+    """All columns of ``corpus``, with __n and __hits."""
+    bench = _pieces(_items(benchmark, item, item_text), n)
     sizes = bench.groupBy(F.least(F.size("w"), F.lit(n)).alias("k")).agg(F.sum(F.size(_starts(n))).alias("n")).collect()  # n rows at most
     lengths, total = sorted(r["k"] for r in sizes), sum(r["n"] for r in sizes)
-    w, into = "__words", "bench_hits"
-    out = corpus.drop("n_words", into).withColumn(w, words(F.col(f"`{text}`").cast("string")))
-    out = out.withColumn("n_words", F.greatest(F.coalesce(F.size(w), F.lit(0)), F.lit(0)).cast("long")).withColumn(into, F.array().cast(_HITS))
+    w, into = "__words", "__hits"
+    out = corpus.withColumn(w, words(F.col(f"`{text}`").cast("string")))
+    out = out.withColumn("__n", F.greatest(F.coalesce(F.size(w), F.lit(0)), F.lit(0)).cast("long")).withColumn(into, F.array().cast(_HITS))
     parts = -(-total // TABLE_WINDOWS)
     for part in range(parts):
         own = bench if parts == 1 else bench.where(F.pmod(F.xxhash64("id", "w"), F.lit(parts)) == part)
@@ -151,16 +164,16 @@ def items(hits: Column) -> Column:
 def remove_documents(corpus: DataFrame, benchmark: DataFrame, text: str = "text", max_hit: int = 0) -> DataFrame:
     """Rows of ``corpus`` with at most ``max_hit`` words inside windows of the benchmark; columns as in ``corpus``."""
     # Rows go by an empty array to explode: a filter would be pushed into the scan and repeat its expressions.
-    kept = F.when(n_hit(F.col("bench_hits")) <= max_hit, F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))
-    return find(corpus, benchmark, text).withColumn("__kept", F.explode(kept)).select(*[F.col(f"`{c}`") for c in corpus.columns])
+    kept = F.when(n_hit(F.col("__hits")) <= max_hit, F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))
+    return _find(corpus, benchmark, text).withColumn("__kept", F.explode(kept)).select(*[F.col(f"`{c}`") for c in corpus.columns])
 
 
 def remove_spans(corpus: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """``corpus`` whose texts lack the words inside windows; a text with hits becomes its other words, a space between.
 
-    Texts without hits stay as they are, to the byte.
+    Texts without hits stay as they are, to the byte; all other columns do.
     """
-    found = find(corpus, benchmark, text).withColumn("__words", F.regexp_extract_all(F.col(f"`{text}`").cast("string"), F.lit(r"[0-9A-Za-z\x80-\x{10FFFF}]+"), F.lit(0)))
-    kept = F.filter("__words", lambda x, i: ~F.exists("bench_hits", lambda h: (h["start"] <= i) & (i < h["stop"])))
-    clean = F.when(F.size("bench_hits") > 0, F.array_join(kept, " ")).otherwise(F.col(f"`{text}`"))
+    found = _find(corpus, benchmark, text).withColumn("__words", F.regexp_extract_all(F.col(f"`{text}`").cast("string"), F.lit(r"[0-9A-Za-z\x80-\x{10FFFF}]+"), F.lit(0)))
+    kept = F.filter("__words", lambda x, i: ~F.exists("__hits", lambda h: (h["start"] <= i) & (i < h["stop"])))
+    clean = F.when(F.size("__hits") > 0, F.array_join(kept, " ")).otherwise(F.col(f"`{text}`"))
     return found.withColumn(text, clean).select(*[F.col(f"`{c}`") for c in corpus.columns])

@@ -246,12 +246,12 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     A table without such rows gives a model that answers ``und``.
     """
     letter = r"\p{L}"
-    rows = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null").where(F.col("text").rlike(letter)).withColumn("x", F.xxhash64("text"))
+    rows = labelled.select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")).where("text is not null and lang is not null").where(F.col("text").rlike(letter)).withColumn("x", F.xxhash64("text"))
     counts = {r["lang"]: max(1, r["n"]) for r in rows.groupBy("lang").agg(F.approx_count_distinct("x").alias("n")).collect()}
     if not counts:
         return Model({})
-    share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, TRAIN_ROWS / n))) for k, n in counts.items()])
-    drawn = rows.withColumn("h", F.pmod("x", F.lit(1 << 40))).where(F.col("h") < share * (1 << 40))
+    shares = labelled.sparkSession.createDataFrame([(k, min(1.0, TRAIN_ROWS / n)) for k, n in counts.items()], "lang string, share double")
+    drawn = rows.join(F.broadcast(shares), "lang").withColumn("h", F.pmod("x", F.lit(1 << 40))).where(F.col("h") < F.col("share") * (1 << 40))
     at = F.pmod(F.xxhash64("x"), F.length("text") - TRAIN_ROW_CHARS + 1).cast("int") + 1
     piece = F.col("text").substr(at, F.lit(TRAIN_ROW_CHARS))
     piece = F.when(piece.rlike(letter), piece).otherwise(F.regexp_extract("text", rf"(?s){letter}.{{0,{TRAIN_ROW_CHARS - 1}}}", 0))
@@ -270,7 +270,7 @@ def detect(df: DataFrame, model: Model, text: str = "text", keep_text: bool = Fa
     """``df``, its ``text`` last or left out, with lang_pred, lang_score (0 to 1) and lang_bits; for each row, one row.
 
     A null text and one without a letter give ``und``, score 0 and null bits. Equal scores go to the first language by
-    name. Columns of ``df`` called lang_pred, lang_score or lang_bits are replaced.
+    name. Very long texts are parsed whole, in lanes; rows with the same text get the same answer. Columns of ``df`` called lang_pred, lang_score or lang_bits are replaced.
     """
     made = ["lang_pred", "lang_score", "lang_bits"]
     df = df.drop(*made)

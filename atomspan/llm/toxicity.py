@@ -8,7 +8,8 @@ training refines a sensible start.
 
 Thresholds are calibrated by language. The language of a text is guessed from the text itself by a naive Bayes table
 over the same buckets; ``lang`` of the training rows is only used to fit that table. Scores are shifted so that 0.5 is
-the threshold that gave the best F1 on a calibration part of the training rows, for each language.
+the threshold that gave the best F1 on a calibration part of the training rows, for each language. There, rows weigh as
+much as the labelled rows that they were drawn for, so the size of the sample doesn't move the thresholds.
 """
 
 from __future__ import annotations
@@ -86,7 +87,7 @@ class Model:
         return raw - self.cut[guess], guess
 
 
-def _train(ids: list[np.ndarray], y: np.ndarray, langs: list[str | None], epochs: int = 12, rate: float = 0.01, seed: int = 7) -> Model:
+def _train(ids: list[np.ndarray], y: np.ndarray, langs: list[str | None], weights: tuple[float, float] = (1.0, 1.0), epochs: int = 12, rate: float = 0.01, seed: int = 7) -> Model:
     rng = np.random.default_rng(seed)
     n = len(ids)
     part = np.arange(n) % 5 == 4  # calibration
@@ -114,7 +115,7 @@ def _train(ids: list[np.ndarray], y: np.ndarray, langs: list[str | None], epochs
     train = np.flatnonzero(~part)
     if len(np.unique(y[train])) == 2:
         _descend(model, ids, y, train, epochs, rate, rng)
-    _calibrate(model, ids, y, np.flatnonzero(part) if len(np.unique(y[part])) == 2 else train)
+    _calibrate(model, ids, y, np.flatnonzero(part) if len(np.unique(y[part])) == 2 else train, weights)
     return model
 
 
@@ -127,46 +128,51 @@ def _descend(model: Model, ids: list[np.ndarray], y: np.ndarray, train: np.ndarr
     weigh = len(train) / (2 * np.maximum(1, np.bincount(y[train].astype(int), minlength=2)))
     for _ in range(epochs):
         for batch in np.array_split(rng.permutation(train), max(1, len(train) // 64)):
-            flat = np.concatenate([ids[i] for i in batch])
-            first = np.concatenate([[0], np.cumsum([len(ids[i]) for i in batch])])
-            x = model.embedding[flat].sum(1)
-            acts = model.convolve(flat, first, x)
-            tops = [np.maximum.reduceat(z, first[:-1], axis=0) for z in acts]
-            pooled = np.concatenate(tops, axis=1).astype(np.float64)
-            p = 1 / (1 + np.exp(-np.clip(pooled @ model.weight + model.offset, -30, 30)))
-            err = (p - y[batch]) * weigh[y[batch].astype(int)] / len(batch)
-            grads_f, grads_b = [np.zeros_like(k) for k in model.filters], [np.zeros_like(b) for b in model.bias]
-            rows, values = [], []
-            for w, (z, top, width) in enumerate(zip(acts, tops, WIDTHS, strict=True)):
-                back = (err[:, None] * model.weight[w * FILTERS : (w + 1) * FILTERS]).astype(np.float32)
-                doc, f = np.nonzero(top > 0)
-                if not len(doc):
-                    continue
-                hit = z == np.repeat(top, np.diff(first), axis=0)
-                at = _first_hit(hit, first)[doc, f]
-                g = back[doc, f]
-                np.add.at(grads_b[w], f, g)
-                for k in range(width):
-                    ok = at + k < first[1:][doc]
-                    a, ff, gg = at[ok] + k, f[ok], g[ok]
-                    np.add.at(grads_f[w][k].T, ff, gg[:, None] * x[a])
-                    rows.append(flat[a].ravel())
-                    values.append(np.repeat(gg[:, None] * model.filters[w][k].T[ff], flat.shape[1], axis=0))
+            grads, g0, touched, g_ = gradients(model, [ids[i] for i in batch], y[batch], weigh)
             step += 1
-            for p_, g_, (m, v) in zip(params, [*grads_f, *grads_b, pooled.T @ err], moment, strict=True):
-                m += 0.1 * (g_ - m)
-                v += 0.01 * (g_ * g_ - v)
+            for p_, g, (m, v) in zip(params, grads, moment, strict=True):
+                m += 0.1 * (g - m)
+                v += 0.01 * (g * g - v)
                 p_ -= (rate * m / (1 - 0.9**step) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)).astype(p_.dtype)
-            g0 = float(err.sum())
             m_off += 0.1 * (g0 - m_off)
             v_off += 0.01 * (g0 * g0 - v_off)
             model.offset -= rate * m_off / (1 - 0.9**step) / (np.sqrt(v_off / (1 - 0.99**step)) + 1e-8)
-            if rows:
-                touched, place = np.unique(np.concatenate(rows), return_inverse=True)
-                g_ = np.zeros((len(touched), DIM), np.float32)
-                np.add.at(g_, place.ravel(), np.concatenate(values))
-                heat[touched] += (g_ * g_).mean(1)
-                model.embedding[touched] -= np.where(touched > 0, 0.05, 0)[:, None] * g_ / (np.sqrt(heat[touched])[:, None] + 1e-6)
+            heat[touched] += (g_ * g_).mean(1)
+            model.embedding[touched] -= np.where(touched > 0, 0.05, 0)[:, None] * g_ / (np.sqrt(heat[touched])[:, None] + 1e-6)
+
+
+def gradients(model: Model, ids: list[np.ndarray], y: np.ndarray, weigh: np.ndarray) -> tuple[list[np.ndarray], float, np.ndarray, np.ndarray]:
+    """Of the mean cross entropy, labels weighted by ``weigh``: by filters, biases and weight; by the offset; and by rows of
+    the embedding, with the rows."""
+    flat = np.concatenate(ids)
+    first = np.concatenate([[0], np.cumsum([len(x) for x in ids])])
+    x = model.embedding[flat].sum(1)
+    acts = model.convolve(flat, first, x)
+    tops = [np.maximum.reduceat(z, first[:-1], axis=0) for z in acts]
+    pooled = np.concatenate(tops, axis=1).astype(np.float64)
+    p = 1 / (1 + np.exp(-np.clip(pooled @ model.weight + model.offset, -30, 30)))
+    err = (p - y) * weigh[y.astype(int)] / len(y)
+    grads_f, grads_b = [np.zeros_like(k) for k in model.filters], [np.zeros_like(b) for b in model.bias]
+    rows, values = [np.zeros(0, flat.dtype)], [np.zeros((0, DIM), np.float32)]
+    for w, (z, top, width) in enumerate(zip(acts, tops, WIDTHS, strict=True)):
+        back = (err[:, None] * model.weight[w * FILTERS : (w + 1) * FILTERS]).astype(np.float32)
+        doc, f = np.nonzero(top > 0)
+        if not len(doc):
+            continue
+        hit = z == np.repeat(top, np.diff(first), axis=0)
+        at = _first_hit(hit, first)[doc, f]
+        g = back[doc, f]
+        np.add.at(grads_b[w], f, g)
+        for k in range(width):
+            ok = at + k < first[1:][doc]
+            a, ff, gg = at[ok] + k, f[ok], g[ok]
+            np.add.at(grads_f[w][k].T, ff, gg[:, None] * x[a])
+            rows.append(flat[a].ravel())
+            values.append(np.repeat(gg[:, None] * model.filters[w][k].T[ff], flat.shape[1], axis=0))
+    touched, place = np.unique(np.concatenate(rows), return_inverse=True)
+    by_row = np.zeros((len(touched), DIM), np.float32)
+    np.add.at(by_row, place.ravel(), np.concatenate(values))
+    return [*grads_f, *grads_b, pooled.T @ err], float(err.sum()), touched, by_row
 
 
 def _first_hit(hit: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -175,7 +181,7 @@ def _first_hit(hit: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.minimum.reduceat(at, first[:-1], axis=0)
 
 
-def _calibrate(model: Model, ids: list[np.ndarray], y: np.ndarray, rows: np.ndarray) -> None:
+def _calibrate(model: Model, ids: list[np.ndarray], y: np.ndarray, rows: np.ndarray, weights: tuple[float, float]) -> None:
     if not len(rows):
         return
     raw, guess = np.empty(len(rows)), np.empty(len(rows), int)
@@ -184,21 +190,22 @@ def _calibrate(model: Model, ids: list[np.ndarray], y: np.ndarray, rows: np.ndar
         pooled = np.concatenate([z.max(0) for z in model.convolve(ids[i], first)])
         raw[k] = pooled @ model.weight + model.offset
         guess[k] = (model.lang_table[ids[i][:, 0] % LANG_BUCKETS].sum(0) + model.lang_prior).argmax() if model.langs else 0
-    model.cut[:] = _best_cut(raw, y[rows])
+    weigh = np.array(weights)[y[rows].astype(int)]
+    model.cut[:] = _best_cut(raw, y[rows], weigh)
     for g in range(len(model.langs)):
         own = guess == g
         if min((y[rows][own] == 1).sum(), (y[rows][own] == 0).sum()) >= CALIBRATE_ROWS:
-            model.cut[g] = _best_cut(raw[own], y[rows][own])
+            model.cut[g] = _best_cut(raw[own], y[rows][own], weigh[own])
 
 
-def _best_cut(raw: np.ndarray, y: np.ndarray) -> float:
+def _best_cut(raw: np.ndarray, y: np.ndarray, weigh: np.ndarray) -> float:
     """Midway between the two neighbouring logits that part the labels with the best F1; among equals the widest gap."""
     if len(np.unique(y)) < 2:
         return 0.0
     order = np.argsort(-raw, kind="stable")
-    r, t = raw[order], y[order]
-    hits = np.cumsum(t)
-    f1 = 2 * hits / (np.arange(1, len(r) + 1) + t.sum())
+    r, t, w = raw[order], y[order], weigh[order]
+    hits = np.cumsum(t * w)
+    f1 = 2 * hits / (np.cumsum(w) + (t * w).sum())
     gap = np.append(r[:-1] - r[1:], 0)
     f1[gap <= 0] = -1
     if f1.max() < 0:
@@ -212,7 +219,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
     Takes a sample of at most TRAIN_ROWS rows a label (in expectation, drawn by a hash of the key) and TRAIN_CHARS
     characters of their texts; copies of a text count once. The sample is drawn from ``labels``, so that no text but those in
-    it leaves its task. Without rows of both labels the model scores every text below 0.5.
+    it leaves its task. Without rows of both labels the model scores every text below 0.5. Two labels of one key are two
+    rows; null keys, texts and labels are left out.
     """
     rows = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).where("k is not null and y in (0, 1)")
     counts = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -232,14 +240,16 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
             y.append(r["y"])
             langs.append(r["lang"])
             used += len(r["text"])
-    return _train(ids, np.array(y, float), langs)
+    drawn_of = lambda k: max(1.0, counts.get(k, 0) / TRAIN_ROWS)
+    return _train(ids, np.array(y, float), langs, (drawn_of(0), drawn_of(1)))
 
 
 def score(df: DataFrame, model: Model, text: str = "text", keep_text: bool = False) -> DataFrame:
     """``df``, its ``text`` last or left out, with tox_score (0 to 1) and tox_lang; one row for each row.
 
     tox_score >= 0.5 marks a text as toxic under its language's threshold. Null and empty texts and texts without a
-    word get the score of no evidence. Columns of ``df`` called tox_score or tox_lang are replaced.
+    word get the score of no evidence. Very long texts are scored whole, as blocks of their own; rows with the same text
+    get the same score. Columns of ``df`` called tox_score or tox_lang are replaced.
     """
     made = ["tox_score", "tox_lang"]
     df = df.drop(*made)

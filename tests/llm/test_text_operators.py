@@ -61,6 +61,16 @@ def test_cross_parsing_equals_brute_force():
         assert list(model.phrases(raw, np.array([0, len(raw)]))[0][:, 0]) == [parse(t, train[k]) for k in "ab"]
 
 
+def test_long_texts_are_parsed_in_lanes():
+    r = random.Random(20)
+    squeeze = lambda t: re.sub(" +", " ", t).strip()
+    train = {k: squeeze("".join(r.choice(a) for _ in range(3000))) for k, a in (("a", "abcd "), ("b", "abdé "))}
+    model, t = language_id.Model(train), squeeze("".join(r.choice("abcdé ") for _ in range(5 * language_id.LANE + 77)))
+    raw = np.frombuffer(t.encode(), np.uint8)
+    want = [sum(parse(t[i : i + language_id.LANE], train[k]) for i in range(0, len(t), language_id.LANE)) for k in "ab"]
+    assert list(model.phrases(raw, np.array([0, len(raw)]))[0][:, 0]) == want
+
+
 def test_letters_without_a_column_are_parsed_alike():
     r = random.Random(9)
     # Letters far more than columns, Zipf-like, some of them in both languages.
@@ -131,6 +141,77 @@ def test_toxicity(spark):
     assert toxicity.score(table.limit(0), empty).count() == 0
 
 
+def small_model(r):
+    size = toxicity.BUCKETS
+    embedding = np.zeros((size, toxicity.DIM), np.float32)
+    embedding[1:60] = r.normal(size=(59, toxicity.DIM))
+    n = toxicity.FILTERS * len(toxicity.WIDTHS)
+    filters = [r.normal(size=(w, toxicity.DIM, toxicity.FILTERS)).astype(np.float32) for w in toxicity.WIDTHS]
+    return toxicity.Model(embedding, filters, [r.normal(size=toxicity.FILTERS).astype(np.float32) for _ in toxicity.WIDTHS], r.normal(size=n), 0.3, [], np.zeros((1, 0), np.float32), np.zeros(0), np.zeros(1))
+
+
+def brute_logit(model, ids):
+    """Every window of every width, its filters, a rectifier and the largest of a text."""
+    x = [model.embedding[row].astype(float).sum(0) for row in ids]
+    pooled = []
+    for width, kernel, bias in zip(toxicity.WIDTHS, model.filters, model.bias, strict=True):
+        places = range(len(x) - width + 1) if len(x) >= width else [0]
+        z = [sum((x[a + k] @ kernel[k].astype(float) for k in range(width) if a + k < len(x)), np.zeros(toxicity.FILTERS)) + bias for a in places]
+        pooled += [max(0.0, *(v[f] for v in z)) if len(z) > 1 else max(0.0, z[0][f]) for f in range(toxicity.FILTERS)]
+    return np.array(pooled) @ model.weight + model.offset
+
+
+def test_convolution_and_gradients_equal_brute_force():
+    r = np.random.default_rng(17)
+    model = small_model(r)
+    ids = [r.integers(0, 60, (n, 1 + len(toxicity.HEADS))).astype(np.int32) for n in (1, 2, 3, 7, 20)]
+    first = np.concatenate([[0], np.cumsum([len(x) for x in ids])])
+    pooled = np.concatenate([np.maximum.reduceat(z, first[:-1], axis=0) for z in model.convolve(np.concatenate(ids), first)], axis=1)
+    assert pooled @ model.weight + model.offset == pytest.approx([brute_logit(model, x) for x in ids], rel=1e-4, abs=1e-4)
+    y, weigh = np.array([0.0, 1, 0, 1, 1]), np.array([0.7, 1.6])
+    loss = lambda: sum(weigh[int(t)] * np.log1p(np.exp(-z if t else z)) for t, z in zip(y, (brute_logit(model, x) for x in ids), strict=True)) / len(y)
+    grads, by_offset, rows, by_row = toxicity.gradients(model, ids, y, weigh)
+
+    def slope(array, index, h=2e-3):
+        old = array[index]
+        array[index] = old + h
+        up = loss()
+        array[index] = old - h
+        down = loss()
+        array[index] = old
+        return (up - down) / (2 * h)
+
+    for array, grad in zip([*model.filters, *model.bias, model.weight], grads, strict=True):
+        for index in [tuple(r.integers(0, n) for n in array.shape) for _ in range(12)]:
+            assert grad[index] == pytest.approx(slope(array, index), abs=3e-3)
+    for k in r.choice(len(rows), 15, replace=False):
+        d = int(r.integers(toxicity.DIM))
+        if rows[k]:
+            assert by_row[k, d] == pytest.approx(slope(model.embedding, (rows[k], d)), abs=3e-3)
+    shift = [brute_logit(model, x) for x in ids]
+    assert by_offset == pytest.approx(sum((1 / (1 + np.exp(-z)) - t) * weigh[int(t)] for t, z in zip(y, shift, strict=True)) / 5, abs=1e-5)
+
+
+def test_thresholds_do_not_depend_on_the_size_of_the_sample():
+    r = np.random.default_rng(18)
+    clean, toxic = r.normal(-1, 1, 4000), r.normal(1, 1, 400)
+    cut = lambda c, t, w: toxicity._best_cut(np.concatenate([c, t]), np.concatenate([np.zeros(len(c)), np.ones(len(t))]), np.concatenate([np.full(len(c), w), np.ones(len(t))]))
+    assert cut(clean[::10], toxic, 10.0) == pytest.approx(cut(clean, toxic, 1.0), abs=0.3)
+    assert cut(clean[::10], toxic, 10.0) > cut(clean[::10], toxic, 1.0) + 0.3
+
+
+def test_toxicity_of_long_and_repeated_texts(spark):
+    r = random.Random(19)
+    plain_ = lambda n: " ".join(r.choice(["sun", "rain", "tree", "house", "river"]) for _ in range(n))
+    rows = [(i, plain_(20) + (" vilest" if i % 2 else ""), "en") for i in range(160)]
+    model = toxicity.fit(docs(spark, rows), spark.createDataFrame([(i, 1, i % 2) for i in range(160)], "doc_id long, quality int, toxic int"))
+    long = plain_(300_000)
+    odd = docs(spark, [(1, long, None), (2, f"{long} vilest {long}", None), (3, rows[1][1], None), (3, rows[1][1], None), (4, rows[1][1].upper(), None)])
+    out = toxicity.score(odd, model).collect()
+    got = {x.doc_id: x.tox_score for x in out}
+    assert len(out) == 5 and got[1] < 0.5 <= got[2] and got[3] == got[4] >= 0.5
+
+
 def brute_hits(text, items):
     w = words_of(text)
     hit, found = set(), set()
@@ -163,6 +244,23 @@ def test_decontamination_equals_brute_force(spark):
     assert decontamination.remove_spans(one, bench.where("item_id = 1")).first().text == "keep this end"
 
 
+def test_long_items_and_clashing_columns(spark, monkeypatch):
+    monkeypatch.setattr(decontamination, "TABLE_WINDOWS", 25)
+    monkeypatch.setattr(decontamination, "PIECE", 7)
+    r = random.Random(16)
+    item = [f"w{r.randrange(40)}" for _ in range(90)]
+    texts = [" ".join(["no", *item[a : a + n], "more"]) for a in range(0, 70, 3) for n in (9, 10, 20)]
+    items = [(1, " ".join(item)), (2, " ".join(item[:11])), (3, "w1 w2")]
+    corpus = docs(spark, [(i, t, None) for i, t in enumerate(texts)]).withColumns({"n_words": F.lit("mine"), "bench_hits": F.lit("too"), "items": F.lit("x"), "w": F.lit("y")})
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {x.doc_id: (x.n_words, x.h, x.i) for x in decontamination.find(corpus, bench).select("doc_id", "n_words", decontamination.n_hit(F.col("bench_hits")).alias("h"), decontamination.items(F.col("bench_hits")).alias("i")).collect()}
+    assert got == {i: brute_hits(t, items) for i, t in enumerate(texts)}
+    kept = decontamination.remove_documents(corpus, bench).collect()
+    assert sorted(x.doc_id for x in kept) == [i for i, t in enumerate(texts) if not brute_hits(t, items)[1]]
+    spans = decontamination.remove_spans(corpus, bench).collect()
+    assert len(spans) == len(texts) and {(x.n_words, x.bench_hits, x["items"], x.w) for x in [*kept, *spans]} == {("mine", "too", "x", "y")}
+
+
 def test_several_tables_of_windows(spark, monkeypatch):
     items = [(k, " ".join(f"w{k}x{j}" for j in range(12))) for k in range(6)]
     corpus = docs(spark, [(k, f"start {t} stop", None) for k, t in items])
