@@ -13,22 +13,28 @@ from atomspan.llm.queries import piece_model
 LEAST_LANGUAGE_SCORE = 0.51
 
 
-def _as(docs: DataFrame) -> list:
-    return [F.col(f"`{c}`") for c in docs.columns]
+def _apart(docs: DataFrame) -> DataFrame:
+    """``docs`` with names that no operator gives to a column of its own."""
+    return docs.toDF(*[f"__doc_{c}" for c in docs.columns])
+
+
+def _back(docs: DataFrame) -> list:
+    """The columns of ``docs`` out of :func:`_apart`, in their order and with their names."""
+    return [F.col(f"`__doc_{c}`").alias(c) for c in docs.columns]
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that is recognised; those without a letter or near to no language go."""
     model = language_id.fit(docs.where(crc_mod("doc_id", 4) != 2))
-    found = language_id.detect(docs, model, keep_text=True)
-    return found.where((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("lang_score") >= LEAST_LANGUAGE_SCORE)).select(*_as(docs))
+    found = language_id.detect(_apart(docs), model, "__doc_text", keep_text=True)
+    return found.where((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("lang_score") >= LEAST_LANGUAGE_SCORE)).select(*_back(docs))
 
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, learnt from ``labels``, doesn't take for toxic."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.fit(docs, labels.where(crc_mod("doc_id", 5) != 0))
-    return toxicity.score(docs, model, keep_text=True).where("tox_score < 0.5").select(*_as(docs))
+    return toxicity.score(_apart(docs), model, "__doc_text", keep_text=True).where("tox_score < 0.5").select(*_back(docs))
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
