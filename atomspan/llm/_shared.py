@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
+#: Rows of a key that don't make it hot.
+HOT_ROWS = 200
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's checkpoint folder. Where none is set, a new one of our own on a single machine, as in tests; on a
     cluster, whose machines don't share such a folder, an error."""
@@ -39,17 +43,18 @@ def hot_join(rows: DataFrame, unique: DataFrame, key: str, size: str, total: int
     """``rows`` joined to ``unique``, which has a row for each key, by ``key``; ``size``: how many rows have that key.
 
     Keys that more than a quarter of a task's even share of ``total`` rows have would fill one task; they are broadcast, as
-    there are at most four times as many as tasks. The others are joined as usual. Null keys match nothing.
-    ``size`` is left out.
+    there are at most four times as many as tasks; no key of up to HOT_ROWS rows is. The others are joined as usual.
+    Null keys match nothing. ``size`` is left out. The broadcast table is one of hashes: Spark holds tables by a
+    number in little memory, by anything else in pages of many megabytes each.
     """
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    limit = max(total // (4 * parts), 1)
+    limit = max(total // (4 * parts), HOT_ROWS)
     values = [c for c in unique.columns if c not in (key, size)]
     named = lambda df, tag: df.select(F.col(key).alias(f"__{tag}"), F.struct(*values).alias(f"__{tag}v"))
-    hot = named(unique.where(F.col(size) > limit), "hot")
+    hot = named(unique.where(F.col(size) > limit), "hot").withColumn("__hash", F.xxhash64("__hot"))
     cold = named(unique.where(F.col(size) <= limit), "cold")
     # Rows with a hot key or none go anywhere; their other join key is a number of their own that no key equals.
-    met = rows.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left")
+    met = rows.join(F.broadcast(hot), (F.xxhash64(key) == F.col("__hash")) & (F.col(key) == F.col("__hot")), "left")
     free = F.col("__hot").isNotNull() | F.col(key).isNull()
     met = met.withColumn("__spread", F.when(free, F.monotonically_increasing_id()).otherwise(F.lit(-1).cast("long"))).withColumn("__own", F.when(~free, F.col(key)))
     met = met.join(cold.withColumn("__none", F.lit(-1).cast("long")), (F.col("__own").eqNullSafe(F.col("__cold"))) & (F.col("__spread") == F.col("__none")), "left")
