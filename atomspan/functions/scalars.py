@@ -8,6 +8,8 @@ from pyspark.sql import Column, functions as F
 
 #: CODATA 2018 constants in SI units and conversions to eV and angstrom.
 HARTREE_EV, RYDBERG_EV, BOHR_ANGSTROM, KCAL_PER_MOL_EV = 27.211386245988, 13.605693122994, 0.529177210903, 0.0433641153087705
+BOLTZMANN_EV, PLANCK_EV_S, LIGHT_M_S, AVOGADRO, ELEMENTARY_CHARGE_C = 8.617333262e-5, 4.135667696e-15, 299792458.0, 6.02214076e23, 1.602176634e-19
+ATOMIC_MASS_KG, KJ_PER_MOL_EV, GPA_EV_ANGSTROM3, FEMTOSECOND_S = 1.66053906660e-27, 0.010364269656262, 0.006241509074, 1e-15
 
 
 def chebyshev(n: int, x: Column) -> Column:
@@ -108,6 +110,18 @@ def rotation(axis: tuple[float, float, float], degrees: float) -> list[list[floa
     return [[t * x * x + c, t * x * y + s * z, t * x * z - s * y], [t * x * y - s * z, t * y * y + c, t * y * z + s * x], [t * x * z + s * y, t * y * z - s * x, t * z * z + c]]
 
 
+def rotation_between(old: tuple[float, float, float], new: tuple[float, float, float]) -> list[list[float]]:
+    """Matrix that turns row vectors along ``old`` into the direction of ``new`` the shortest way."""
+    a, b = ([v / math.sqrt(sum(x * x for x in w)) for v in w] for w in (old, new))
+    axis = [a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0]]
+    s, c = math.sqrt(sum(x * x for x in axis)), sum(x * y for x, y in zip(a, b, strict=True))
+    if s < 1e-12:  # along each other, or opposite: then about any axis across
+        k = min(range(3), key=lambda i: abs(a[i]))
+        across = [float(i == k) - a[i] * a[k] for i in range(3)]
+        return rotation(tuple(across), 0.0 if c > 0 else 180.0)
+    return rotation(tuple(axis), math.degrees(math.atan2(s, c)))
+
+
 def finite(x: Column) -> Column:
     """Neither null, NaN nor infinite."""
     return x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
@@ -134,3 +148,53 @@ def scattering_factor(a: list[float], b: list[float], c: float, two_theta_degree
     for x, y in zip(a, b, strict=True):
         out = out + x * F.exp(-y * s2)
     return out
+
+
+def check_composition(composition: Column) -> Column:
+    """A map of species to counts, none of which may be negative, no number, or all of them 0; else an error."""
+    values = F.map_values(composition)
+    good = F.forall(values, lambda v: v.isNotNull() & ~F.isnan(v.cast("double")) & (v >= 0)) & F.exists(values, lambda v: v > 0)
+    return F.when(good, composition).otherwise(F.raise_error(F.concat(F.lit("no composition: "), F.to_json(composition))))
+
+
+def check_energy(energy: Column) -> Column:
+    """A finite energy, else an error."""
+    return F.when(finite(energy), energy).otherwise(F.raise_error(F.concat(F.lit("no finite energy: "), F.coalesce(energy.cast("string"), F.lit("null")))).cast("double"))
+
+
+def number(text: Column) -> Column:
+    """A number of a text, whole if it is written so: (whole, real), with nulls for what it isn't; exponents may be D."""
+    clean = F.translate(F.trim(text), "dD", "ee")
+    return F.struct(clean.try_cast("long").alias("whole"), clean.try_cast("double").alias("real"))
+
+
+def pairs(text: Column) -> Column:
+    """A map of a list such as Co=0.5,Ni=0.5; blanks don't count, and keys may not repeat."""
+    return F.str_to_map(F.regexp_replace(text, r"\s", ""), F.lit(","), F.lit("="))
+
+
+def nested_pairs(text: Column) -> Column:
+    """A map of maps of a list such as Co=Co:0.5,Ni:0.5;Li=Li:1: groups parted by semicolons, numbers as doubles."""
+    groups = F.str_to_map(F.regexp_replace(text, r"\s", ""), F.lit(";"), F.lit("="))
+    return F.transform_values(groups, lambda k, v: F.transform_values(F.str_to_map(v, F.lit(","), F.lit(":")), lambda s, n: n.try_cast("double")))
+
+
+def decoded(content: Column) -> Column:
+    """Text of bytes in UTF-8 without the zeros that fill a field of fixed width."""
+    return F.regexp_replace(content.cast("string"), "\u0000+$", "")
+
+
+def encoded(text: Column, width: int) -> Column:
+    """A text for a field of so many bytes; one that is too long is an error."""
+    return F.when(F.octet_length(text) <= width, text).otherwise(F.raise_error(F.concat(F.lit(f"longer than {width} bytes: "), text)))
+
+
+def file_name(text: Column) -> Column:
+    """A name without a path and with an underscore for what file names had better not hold."""
+    return F.regexp_replace(F.regexp_replace(text, "^.*/", ""), "[^A-Za-z0-9._-]+", "_")
+
+
+def radius_of(radii, species: str, state: str = "", coordination: str = "", spin: str = ""):
+    """Rows of a table of radii (species, state, coordination, spin, radius) of a species whose texts contain those given."""
+    has = lambda c, v: F.contains(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit(v))
+    return radii.where((F.col("species") == species) & has("state", state) & has("coordination", coordination) & has("spin", spin))

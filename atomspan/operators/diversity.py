@@ -6,6 +6,10 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 
+#: Vectors whose pairs are listed, at most.
+PAIR_ROWS = 10_000
+
+
 def long_form(vectors: DataFrame, keys: tuple[str, ...], vector: str) -> DataFrame:
     """(keys, dim, v): a row for each component."""
     return vectors.select(*keys, F.posexplode(vector).alias("dim", "v")).withColumn("v", F.col("v").cast("double"))
@@ -30,6 +34,31 @@ def global_fingerprint(rows: DataFrame, inner: int, outer: int, sid: str = "sid"
     return moments(each.withColumn("inner", F.col("inner") + 1), (sid, "dim", "inner"), outer)
 
 
+def moment_fingerprint(rows: DataFrame, species: list[str], inner: int, outer: int = 0, weights: dict[str, float] | None = None, append: bool = True, sid: str = "sid", vector: str = "fingerprint") -> DataFrame:
+    """(sid, fingerprint): a structure's inner moments of each declared species' components, in the order of species, moment
+    and component; with ``outer``, moments over species of these in place of them.
+
+    A species that a structure lacks counts as zeros, or is left out where a structure has none of its atoms only if the
+    species isn't declared. Weights of species: their products with the moments follow the moments, or with ``append`` False
+    take their place. A moment of 0 is no moment: orders begin at 1.
+    """
+    if inner < 1 or outer < 0:
+        raise ValueError("moments begin at 1")
+    own = moments(long_form(rows.where(F.col("species").isin(species)), (sid, "species"), vector), (sid, "species", "dim"), inner)
+    size = rows.agg(F.max(F.size(vector))).scalar()
+    every = rows.select(sid).distinct().select(sid, F.explode(F.array(*map(F.lit, species))).alias("species")).select(sid, "species", F.explode(F.sequence(F.lit(0), size - 1)).alias("dim"))
+    full = every.join(own, [sid, "species", "dim"], "left")
+    w = F.coalesce(*[F.when(F.col("species") == s, F.lit(float((weights or {}).get(s, 1.0)))) for s in species])
+    plain = [F.coalesce(F.col(f"m{k}"), F.lit(0.0)) for k in range(1, inner + 1)]
+    values = plain if weights is None else ([*plain, *[v * w for v in plain]] if append else [v * w for v in plain])
+    place = F.array_position(F.array(*map(F.lit, species)), F.col("species"))
+    long = full.select(sid, place.alias("s"), "dim", F.posexplode(F.array(*values)).alias("m", "v"))
+    if outer:
+        o = moments(long, (sid, "m", "dim"), outer)
+        long = o.select(sid, F.posexplode(F.array(*[f"m{k}" for k in range(1, outer + 1)])).alias("s", "v"), "m", "dim")
+    return long.groupBy(sid).agg(F.transform(F.array_sort(F.collect_list(F.struct("s", "m", "dim", "v"))), lambda x: x["v"]).alias("fingerprint"))
+
+
 def feature_stats(rows: DataFrame) -> DataFrame:
     """(dim, mean, std, low, high) with std = sqrt(variance + 1e-12), of the long form."""
     return rows.groupBy("dim").agg(F.avg("v").alias("mean"), F.sqrt(F.var_pop("v") + 1e-12).alias("std"), F.min("v").alias("low"), F.max("v").alias("high"))
@@ -45,8 +74,11 @@ def standardize(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
 def pair_metrics(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     """(a, b, euclid, cosine, pearson) of all pairs of a small set, such as a structure's or a selection's vectors.
 
-    The output has a row for each pair; sets that are large are summarised by :func:`pair_means`.
+    The output has a row for each pair, so more than PAIR_ROWS vectors are an error; sets that are large are summarised by
+    :func:`pair_means`.
     """
+    if vectors.limit(PAIR_ROWS + 1).count() > PAIR_ROWS:
+        raise ValueError(f"all pairs of more than {PAIR_ROWS} vectors; pair_means gives their means")
     v = vectors.select(F.col(key).alias("k"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
     a, b = v.toDF("a", "va"), v.toDF("b", "vb")
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, t: s + t)

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from ._order import running_total
 
 
 def _reference(species: str, energies: dict[str, float]) -> Column:
@@ -22,6 +24,19 @@ def referenced_energy(structures: DataFrame, atoms: DataFrame, energies: dict[st
     return structures.join(sums, sid).withColumn("e_ref", (F.col("energy") - F.col("__e")) / F.col("n_atoms")).drop("__e")
 
 
+def cohesive_energy(structures: DataFrame, atoms: DataFrame, energies: dict[str, float], sid: str = "sid") -> DataFrame:
+    """``structures`` with n_atoms, and of a total energy: cohesive (less the atoms' reference energies), cohesive_per_atom and
+    energy_per_atom. Structures without atoms are left out."""
+    rows = referenced_energy(structures, atoms, energies, sid)
+    return rows.withColumns({"cohesive": F.col("e_ref") * F.col("n_atoms"), "cohesive_per_atom": F.col("e_ref"), "energy_per_atom": F.col("energy") / F.col("n_atoms")}).drop("e_ref")
+
+
+def total_energy(structures: DataFrame, atoms: DataFrame, energies: dict[str, float], cohesive: str = "cohesive", sid: str = "sid") -> DataFrame:
+    """``structures`` with n_atoms and energy: a cohesive energy and the atoms' reference energies."""
+    sums = atoms.groupBy(sid).agg(F.count("*").alias("n_atoms"), F.sum(_reference("species", energies)).alias("__e"))
+    return structures.drop("energy").join(sums, sid).withColumn("energy", F.col(cohesive) + F.col("__e")).drop("__e")
+
+
 def energy_filter(rows: DataFrame, max_energy: float) -> DataFrame:
     return rows.where(F.col("e_ref") <= max_energy)
 
@@ -102,14 +117,67 @@ def fit_reference_energies(compositions: DataFrame, species: list[str], energy:
     return fixed | {s: float(e) for s, e in zip(free, found, strict=True)}
 
 
-def first_atom_offsets(counts: DataFrame, sid: str = "sid", n: str = "n_atoms", parts: int = 64) -> DataFrame:
+def first_atom_offsets(counts: DataFrame, sid: str = "sid", n: str = "n_atoms") -> DataFrame:
     """With ``first_atom``: atoms of all structures of smaller sid. Sums by ranges of sid first, so no task sees all rows."""
-    edges = counts.agg(F.min(sid).alias("lo"), F.max(sid).alias("hi"))
-    cut = F.least(F.floor((F.col(sid) - F.col("lo")) * parts / (F.col("hi") - F.col("lo") + 1)), F.lit(parts - 1)).cast("int")
-    rows = counts.join(F.broadcast(edges)).withColumn("__p", cut).drop("lo", "hi")
-    before = rows.groupBy("__p").agg(F.sum(n).alias("__n")).select("__p", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__b"))
-    inside = F.coalesce(F.sum(n).over(Window.partitionBy("__p").orderBy(sid).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return rows.withColumn("__i", inside).join(before, "__p").withColumn("first_atom", F.col("__i") + F.col("__b")).drop("__p", "__i", "__b")
+    return running_total(counts, F.col(n), "first_atom", sid)
+
+
+def reference_fit(compositions: DataFrame, species: list[str], energy: str = "energy", fixed: dict[str, float] | None = None) -> dict:
+    """:func:`fit_reference_energies` with how it was found: energies, species, fixed, n_samples, n_compositions, rmse and
+    rmse_per_atom of the residuals. Samples must have finite energies and at least one atom each, else an error."""
+    from ..functions.scalars import finite
+
+    size = sum((F.col(f"n_{s}") for s in species), F.lit(0))
+    if compositions.where(~finite(F.col(energy)) | (size <= 0)).limit(1).count():
+        raise ValueError("a sample has no finite energy or no atoms")
+    found = fit_reference_energies(compositions, species, energy, fixed)
+    rest = F.col(energy) - sum((F.col(f"n_{s}") * found[s] for s in species), F.lit(0.0))
+    r = compositions.agg(F.count("*").alias("n"), F.count_distinct(*[f"n_{s}" for s in species]).alias("c"), F.sqrt(F.avg(rest * rest)).alias("r"), F.sqrt(F.avg(rest * rest / (size * size))).alias("a")).first()
+    return {"method": "least squares", "energies": found, "species": list(species), "fixed": dict(fixed or {}), "n_samples": r["n"], "n_compositions": r["c"], "rmse": r["r"], "rmse_per_atom": r["a"]}
+
+
+def decompose(composition: dict[str, float], basis: dict[str, dict[str, float]]) -> dict[str, float]:
+    """Amounts of the compounds of a basis that make up a composition; the basis has as many as there are species, and they
+    are independent, else an error."""
+    species = sorted({s for c in basis.values() for s in c})
+    if extra := set(composition) - set(species):
+        raise ValueError(f"no compound of the basis has {sorted(extra)}")
+    m = np.array([[c.get(s, 0.0) for c in basis.values()] for s in species], float)
+    if m.shape[0] != m.shape[1] or abs(np.linalg.det(m)) < 1e-10:
+        raise ValueError("the compounds are no basis of the species")
+    return dict(zip(basis, np.linalg.solve(m, [composition.get(s, 0.0) for s in species]).tolist(), strict=True))
+
+
+def compound_references(rows: DataFrame, compounds: dict[str, dict[str, int]], sid: str = "sid") -> dict:
+    """Atomic energies from reference compounds: the lowest energy of each compound's samples, solved for its species.
+
+    ``rows`` has (sid, key, energy) with keys of :func:`composition_key`; any multiple of a compound is a sample of it. A
+    compound without a sample, or compounds that don't determine the species, raise. Also says which samples were taken.
+    """
+    from math import gcd
+
+    def key(c: dict[str, int], k: int) -> str:
+        return ",".join(f"{s}{n * k}" for s, n in sorted(c.items()))
+
+    unit = {}
+    for name, c in compounds.items():
+        d = gcd(*c.values())
+        unit[name] = {s: n // d for s, n in c.items()}
+    parts = F.transform(F.split("key", ","), lambda x: F.struct(F.regexp_extract(x, "^(.*?)([0-9]+)$", 1).alias("s"), F.regexp_extract(x, "([0-9]+)$", 1).cast("long").alias("n")))
+    least = lambda v: F.array_max(F.transform(F.sequence(F.lit(1), F.array_min(F.transform(v, lambda x: x["n"]))), lambda d: F.when(F.forall(v, lambda x: x["n"] % d == 0), d)))
+    reduced = rows.withColumn("__p", parts).withColumn("__d", least(F.col("__p"))).withColumn("__u", F.array_join(F.transform("__p", lambda x: F.concat(x["s"], (x["n"] / F.col("__d")).cast("long").cast("string"))), ","))
+    wanted = {key(c, 1): name for name, c in unit.items()}
+    best = {r["__u"]: r for r in reduced.where(F.col("__u").isin(list(wanted))).groupBy("__u").agg(F.min_by(F.struct(sid, "energy", "__d"), F.struct(F.col("energy") / F.col("__d"), sid)).alias("b")).collect()}
+    if lacking := sorted(name for k, name in wanted.items() if k not in best):
+        raise ValueError(f"no sample of {', '.join(lacking)}")
+    species = sorted({s for c in unit.values() for s in c})
+    m = np.array([[c.get(s, 0) for s in species] for c in unit.values()], float)
+    if np.linalg.matrix_rank(m) < len(species):
+        raise ValueError("the compounds don't determine the energies of all species")
+    chosen = {name: best[key(c, 1)]["b"] for name, c in unit.items()}
+    e = np.array([chosen[n]["energy"] / chosen[n]["__d"] for n in unit])
+    found = np.linalg.lstsq(m, e, rcond=None)[0]
+    return {"method": "reference compounds", "energies": dict(zip(species, map(float, found), strict=True)), "samples": {n: b[sid] for n, b in chosen.items()}}
 
 
 def split(rows: DataFrame, test_fraction: float, seed: int, key: str = "sid") -> DataFrame:

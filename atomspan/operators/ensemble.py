@@ -24,6 +24,11 @@ def force_uncertainty(rows: DataFrame, keys: tuple[str, ...] = ("sid", "aid"), c
     return rows.groupBy(*keys).agg((total / len(components)).alias("u"))
 
 
+def force_std(rows: DataFrame, keys: tuple[str, ...] = ("sid", "aid"), components: tuple[str, ...] = ("fx", "fy", "fz")) -> DataFrame:
+    """(keys, fx, fy, fz, fx_std, fy_std, fz_std): mean and deviation of each component over members."""
+    return rows.groupBy(*keys).agg(*[F.avg(c).alias(c) for c in components], *[F.stddev_pop(c).alias(f"{c}_std") for c in components])
+
+
 def structure_uncertainty(atoms: DataFrame, sid: str = "sid", u: str = "u") -> DataFrame:
     return atoms.groupBy(sid).agg(F.max(u).alias("u_max"), F.avg(u).alias("u_mean"))
 

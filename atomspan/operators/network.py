@@ -10,6 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F, types
 
 from ..functions.scalars import chebyshev, chebyshev_derivative, cosine_cutoff, cosine_cutoff_derivative, rescale
+from .spatial import _spin
 
 Layers = list[tuple[np.ndarray, np.ndarray, str]]
 _ACTIVATIONS = {"linear": (lambda x: x, lambda y: np.ones_like(y)), "tanh": (np.tanh, lambda y: 1 - y * y), "sigmoid": (lambda x: 1 / (1 + np.exp(-x)), lambda y: y * (1 - y))}
@@ -50,13 +51,6 @@ def energies(atoms: DataFrame, keys: tuple[str, ...] = ("sid",)) -> DataFrame:
     return atoms.groupBy(*keys).agg(F.sum("e_atom").alias("energy"), F.count("*").alias("n_atoms"))
 
 
-def _spin(column: str, spins: dict[str, int]):
-    out = F.lit(0.0)
-    for s, v in spins.items():
-        out = F.when(F.col(column) == s, F.lit(float(v))).otherwise(out)
-    return out
-
-
 def gradients(found: DataFrame, rad_cutoff: float, rad_order: int, ang_cutoff: float, ang_order: int, spins: dict[str, int], min_cutoff: float = 0.0, keys: tuple[str, ...] = ("sid",)) -> DataFrame:
     """(keys, i, f, atom, gx, gy, gz): derivatives of atom i's feature f by the place of an atom.
 
@@ -106,3 +100,20 @@ def forces(atoms: DataFrame, grads: DataFrame, keys: tuple[str, ...] = ("sid",))
     slopes = atoms.select(*keys, F.col("aid").alias("i"), F.posexplode("de_dg").alias("f", "s"))
     sums = grads.join(slopes, [*keys, "i", "f"]).groupBy(*keys, F.col("atom").alias("aid")).agg(*[(-F.sum(F.col("s") * F.col(g))).alias(o) for g, o in (("gx", "fx"), ("gy", "fy"), ("gz", "fz"))])
     return atoms.select(*keys, "aid").join(sums, [*keys, "aid"], "left").fillna(0.0, ["fx", "fy", "fz"])
+
+
+def predict(atoms: DataFrame, found: DataFrame, model: dict[str, Layers], spins: dict[str, int], settings: tuple[float, int, float, int], references: dict[str, float] | None = None, scaling: float = 1.0, shift: float = 0.0, min_cutoff: float = 0.0, keys: tuple[str, ...] = ("sid",)) -> tuple[DataFrame, DataFrame]:
+    """(structures, atoms) of places and their edges: energies (total and cohesive), forces and energies of atoms, which add up to
+    the total. Networks give energies times ``scaling`` less a shift; reference energies are by species, 0 if not given."""
+    from .spatial import descriptors
+    from .training import denormalise_atom
+
+    rows = atom_energies(descriptors(atoms, found, *settings, spins, min_cutoff, keys), model)
+    known = F.lit(0.0)
+    for s, e in (references or {}).items():
+        known = F.when(F.col("species") == s, F.lit(float(e))).otherwise(known)
+    own = rows.withColumn("__c", denormalise_atom(F.col("e_atom"), 0.0, scaling, shift)).withColumn("__e", F.col("__c") + known)
+    structures = own.groupBy(*keys).agg(F.sum("__e").alias("energy"), F.sum("__c").alias("cohesive"), F.count("*").alias("n_atoms"))
+    pulled = forces(rows, gradients(found, *settings, spins, min_cutoff, keys), keys)
+    pulled = pulled.withColumns({c: F.col(c) / scaling for c in ("fx", "fy", "fz")})
+    return structures, own.select(*keys, "aid", "species", F.col("__e").alias("e_atom")).join(pulled, [*keys, "aid"])

@@ -192,3 +192,39 @@ def rdf(found: DataFrame, dr: float, centres: int, density: float) -> DataFrame:
     """(bin, r, g): the histogram over centres, density and the exact volume of each shell."""
     volume = F.lit(4 / 3 * 3.141592653589793 * dr**3) * (F.pow(F.col("bin") + 1, 3) - F.pow(F.col("bin").cast("double"), 3))
     return rdf_histogram(found, dr).select("bin", ((F.col("bin") + 0.5) * dr).alias("r"), (F.col("n") / centres / (density * volume)).alias("g"))
+
+
+def rdf_frames(found: DataFrame, atoms: DataFrame, dr: float, keys: tuple[str, ...] = ("sid", "frame"), centre: str | None = None, other: str | None = None, weights: dict[str, float] | None = None) -> DataFrame:
+    """(sid, bin, r, g) of trajectories: for each structure, the first key, edges from atoms of one species to atoms of another
+    (any where None) by floor(d / dr), over centres and the shells' exact volumes, as the mean of its frames over the density of the other
+    species in its last frame's cell.
+
+    With weights of species, such as scattering factors, each edge counts the product of its two atoms' weights over the mean
+    product of the atoms of its frame. Atoms have a column ``cell``.
+    """
+    sid, *rest = keys
+    w = (lambda c: F.coalesce(*[F.when(F.col(c) == s, F.lit(float(v))) for s, v in weights.items()], F.lit(0.0))) if weights else (lambda c: F.lit(1.0))
+    is_centre = F.lit(True) if centre is None else F.col("species") == centre
+    is_other = F.lit(True) if other is None else F.col("species") == other
+    m = cell_matrix()
+    volume = F.abs(m[0][0] * (m[1][1] * m[2][2] - m[1][2] * m[2][1]) - m[0][1] * (m[1][0] * m[2][2] - m[1][2] * m[2][0]) + m[0][2] * (m[1][0] * m[2][1] - m[1][1] * m[2][0]))
+    frames = atoms.groupBy(*keys).agg(F.count_if(is_centre).alias("nc"), F.count_if(is_other).alias("no"), F.first(volume).alias("volume"), F.avg(F.when(is_centre, w("species"))).alias("wc"), F.avg(F.when(is_other, w("species"))).alias("wo"))
+    ends = frames.groupBy(sid).agg(F.count("*").alias("frames"), F.max_by(F.col("no") / F.col("volume"), F.struct(*rest) if rest else F.lit(0)).alias("density"))
+    kept = found
+    if centre is not None:
+        kept = kept.where(F.col("species_i") == centre)
+    if other is not None:
+        kept = kept.where(F.col("species_j") == other)
+    hist = kept.groupBy(*keys, F.floor(F.col("d") / dr).cast("long").alias("bin")).agg(F.sum(w("species_i") * w("species_j")).alias("n"))
+    shell = F.lit(4 / 3 * 3.141592653589793 * dr**3) * (F.pow(F.col("bin") + 1, 3) - F.pow(F.col("bin").cast("double"), 3))
+    per = hist.join(frames, list(keys)).select(sid, "bin", F.try_divide(F.col("n"), F.col("nc") * F.col("wc") * F.col("wo")).alias("n"))
+    total = per.groupBy(sid, "bin").agg(F.sum("n").alias("n")).join(ends, sid)
+    return total.select(sid, "bin", ((F.col("bin") + 0.5) * dr).alias("r"), F.try_divide(F.col("n") / F.col("frames"), F.col("density") * shell).alias("g"))
+
+
+def describe(atoms: DataFrame, spins: dict[str, int], settings: tuple[float, int, float, int], min_cutoff: float = 0.0, keys: tuple[str, ...] = ("sid",)) -> tuple[DataFrame, DataFrame]:
+    """(descriptors, edges) from places in one call: settings are radial cutoff and order, angular cutoff and order; atoms
+    with a column ``cell`` are wrapped into it and have periodic neighbours."""
+    reach = max(settings[0], settings[2])
+    found = periodic_edges(atoms, reach, keys) if "cell" in atoms.columns else edges(atoms, reach, keys)
+    return descriptors(atoms, found, *settings, spins, min_cutoff, keys), found

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import scalars as S
-from ..operators import diversity, energies, ensemble, generators, spatial, trajectory
+from ..operators import diversity, energies, ensemble, generators, geometry, spatial, structures as sets, training, trajectory
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -49,6 +49,11 @@ def predictions(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").select(F.col("l_partkey").alias("sid"), (F.col("l_suppkey") % 4).cast("int").alias("member"), F.try_divide("l_extendedprice", "l_quantity").alias("energy"), *[F.col(c).cast("double").alias(n) for c, n in (("l_quantity", "fx"), ("l_discount", "fy"), ("l_tax", "fz"))])
 
 
+def celled(spark: SparkSession, d: str) -> DataFrame:
+    """Atoms with CELL as their column ``cell``."""
+    return atoms(spark, d).withColumn("cell", F.array(*[F.array(*map(F.lit, row)) for row in CELL]))
+
+
 def points(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     return table(spark, d, "events").where("value is not null").select(F.col("user_id").alias("pid"), F.row_number().over(w).alias("frame"), F.col("value").alias("x"))
@@ -411,18 +416,17 @@ def kabsch(spark, d):
 
 @query("SELECT doc_id, coalesce(nullif(source, ''), 'structure_' || lpad(CAST(doc_id AS VARCHAR), 6, '0')) || '#frame=' || doc_id % 3 AS name FROM documents")
 def identifier_coalesce(spark, d):
-    docs = table(spark, d, "documents")
-    return docs.select("doc_id", F.concat(F.coalesce(F.nullif("source", F.lit("")), F.format_string("structure_%06d", "doc_id")), F.lit("#frame="), (F.col("doc_id") % 3).cast("string")).alias("name"))
+    return sets.identifier(table(spark, d, "documents"), ["source"], "doc_id", F.col("doc_id") % 3).select("doc_id", "name")
 
 
 @query("SELECT source, CAST(count(*) AS BIGINT) AS n FROM documents GROUP BY source HAVING count(*) > 1")
 def duplicate_names(spark, d):
-    return table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n")).where("n > 1")
+    return sets.repeated_names(table(spark, d, "documents"), "source")
 
 
 @query("SELECT d.doc_id, l.toxic IS NOT NULL AS labelled FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
 def labelled_structures(spark, d):
-    return table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left").select("doc_id", F.col("toxic").isNotNull().alias("labelled"))
+    return sets.labelled(table(spark, d, "documents"), table(spark, d, "labels"), "doc_id", "toxic").select("doc_id", "labelled")
 
 
 @query("SELECT f AS formula, s AS species, CAST(n AS INTEGER) AS count FROM (VALUES ('TiO2','O',2), ('TiO2','Ti',1), ('LiFePO4','Fe',1), ('LiFePO4','Li',1), ('LiFePO4','O',4), ('LiFePO4','P',1), ('CH3CH3','C',2), ('CH3CH3','H',6)) t(f, s, n)")
@@ -444,20 +448,18 @@ def json_props(spark, d):
 @query(f"WITH a AS ({_ATOMS}), u AS (SELECT sid, aid FROM a UNION ALL SELECT sid, aid + 100 FROM a WHERE species = 'R') SELECT sid, count(*) AS n, CAST(max(aid) AS BIGINT) AS top FROM u GROUP BY sid")
 def merge_atoms(spark, d):
     a = atoms(spark, d)
-    both = a.select("sid", "aid").unionByName(a.where("species = 'R'").select("sid", (F.col("aid") + 100).alias("aid")))
+    both = sets.merge(a.select("sid", "aid"), a.where("species = 'R'").select("sid", "aid"), ("sid",), offset=100)
     return both.groupBy("sid").agg(F.count("*").alias("n"), F.max("aid").cast("long").alias("top"))
 
 
 @query(f"WITH a AS ({_ATOMS}) SELECT sid, aid, CAST(row_number() OVER (PARTITION BY sid ORDER BY aid) AS INTEGER) AS new_aid FROM a WHERE aid NOT IN (1, 3)")
 def remove_atoms(spark, d):
-    gone = spark.createDataFrame([(1,), (3,)], "aid int")
-    left = atoms(spark, d).join(F.broadcast(gone), "aid", "left_anti")
-    return left.select("sid", "aid", F.row_number().over(Window.partitionBy("sid").orderBy("aid")).alias("new_aid"))
+    return sets.remove_atoms(atoms(spark, d), [1, 3], start=1).select("sid", "aid", "new_aid")
 
 
 @query(f"WITH a AS ({_ATOMS}) SELECT sid, aid, CAST(row_number() OVER (PARTITION BY sid ORDER BY species, z DESC, aid) AS INTEGER) AS place FROM a")
 def sort_atoms(spark, d):
-    return atoms(spark, d).select("sid", "aid", F.row_number().over(Window.partitionBy("sid").orderBy("species", F.desc("z"), "aid")).alias("place"))
+    return sets.sort_atoms(atoms(spark, d)).select("sid", "aid", "place")
 
 
 @query(f"SELECT sid, {_r('avg(x)')} AS x, {_r('avg(y)')} AS y, {_r('avg(z)')} AS z FROM ({_ATOMS}) GROUP BY sid")
@@ -467,16 +469,14 @@ def geometric_centre(spark, d):
 
 @query(f"WITH a AS ({_ATOMS}) SELECT p.sid, {_r('max(sqrt(pow(p.x-q.x,2) + pow(p.y-q.y,2) + pow(p.z-q.z,2)))')} AS diameter FROM a p JOIN a q ON p.sid = q.sid AND p.aid < q.aid GROUP BY p.sid")
 def diameter(spark, d):
-    a = atoms(spark, d)
-    b = a.select("sid", F.col("aid").alias("bid"), F.col("x").alias("bx"), F.col("y").alias("by"), F.col("z").alias("bz"))
-    d2 = S.distance2((F.col("x"), F.col("bx")), (F.col("y"), F.col("by")), (F.col("z"), F.col("bz")))
-    return rounded(a.join(b, "sid").where("aid < bid").groupBy("sid").agg(F.sqrt(F.max(d2)).alias("diameter")))
+    # The SQL has no row for a structure of one atom.
+    several = atoms(spark, d).groupBy("sid").agg(F.count("*").alias("n")).where("n > 1").select("sid")
+    return rounded(geometry.diameter(atoms(spark, d)).join(several, "sid"))
 
 
 @query(f"WITH b AS (SELECT user_id, event_type, sqrt(avg(value * value)) AS rmse, avg(abs(value)) AS mae FROM events WHERE value IS NOT NULL GROUP BY user_id, event_type) SELECT user_id, {_r('avg(rmse)')} AS rmse, {_r('avg(mae)')} AS mae FROM b GROUP BY user_id")
 def epoch_metrics(spark, d):
-    batch = table(spark, d, "events").where("value is not null").groupBy("user_id", "event_type").agg(F.sqrt(F.avg(F.col("value") * F.col("value"))).alias("rmse"), F.avg(F.abs("value")).alias("mae"))
-    return rounded(batch.groupBy("user_id").agg(F.avg("rmse").alias("rmse"), F.avg("mae").alias("mae")))
+    return rounded(training.epoch_metrics(table(spark, d, "events"), "user_id", "event_type", "value").select("user_id", "rmse", "mae"))
 
 
 # Networks

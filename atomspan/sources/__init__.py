@@ -1,0 +1 @@
+from . import codes, formats  # noqa: F401  (registers all formats)

@@ -19,8 +19,8 @@ Frame = dict
 READERS: dict[str, Callable[[str], list[Frame]]] = {}
 WRITERS: dict[str, Callable[[Frame], str]] = {}
 #: Format by a part of the file's name, tried first, then by its extension.
-NAMES = {"POSCAR": "vasp", "CONTCAR": "vasp", "XDATCAR": "xdatcar", "geometry.in": "aims", "str.out": "atat", "pw.out": "pw", "input.data": "runner", "vasprun.xml": "vasprun"}
-EXTENSIONS = {"xsf": "xsf", "xyz": "xyz", "vasp": "vasp", "in": "aims", "aims": "aims", "gap": "gap", "dump": "lammps", "lammps": "lammps", "lmp": "lammps", "prism": "prism", "xml": "vasprun"}
+NAMES = {"fort.34": "crystal", "fhiaims.out": "aimsout", "POSCAR": "vasp", "CONTCAR": "vasp", "XDATCAR": "xdatcar", "geometry.in": "aims", "str.out": "atat", "pw.out": "pw", "input.data": "runner", "vasprun.xml": "vasprun"}
+EXTENSIONS = {"xsf": "xsf", "xyz": "xyz", "vasp": "vasp", "in": "aims", "aims": "aims", "gap": "gap", "dump": "lammps", "lammps": "lammps", "lmp": "lammps", "prism": "prism", "xml": "vasprun", "espresso": "espresso", "gui": "crystal", "arc": "tinker", "txyz": "tinker"}
 
 
 def guess_format(path: str) -> str:
@@ -34,6 +34,21 @@ def guess_format(path: str) -> str:
     return kind
 
 
+def register(name: str, reader: Callable[[str], list[Frame]] | None = None, writer: Callable[[Frame], str] | None = None, extensions: tuple[str, ...] = (), names: tuple[str, ...] = ()) -> None:
+    """A format of one's own: readable with a reader, writable with a writer; known by extensions and parts of file names."""
+    if reader:
+        READERS[name] = reader
+    if writer:
+        WRITERS[name] = writer
+    EXTENSIONS.update(dict.fromkeys(extensions, name))
+    NAMES.update(dict.fromkeys(names, name))
+
+
+def formats() -> list[tuple[str, bool, bool]]:
+    """(name, readable, writable) of all formats."""
+    return [(n, n in READERS, n in WRITERS) for n in sorted({*READERS, *WRITERS})]
+
+
 def _reader(name: str):
     return lambda f: READERS.setdefault(name, f)
 
@@ -98,7 +113,13 @@ def read_xyz(text: str) -> list[Frame]:
     return frames
 
 
-READERS["gap"] = read_xyz
+@_reader("gap")
+def read_gap(text: str) -> list[Frame]:
+    """Extended XYZ whose frames must all have the same atoms."""
+    frames = read_xyz(text)
+    if any([a[0] for a in f["atoms"]] != [a[0] for a in frames[0]["atoms"]] for f in frames):
+        raise ValueError("frames differ in their atoms")
+    return frames
 
 
 @_reader("vasp")
@@ -139,7 +160,7 @@ def read_xdatcar(text: str) -> list[Frame]:
 
 @_reader("vasprun")
 def read_vasprun(text: str) -> list[Frame]:
-    """All ionic steps, with the energy without entropy."""
+    """All ionic steps, with the energy without entropy; where a step has none, that of its last electronic step."""
     from xml.etree import ElementTree
 
     root = ElementTree.fromstring(text)
@@ -151,6 +172,9 @@ def read_vasprun(text: str) -> list[Frame]:
         xyz = _cartesian(cell, rows(step.find("structure/varray[@name='positions']")))
         forces = rows(step.find("varray[@name='forces']")) or [[None] * 3] * len(species)
         e = step.find("energy/i[@name='e_wo_entrp']")
+        if e is None:
+            last = step.findall("scstep/energy/i[@name='e_0_energy']")
+            e = last[-1] if last else None
         frames.append(_frame([(s, *p, *f) for s, p, f in zip(species, xyz.tolist(), forces, strict=True)], cell, float(e.text) if e is not None else None))
     return frames
 
@@ -241,13 +265,19 @@ def read_runner(text: str) -> list[Frame]:
 
 @_reader("pw")
 def read_pw(text: str) -> list[Frame]:
-    """Positions in units of the lattice parameter, their updates, energies in Rydberg and forces in Rydberg a Bohr."""
+    """Positions in units of the lattice parameter, their updates and those of the cell, energies in Rydberg and forces in
+    Rydberg a Bohr."""
     alat = float(re.search(r"lattice parameter \(alat\)\s*=\s*(\S+)", text)[1]) * BOHR_ANGSTROM
     cell = np.array([re.search(rf"a\({k}\)\s*=\s*\(\s*(.*?)\s*\)", text)[1].split() for k in (1, 2, 3)], float) * alat
     first = re.findall(r"^\s+\d+\s+(\w+)\s+tau\(\s*\d+\)\s*=\s*\(\s*(.*?)\s*\)", text, re.M)
     species, xyz = [s for s, _ in first], np.array([p.split() for _, p in first], float) * alat
     frames = []
-    for part in re.split(r"ATOMIC_POSITIONS", text):
+    updates = re.split(r"ATOMIC_POSITIONS", text)
+    for k, part in enumerate(updates):
+        if new := re.search(r"CELL_PARAMETERS\s*\(?\s*(\w+)?[^\n]*\n((?:\s*[-+.\dEe]+\s+[-+.\dEe]+\s+[-+.\dEe]+\s*\n){3})", updates[k - 1].rsplit("Begin final", 1)[-1] if k else ""):
+            unit = re.search(r"CELL_PARAMETERS[^\n]*?alat\s*=\s*([-+.\dEe]+)", updates[k - 1])
+            scale = float(unit[1]) * BOHR_ANGSTROM if unit else {"angstrom": 1.0, "bohr": BOHR_ANGSTROM}.get(new[1], alat)
+            cell = np.array(new[2].split(), float).reshape(3, 3) * scale
         if frames:
             head, *rows = part.splitlines()
             pos = np.array([r.split()[1:4] for r in rows[: len(species)]], float)
@@ -299,8 +329,10 @@ def write_aims(frame: Frame) -> str:
 
 
 @_writer("pdb")
-def write_pdb(frame: Frame) -> str:
-    rows = ["HETATM%5d %-4s UNK     1    %8.3f%8.3f%8.3f%6.2f%6.2f          %2s" % (i + 1, a[0], *a[1:4], 1.0, 0.0, a[0]) for i, a in enumerate(frame["atoms"])]
+def write_pdb(frame: Frame, attribute: list[float] | None = None) -> str:
+    """With a number of each atom in the place of the temperature factor, such as an uncertainty; 0 without."""
+    factor = attribute or [0.0] * len(frame["atoms"])
+    rows = ["HETATM%5d %-4s UNK     1    %8.3f%8.3f%8.3f%6.2f%6.2f          %2s" % (i + 1, a[0], *a[1:4], 1.0, v, a[0]) for i, (a, v) in enumerate(zip(frame["atoms"], factor, strict=True))]
     return "\n".join([*rows, "END"]) + "\n"
 
 
@@ -311,27 +343,41 @@ def write_runner(frame: Frame) -> str:
     return "\n".join(["begin", *cell, *atoms, "energy %.10f" % ((frame["energy"] or 0.0) / HARTREE_EV), "charge 0.0", "end"]) + "\n"
 
 
-SCHEMA = "path string, frame int, cell array<array<double>>, energy double, atoms array<struct<species:string,x:double,y:double,z:double,fx:double,fy:double,fz:double>>, error string"
+SCHEMA = "path string, frame int, cell array<array<double>>, energy double, atoms array<struct<species:string,x:double,y:double,z:double,fx:double,fy:double,fz:double>>, error string, step long"
+#: What a text that isn't of its format raises.
+FAILURES = (ValueError, IndexError, KeyError, TypeError, AttributeError, StopIteration, SyntaxError)
+_ATOM = ("species", "x", "y", "z", "fx", "fy", "fz")
 
 
-def read(spark: SparkSession, paths: str | list[str], form: str | None = None) -> DataFrame:
-    """Frames of structure files, a row each (see SCHEMA); a file that can't be read is a row with ``error``."""
-    files = spark.read.format("binaryFile").load(paths).select("path", "content")
+def as_rows(path: str, frames: list[Frame]) -> list[tuple]:
+    return [(path, k, f["cell"], f["energy"], [dict(zip(_ATOM, a, strict=True)) for a in f["atoms"]], None, f.get("step")) for k, f in enumerate(frames)]
 
-    def run(batches):
-        import pandas as pd
 
+def as_pandas(rows: list[tuple]):
+    import pandas as pd
+
+    return pd.DataFrame(rows, columns=["path", "frame", "cell", "energy", "atoms", "error", "step"]).astype({"frame": "Int32", "step": "Int64"})
+
+
+def parse(files: DataFrame, form: str | None = None) -> DataFrame:
+    """Frames of rows (path, content), content being bytes; see SCHEMA."""
+
+    def run(batches):
         for pdf in batches:
             rows = []
             for path, content in zip(pdf["path"], pdf["content"], strict=True):
                 try:
-                    for k, f in enumerate(READERS[form or guess_format(path)](content.decode("utf-8", "replace"))):
-                        rows.append((path, k, f["cell"], f["energy"], [dict(zip(("species", "x", "y", "z", "fx", "fy", "fz"), a, strict=True)) for a in f["atoms"]], None))
-                except (ValueError, IndexError, KeyError, TypeError, AttributeError, StopIteration, SyntaxError) as e:
-                    rows.append((path, None, None, None, None, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(rows, columns=["path", "frame", "cell", "energy", "atoms", "error"]).astype({"frame": "Int32"})
+                    rows += as_rows(path, READERS[form or guess_format(path)](bytes(content).decode("utf-8", "replace")))
+                except FAILURES as e:
+                    rows.append((path, None, None, None, None, f"{type(e).__name__}: {e}", None))
+            yield as_pandas(rows)
 
-    return files.mapInPandas(run, SCHEMA)
+    return files.select("path", "content").mapInPandas(run, SCHEMA)
+
+
+def read(spark: SparkSession, paths: str | list[str], form: str | None = None) -> DataFrame:
+    """Frames of structure files, a row each (see SCHEMA); a file that can't be read is a row with ``error``."""
+    return parse(spark.read.format("binaryFile").load(paths), form)
 
 
 def frames_and_atoms(read_rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -341,14 +387,40 @@ def frames_and_atoms(read_rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return frames, good.select("path", "frame", F.posexplode("atoms").alias("aid", "a")).select("path", "frame", "aid", "a.*")
 
 
+def _plain(value):
+    """None for NaN, which is how pandas hands over nulls."""
+    return None if value is None or value != value else float(value)
+
+
 def as_text(read_rows: DataFrame, form: str) -> DataFrame:
-    """(path, frame, text): each frame in a format."""
+    """(path, frame, text, error): each frame in a format; one that the format can't hold has an error in place of a text."""
 
     def run(batches):
         import pandas as pd
 
         for pdf in batches:
-            out = [WRITERS[form]({"cell": None if c is None else [list(v) for v in c], "energy": None if e is None or e != e else e, "atoms": [tuple(None if v is None or v != v else v for v in (a["species"], a["x"], a["y"], a["z"], a["fx"], a["fy"], a["fz"])) for a in atoms]}) for c, e, atoms in zip(pdf["cell"], pdf["energy"], pdf["atoms"], strict=True)]
-            yield pd.DataFrame({"path": pdf["path"], "frame": pdf["frame"], "text": out})
-
-    return read_rows.where("error is null").select("path", "frame", "cell", "energy", "atoms").mapInPandas(run, "path string, frame int, text string")
+            out = []
+            for path, k, cell, energy, atoms in zip(pdf["path"], pdf["frame"], pdf["cell"], pdf["energy"], pdf["atoms"], strict=True):
+                frame = {"cell": None if cell is None else [list(map(float, v)) for v in cell], "energy": _plain(energy), "atoms": [(a["species"], *[_plain(a[c]) for c in _ATOM[1:]]) for a in atoms]}
+                try:
+                    out.append((path, k, WRITERS[form](frame), None))
+                except FAILURES as e:
+                    out.append((path, k, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(out, columns=["path", "frame", "text", "error"])
+
+    return read_rows.where("error is null").select("path", "frame", "cell", "energy", "atoms").mapInPandas(run, "path string, frame int, text string, error string")
+
+
+def write(read_rows: DataFrame, folder: str, form: str, apart: bool = True) -> None:
+    """Frames in a format as text files under a folder, written by tasks through Spark, so that any file system will do.
+
+    A folder of its own for each frame, or with ``apart`` False one file a task with its frames one after the other, which is
+    how formats of several frames are read again and the only way for very many of them. A frame that the format can't
+    hold stops the writing.
+    """
+    texts = as_text(read_rows, form)
+    checked = F.regexp_replace(F.coalesce("text", F.raise_error(F.concat(F.lit("a frame can't be written: "), "error")).cast("string")), r"\n\z", "").alias("value")
+    if not apart:
+        return texts.select(checked).write.text(folder)
+    name = F.concat(F.regexp_replace(F.regexp_replace("path", r"^.*/", ""), r"[^A-Za-z0-9_.-]", "_"), F.lit("-"), F.format_string("%06d", "frame"))
+    return texts.select(name.alias("sid"), checked).write.partitionBy("sid").text(folder)

@@ -13,11 +13,20 @@ def train_log(spark: SparkSession, path: str) -> DataFrame:
     return lines.select("path", w[0].cast("int").alias("epoch"), *[F.get(numbers, F.lit(k)).cast("double").alias(n) for k, n in enumerate(("mae_train", "rmse_train", "mae_test", "rmse_test"))])
 
 
-def energy_table(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """A table of numbers in columns that white space parts; lines that begin with no number are left out, the path is last."""
+def energy_table(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
+    """A table of numbers in columns that white space parts; lines that begin with no number are left out, the path is last.
+
+    Without ``columns`` they are named by the first line of the first file (without #, Cost Func as one name), and the path is
+    of the name that the header gives its last column.
+    """
+    last = "path"
+    if columns is None:
+        head = spark.read.text(path).where(F.trim("value") != "").first()
+        names = (head["value"] if head else "").replace("Cost Func", "Cost-Func").replace("#", "").split()
+        columns, last = names[:-1], names[-1] if names else "path"
     lines = spark.read.text(path).select(F.trim("value").alias("v")).where(F.col("v").rlike(r"^[-+0-9.]"))
     w = F.split("v", r"\s+")
-    return lines.select(*[F.get(w, F.lit(k)).cast("double").alias(n) for k, n in enumerate(columns)], F.element_at(w, -1).alias("path"))
+    return lines.select(*[F.get(w, F.lit(k)).cast("double").alias(n) for k, n in enumerate(columns)], F.element_at(w, -1).alias(last))
 
 
 def predictions(spark: SparkSession, path: str) -> DataFrame:
@@ -28,6 +37,24 @@ def predictions(spark: SparkSession, path: str) -> DataFrame:
     return text.select("path", F.posexplode(both).alias("nth", "e")).select("path", "nth", "e.*")
 
 
+def atom_predictions(spark: SparkSession, path: str) -> DataFrame:
+    """(path, nth, aid, species, x, y, z, fx, fy, fz, e_atom): atoms of each structure in prediction logs.
+
+    An atom's line has its species, place, and if they were predicted its force and energy; a line of fewer than seven
+    numbers and names has no force, and a line without an energy has NaN.
+    """
+    text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.split("value", r"Cohesive energy\s*:").alias("parts"))
+    each = text.select("path", F.posexplode(F.expr("slice(parts, 1, size(parts) - 1)")).alias("nth", "t"))
+    real = r"[-+]?(?:\d+\.\d*|\.\d+)(?:[eE][-+]?\d+)?"
+    lines = F.regexp_extract_all("t", F.lit(rf"(?m)^\s*[A-Z][a-z]?(?:\s+{real}){{3,}}\s*$"), F.lit(0))
+    w = F.split(F.trim("line"), r"\s+")
+    at = lambda k: F.get(w, F.lit(k)).cast("double")
+    forced = F.size(w) >= 7
+    rows = each.select("path", "nth", F.posexplode(lines).alias("aid", "line"))
+    energy = F.when(F.size(w) == 8, at(7)).when(F.size(w) == 5, at(4)).otherwise(F.lit(float("nan")))
+    return rows.select("path", "nth", "aid", w[0].alias("species"), at(1).alias("x"), at(2).alias("y"), at(3).alias("z"), *[F.when(forced, at(4 + k)).alias(c) for k, c in enumerate(("fx", "fy", "fz"))], energy.alias("e_atom"))
+
+
 def training_set(spark: SparkSession, path: str) -> DataFrame:
     """(path, nth, structure, energy, atoms) of text training sets.
 
