@@ -26,7 +26,7 @@ def energy_table(spark: SparkSession, path: str, columns: list[str] | None = Non
         columns, last = names[:-1], names[-1] if names else "path"
     lines = spark.read.text(path).select(F.trim("value").alias("v")).where(F.col("v").rlike(r"^[-+0-9.]"))
     w = F.split("v", r"\s+")
-    return lines.select(*[F.get(w, F.lit(k)).cast("double").alias(n) for k, n in enumerate(columns)], F.element_at(w, -1).alias(last))
+    return lines.select(*[F.get(w, F.lit(k)).try_cast("double").alias(n) for k, n in enumerate(columns)], F.element_at(w, -1).alias(last))
 
 
 def predictions(spark: SparkSession, path: str) -> DataFrame:
@@ -46,9 +46,9 @@ def atom_predictions(spark: SparkSession, path: str) -> DataFrame:
     text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.split("value", r"Cohesive energy\s*:").alias("parts"))
     each = text.select("path", F.posexplode(F.expr("slice(parts, 1, size(parts) - 1)")).alias("nth", "t"))
     real = r"[-+]?(?:\d+\.\d*|\.\d+)(?:[eE][-+]?\d+)?"
-    lines = F.regexp_extract_all("t", F.lit(rf"(?m)^\s*[A-Z][a-z]?(?:\s+{real}){{3,}}\s*$"), F.lit(0))
+    lines = F.regexp_extract_all("t", F.lit(rf"(?m)^[ \t]*[A-Z][a-z]?(?:[ \t]+{real}){{3,}}[ \t]*$"), F.lit(0))
     w = F.split(F.trim("line"), r"\s+")
-    at = lambda k: F.get(w, F.lit(k)).cast("double")
+    at = lambda k: F.get(w, F.lit(k)).try_cast("double")
     forced = F.size(w) >= 7
     rows = each.select("path", "nth", F.posexplode(lines).alias("aid", "line"))
     energy = F.when(F.size(w) == 8, at(7)).when(F.size(w) == 5, at(4)).otherwise(F.lit(float("nan")))
