@@ -51,12 +51,8 @@ def energies(atoms: DataFrame, keys: tuple[str, ...] = ("sid",)) -> DataFrame:
     return atoms.groupBy(*keys).agg(F.sum("e_atom").alias("energy"), F.count("*").alias("n_atoms"))
 
 
-def gradients(found: DataFrame, rad_cutoff: float, rad_order: int, ang_cutoff: float, ang_order: int, spins: dict[str, int], min_cutoff: float = 0.0, keys: tuple[str, ...] = ("sid",)) -> DataFrame:
-    """(keys, i, f, atom, gx, gy, gz): derivatives of atom i's feature f by the place of an atom.
-
-    Features are in the order of :func:`atomspan.operators.spatial.descriptors`. Images of an atom count as the atom.
-    """
-    two = len(spins) > 1
+def _pairs(found: DataFrame, rad_cutoff: float, rad_order: int, ang_order: int, spins: dict[str, int], min_cutoff: float) -> tuple[DataFrame, list]:
+    """Edges within the radial cutoff, and (feature, derivative by the distance) of the radial features."""
     n_r, n_a = rad_order + 1, ang_order + 1
     near = found.where((F.col("d") > min_cutoff) & (F.col("d") <= rad_cutoff))
     x = rescale(F.col("d"), min_cutoff, rad_cutoff)
@@ -64,14 +60,15 @@ def gradients(found: DataFrame, rad_cutoff: float, rad_order: int, ang_cutoff: f
     for n in range(n_r):
         slope = chebyshev_derivative(n, x) * (2 / (rad_cutoff - min_cutoff)) * cosine_cutoff(F.col("d"), rad_cutoff) + chebyshev(n, x) * cosine_cutoff_derivative(F.col("d"), rad_cutoff)
         parts.append((n, slope))
-        if two:
+        if len(spins) > 1:
             parts.append((n_r + n_a + n, slope * _spin("species_j", spins)))
-    each = F.explode(F.array(*[F.struct(F.lit(f).alias("f"), s.alias("s")) for f, s in parts])).alias("e")
-    pair = near.select(*keys, "i", "j", *[(F.col(c) / F.col("d")).alias(c) for c in ("dx", "dy", "dz")], each).select(*keys, "i", "j", "dx", "dy", "dz", "e.*")
-    flow = lambda df, atom, vec: df.select(*keys, "i", "f", F.col(atom).alias("atom"), *[v.alias(g) for v, g in zip(vec, ("gx", "gy", "gz"), strict=True)])
-    u = [F.col("s") * F.col(c) for c in ("dx", "dy", "dz")]
-    out = flow(pair, "j", u).unionByName(flow(pair, "i", [-v for v in u]))
+    return near, parts
+
 
+def _triplets(found: DataFrame, rad_order: int, ang_cutoff: float, ang_order: int, spins: dict[str, int], min_cutoff: float, keys: tuple[str, ...]) -> tuple[DataFrame, list]:
+    """Pairs of edges of an atom as unit vectors a, b, distances d1, d2 and cosine c; and (feature, derivatives by the cosine and by
+    both distances) of the angular features."""
+    n_r, n_a = rad_order + 1, ang_order + 1
     image = [c for c in ("ox", "oy", "oz") if c in found.columns]
     ranked = found.where((F.col("d") > min_cutoff) & (F.col("d") <= ang_cutoff)).withColumn("rank", F.row_number().over(Window.partitionBy(*keys, "i").orderBy("j", *image)))
     a = ranked.select(*keys, "i", "j", F.col("species_j").alias("sj"), F.col("rank").alias("ra"), F.col("d").alias("d1"), *[(F.col(c) / F.col("d")).alias(f"a{c[1]}") for c in ("dx", "dy", "dz")])
@@ -84,17 +81,57 @@ def gradients(found: DataFrame, rad_cutoff: float, rad_order: int, ang_cutoff: f
         t, dt = chebyshev(n, F.col("c")), chebyshev_derivative(n, F.col("c"))
         turn, one, other = dt * f1 * f2, t * cosine_cutoff_derivative(F.col("d1"), ang_cutoff) * f2, t * f1 * cosine_cutoff_derivative(F.col("d2"), ang_cutoff)
         parts.append((n_r + n, turn, one, other))
-        if two:
+        if len(spins) > 1:
             w = _spin("sj", spins) * _spin("sk", spins)
             parts.append((2 * n_r + n_a + n, turn * w, one * w, other * w))
-    each = F.explode(F.array(*[F.struct(F.lit(f).alias("f"), p.alias("p"), q.alias("q"), r.alias("r")) for f, p, q, r in parts])).alias("e")
-    tri = tri.select("*", each).select("*", "e.*")
+    return tri, parts
+
+
+def _pulls() -> tuple[list, list]:
+    """Derivatives by the places of j and k from the columns p (by the cosine), q and r (by the distances)."""
     by_j = [F.col("p") * (F.col(f"b{k}") - F.col("c") * F.col(f"a{k}")) / F.col("d1") + F.col("q") * F.col(f"a{k}") for k in "xyz"]
     by_k = [F.col("p") * (F.col(f"a{k}") - F.col("c") * F.col(f"b{k}")) / F.col("d2") + F.col("r") * F.col(f"b{k}") for k in "xyz"]
+    return by_j, by_k
+
+
+def gradients(found: DataFrame, rad_cutoff: float, rad_order: int, ang_cutoff: float, ang_order: int, spins: dict[str, int], min_cutoff: float = 0.0, keys: tuple[str, ...] = ("sid",)) -> DataFrame:
+    """(keys, i, f, atom, gx, gy, gz): derivatives of atom i's feature f by the place of an atom.
+
+    Features are in the order of :func:`atomspan.operators.spatial.descriptors`. Images of an atom count as the atom. The
+    table is long; where only forces are wanted, :func:`contracted_forces` makes none.
+    """
+    near, parts = _pairs(found, rad_cutoff, rad_order, ang_order, spins, min_cutoff)
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("f"), s.alias("s")) for f, s in parts])).alias("e")
+    pair = near.select(*keys, "i", "j", *[(F.col(c) / F.col("d")).alias(c) for c in ("dx", "dy", "dz")], each).select(*keys, "i", "j", "dx", "dy", "dz", "e.*")
+    flow = lambda df, atom, vec: df.select(*keys, "i", "f", F.col(atom).alias("atom"), *[v.alias(g) for v, g in zip(vec, ("gx", "gy", "gz"), strict=True)])
+    u = [F.col("s") * F.col(c) for c in ("dx", "dy", "dz")]
+    out = flow(pair, "j", u).unionByName(flow(pair, "i", [-v for v in u]))
+    tri, parts = _triplets(found, rad_order, ang_cutoff, ang_order, spins, min_cutoff, keys)
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("f"), p.alias("p"), q.alias("q"), r.alias("r")) for f, p, q, r in parts])).alias("e")
+    tri = tri.select("*", each).select("*", "e.*")
+    by_j, by_k = _pulls()
     out = out.unionByName(flow(tri, "j", by_j)).unionByName(flow(tri, "k", by_k)).unionByName(flow(tri, "i", [-p - q for p, q in zip(by_j, by_k, strict=True)]))
     return out.groupBy(*keys, "i", "f", "atom").agg(*[F.sum(g).alias(g) for g in ("gx", "gy", "gz")])
 
 
+def contracted_forces(atoms: DataFrame, found: DataFrame, rad_cutoff: float, rad_order: int, ang_cutoff: float, ang_order: int, spins: dict[str, int], min_cutoff: float = 0.0, keys: tuple[str, ...] = ("sid",)) -> DataFrame:
+    """(keys, aid, fx, fy, fz) as :func:`forces` of :func:`gradients`, without a row for each feature: an atom's de_dg meets its edges
+    and pairs of edges, where all its features' derivatives are summed, and only forces are shuffled."""
+    slopes = atoms.select(*keys, F.col("aid").alias("i"), "de_dg")
+    total = lambda values: sum((F.get("de_dg", F.lit(f)) * v for f, v in values), F.lit(0.0))
+    near, parts = _pairs(found, rad_cutoff, rad_order, ang_order, spins, min_cutoff)
+    pair = near.join(slopes, [*keys, "i"]).withColumn("s", total(parts) / F.col("d"))
+    tri, parts = _triplets(found, rad_order, ang_cutoff, ang_order, spins, min_cutoff, keys)
+    tri = tri.join(slopes, [*keys, "i"]).withColumns({c: total([(x[0], x[k]) for x in parts]) for k, c in ((1, "p"), (2, "q"), (3, "r"))})
+    u = [F.col("s") * F.col(c) for c in ("dx", "dy", "dz")]
+    by_j, by_k = _pulls()
+    pull = lambda atom, vec, sign: F.struct(F.col(atom).alias("aid"), *[(sign * v).alias(c) for v, c in zip(vec, ("fx", "fy", "fz"), strict=True)])
+    two = pair.select(*keys, F.explode(F.array(pull("j", u, -1.0), pull("i", u, 1.0))).alias("e")).select(*keys, "e.*")
+    three = tri.select(*keys, F.explode(F.array(pull("j", by_j, -1.0), pull("k", by_k, -1.0), pull("i", [p + q for p, q in zip(by_j, by_k, strict=True)], 1.0))).alias("e")).select(*keys, "e.*")
+    sums = two.unionByName(three).groupBy(*keys, "aid").agg(*[F.sum(c).alias(c) for c in ("fx", "fy", "fz")])
+    return atoms.select(*keys, "aid").join(sums, [*keys, "aid"], "left").fillna(0.0, ["fx", "fy", "fz"])
+
+
 def forces(atoms: DataFrame, grads: DataFrame, keys: tuple[str, ...] = ("sid",)) -> DataFrame:
     """(keys, aid, fx, fy, fz): minus the sum of dE/dG dG/dr; ``atoms`` has de_dg. Atoms that nothing depends on have 0."""
     slopes = atoms.select(*keys, F.col("aid").alias("i"), F.posexplode("de_dg").alias("f", "s"))
@@ -114,6 +151,6 @@ def predict(atoms: DataFrame, found: DataFrame, model: dict[str, Layers], spins:
         known = F.when(F.col("species") == s, F.lit(float(e))).otherwise(known)
     own = rows.withColumn("__c", denormalise_atom(F.col("e_atom"), 0.0, scaling, shift)).withColumn("__e", F.col("__c") + known)
     structures = own.groupBy(*keys).agg(F.sum("__e").alias("energy"), F.sum("__c").alias("cohesive"), F.count("*").alias("n_atoms"))
-    pulled = forces(rows, gradients(found, *settings, spins, min_cutoff, keys), keys)
+    pulled = contracted_forces(rows, found, *settings, spins, min_cutoff, keys)
     pulled = pulled.withColumns({c: F.col(c) / scaling for c in ("fx", "fy", "fz")})
     return structures, own.select(*keys, "aid", "species", F.col("__e").alias("e_atom")).join(pulled, [*keys, "aid"])

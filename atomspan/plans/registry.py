@@ -509,4 +509,4 @@ def network_forces(spark, d):
     from ..operators import network
 
     a, found = _with_energies(spark, d)
-    return network.forces(a, network.gradients(found, 8.0, 2, 8.0, 1, SPINS, 0.01))
+    return network.contracted_forces(a, found, 8.0, 2, 8.0, 1, SPINS, 0.01)

@@ -34,3 +34,5 @@ def test_forces_equal_finite_differences(spark):
     first, near = atoms.where("sid = 0"), found.where("sid = 0")
     got = network.forces(first, network.gradients(near, *SETTINGS, SPINS)).orderBy("aid").collect()
     assert np.allclose([[r.fx, r.fy, r.fz] for r in got], want, atol=1e-5)
+    direct = network.contracted_forces(first, near, *SETTINGS, SPINS).orderBy("aid").collect()
+    assert np.allclose([[r.fx, r.fy, r.fz] for r in direct], [[r.fx, r.fy, r.fz] for r in got], atol=1e-10)
