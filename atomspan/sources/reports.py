@@ -37,6 +37,19 @@ def save_energies(compared: DataFrame, counts: DataFrame, species: list[str], fo
     both.repartitionByRange("o", "k").sortWithinPartitions("o", "k").select("line").write.mode("overwrite").text(folder)
 
 
+def error_curves(epochs: DataFrame, metrics: tuple[str, ...], epoch: str = "epoch") -> DataFrame:
+    """(epoch, metric, value): what a picture of training errors shows, finite values only."""
+    long = epochs.select(epoch, F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])).alias("e")).select(epoch, "e.*")
+    return long.where(F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") < float("inf")))
+
+
+def correlation(compared: DataFrame) -> DataFrame:
+    """One row of :func:`~..operators.structures.compare`: n, rmse and mae an atom, slope, intercept and r2 of predicted over
+    reference energies an atom; what a picture of their correlation says."""
+    x, y, e = F.try_divide(F.col("reference"), F.col("n_atoms")), F.try_divide(F.col("predicted"), F.col("n_atoms")), F.col("per_atom")
+    return compared.agg(F.count("*").alias("n"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"), F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_r2(y, x).alias("r2"))
+
+
 def save_history(history: DataFrame, folder: str) -> None:
     """A history's rows as JSON lines and as CSV with a header, in two folders."""
     rows = history.orderBy("epoch")

@@ -63,6 +63,10 @@ def test_reports(spark, tmp_path):
     counts = spark.createDataFrame([(1, 1, 1), (2, 1, 0)], "sid int, n_H int, n_O int")
     line = reports.energy_lines(compared, counts, ["H", "O"]).orderBy("sid").first().line
     assert line.split() == ["-1.000000E+01", "-9.000000E+00", "2", "-5.000000E+00", "-4.500000E+00", "5.000000E-01", "2.500000E-01", "1", "1", "a.xsf"]
+    c = reports.correlation(compared).first()
+    assert c.n == 2 and c.rmse == pytest.approx(math.sqrt(0.125)) and c.mae == 0.25 and c.slope == pytest.approx(0.5) and c.r2 == pytest.approx(1.0)
+    curves = reports.error_curves(spark.createDataFrame([(0, 1.0, float("nan")), (1, 0.5, 2.0)], "epoch int, a double, b double"), ("a", "b"))
+    assert sorted(map(tuple, curves.collect())) == [(0, "a", 1.0), (1, "a", 0.5), (1, "b", 2.0)]
     reports.save_energies(compared, counts, ["H", "O"], str(tmp_path / "energies"))
     text = [r.value for r in spark.read.text(str(tmp_path / "energies")).collect()]
     assert len(text) == 3 and sum(x.startswith("Ref(eV)") for x in text) == 1

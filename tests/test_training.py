@@ -135,3 +135,21 @@ def test_predictions_add_up_and_equal_the_network_by_hand(spark):
     r = whole.first()
     assert r.energy == pytest.approx(sum(want.values())) and r.cohesive == pytest.approx(sum(want.values()) - 2 * (-10 + 5)) and r.n_atoms == 4
     assert np.abs(np.array([[x.fx, x.fy, x.fz] for x in rows]).sum(0)).max() < 1e-9
+
+
+def test_descriptor_objects(spark):
+    from atomspan.operators.descriptor import Chebyshev
+
+    d = Chebyshev(("A", "B"), *SETTINGS)
+    atoms = spark.createDataFrame([(1, 0, "A", 0.0, 0.0, 0.0), (1, 1, "B", 1.0, 0.5, 0.0), (1, 2, "A", 0.0, 1.0, 0.7)], ATOM)
+    rows = d.features(atoms).collect()
+    assert {len(r.fingerprint) for r in rows} == {d.n_features} == {N} and Chebyshev(("A",), 3.0, 1, 3.0, 1).n_features == 4
+    again = Chebyshev.restore(d.manifest())
+    assert again == d and again.spins == SPINS
+    full, found = d.with_edges(atoms)
+    assert full.count() == 3 and d.gradients(found).select("f").distinct().count() == N
+    for bad in ((("A", "A"), 3.0, 1, 3.0, 1), ((), 3.0, 1, 3.0, 1), (("A",), 3.0, 1, 3.0, 1, 3.0), (("A",), 3.0, -1, 3.0, 1)):
+        with pytest.raises(ValueError):
+            Chebyshev(*bad)
+    with pytest.raises(ValueError):
+        Chebyshev.restore('{"kind":"other"}')
