@@ -34,6 +34,20 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
 
+_owner: dict[str, dict] = {}
+
+
+def worker_cache(name: str, cache: dict) -> dict:
+    """``cache`` of an operator in a Python worker, which serves one task after the other: those of other operators, which
+    take as much memory and won't be asked again soon, are emptied."""
+    for other, held in list(_owner.items()):
+        if other != name:
+            held.clear()
+            del _owner[other]
+    _owner[name] = cache
+    return cache
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finalizer of splitmix64, which spreads every input bit over all output bits."""
     x = x ^ (x >> np.uint64(30))

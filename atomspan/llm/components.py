@@ -21,17 +21,20 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     nodes = given.select(F.explode(F.array("x", "y")).alias("node")).distinct()
     now, mark, old = given.where("x != y"), None, None
     while True:
-        seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("x", "y").cast("decimal(38,0)")).alias("s")).first()
+        # Each edge stands at both ends; ends' numbers of edges say whether a node is a hub.
+        ends = now.select(F.explode(F.array("x", "y")).alias("u"), F.xxhash64("x", "y").cast("decimal(38,0)").alias("h"))
+        degrees = ends.groupBy("u").agg(F.count("*").alias("n"), F.sum("h").alias("h"))
+        seen = degrees.agg(F.sum("n").alias("n"), F.sum("h").alias("h"), F.max("n").alias("most")).first()
         if seen == mark or not seen["n"]:
             break
-        mark, total = seen, seen["n"]
+        mark, total, most = seen, seen["n"] // 2, seen["most"]
         # Large star: every larger neighbour of a node goes to the node's smallest neighbour.
         both = now.union(now.select(F.col("y"), F.col("x"))).toDF("u", "v")
         low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-        big = hot_join(both.where("v > u"), low, "u", "n", total).select(F.col("v").alias("x"), F.col("m").alias("y")).distinct()
-        # Small star: a node's smaller neighbours and itself go to the smallest of them.
+        big = hot_join(both.where("v > u"), low, "u", "n", total, largest=most).select(F.col("v").alias("x"), F.col("m").alias("y")).distinct()
+        # Small star: a node's smaller neighbours and itself go to the smallest of them; it has one from each neighbour at most.
         low = big.groupBy("x").agg(F.min("y").alias("m"), F.count("*").alias("n"))
-        small = hot_join(big, low, "x", "n", total).select(F.explode(F.array(F.struct("x", F.col("m").alias("y")), F.struct(F.col("y").alias("x"), F.col("m").alias("y")))).alias("e")).select("e.*").where("x != y").distinct()
+        small = hot_join(big, low, "x", "n", total, largest=most).select(F.explode(F.array(F.struct("x", F.col("m").alias("y")), F.struct(F.col("y").alias("x"), F.col("m").alias("y")))).alias("e")).select("e.*").where("x != y").distinct()
         now = stored(small, "edges")
         if old is not None:
             forget(old)

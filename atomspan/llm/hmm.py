@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ._shared import stored
+from ._shared import in_batches, stored
 from ._text import NON_SPACE, blocks, mix, split_words
 
 STATES, SYMBOLS, CLASSES, COMMON = 8, 1 << 14, 256, 1 << 16
@@ -85,7 +85,7 @@ def count_tokens(texts: DataFrame) -> DataFrame:
         if held:
             yield rows()
 
-    return texts.mapInArrow(run, "h long, h2 long, g int, c long").groupBy("h", "h2").agg(F.first("g").alias("g"), F.sum("c").alias("c"))
+    return in_batches(texts, run, "h long, h2 long, g int, c long").groupBy("h", "h2").agg(F.first("g").alias("g"), F.sum("c").alias("c"))
 
 
 @dataclass
@@ -344,7 +344,7 @@ def _round(texts: DataFrame, model: Model) -> dict[str, np.ndarray]:
         used = np.flatnonzero(rows.any(1))
         yield pa.RecordBatch.from_arrays([pa.array(used), *[pa.array(rows[used, i]) for i in range(STATES)]], names=["row", *names])
 
-    summed = texts.mapInArrow(run, "row long, " + ", ".join(f"{n} double" for n in names)).groupBy("row").agg(*[F.sum(n).alias(n) for n in names]).toArrow()
+    summed = in_batches(texts, run, "row long, " + ", ".join(f"{n} double" for n in names)).groupBy("row").agg(*[F.sum(n).alias(n) for n in names]).toArrow()
     rows = np.zeros((len(model.emit) + STATES + 1, STATES))
     rows[summed["row"].to_numpy()] = np.stack([summed[n].to_numpy() for n in names], axis=1)
     return {"emit": rows[: len(model.emit)], "move": rows[len(model.emit) : -1], "start": rows[-1]}
@@ -391,7 +391,7 @@ def score(df: DataFrame, model: Model, counts: DataFrame, text: str = "text") ->
     schema = plain.schema
     for f in df.sparkSession.createDataFrame([], fields).schema:
         schema = schema.add(f)
-    first = df.select(*[F.col(f"`{n}`") for n in names], F.col(text).cast("string").alias("__text")).mapInArrow(run, schema)
+    first = in_batches(df.select(*[F.col(f"`{n}`") for n in names], F.col(text).cast("string").alias("__text")), run, schema)
     first = stored(first.withColumn("__row", F.monotonically_increasing_id()), "scores")
     rare = first.select("__row", F.explode(F.arrays_zip("__rare", "__rare2", "__times")).alias("e")).select("__row", F.col("e.__rare").alias("h"), F.col("e.__rare2").alias("h2"), F.col("e.__times").alias("t"))
     met = rare.join(counts.select("h", "h2", "c"), ["h", "h2"]).groupBy("__row").agg(F.sum("t").alias("__k"), F.sum(F.col("t") * F.log10(F.col("c") + 1.0)).alias("__l"))

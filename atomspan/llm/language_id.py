@@ -27,7 +27,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ._text import blocks
+from ._shared import in_batches
+from ._text import blocks, worker_cache
 
 #: Letters of training text a language, of all languages together, and rows a language from which they are taken.
 TRAIN_CHARS, TRAIN_CHARS_ALL, TRAIN_ROWS = 1 << 15, 1 << 19, 300
@@ -142,7 +143,7 @@ class Model:
     def tables(self) -> tuple[np.ndarray, list[tuple[Automaton, np.ndarray]], np.ndarray, float]:
         """Symbol of each code point; each language's automaton and its column for each symbol; bits of a phrase in each,
         and of a letter that a training text lacks."""
-        if _built.get("key") != self.key:
+        if worker_cache("language", _built).get("key") != self.key:
             alpha, lower = _letters()
             points = [np.frombuffer(t.encode("utf-32-le"), np.uint32) for t in self.texts]
             seen = np.unique(np.concatenate([lower[p[alpha[p]]] for p in points] or [np.zeros(0, np.int32)]))
@@ -290,7 +291,7 @@ def detect(df: DataFrame, model: Model, text: str = "text", keep_text: bool = Fa
 
     back = [F.col(f"`{n}`") for n in names] + ([F.col(text).cast("string").alias(text)] if keep_text else [])
     schema = df.select(*back).schema.add("lang_pred", "string").add("lang_score", "double").add("lang_bits", "double")
-    return df.select(*[F.col(f"`{n}`") for n in names], F.col(text).cast("string").alias("__text")).mapInArrow(run, schema)
+    return in_batches(df.select(*[F.col(f"`{n}`") for n in names], F.col(text).cast("string").alias("__text")), run, schema)
 
 
 def crc_mod(column: str, m: int):

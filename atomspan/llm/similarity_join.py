@@ -21,8 +21,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ._shared import hot_join, stored
-from ._text import blocks, mix, shingles, split_words
+from ._shared import hot_join, in_batches, stored
+from ._text import blocks, mix, shingles, split_words, worker_cache
 from .components import connected_components
 
 WIDTH, THRESHOLD = 5, 0.8
@@ -30,6 +30,8 @@ TREES, DEPTH = 16, 8
 RECALL = 0.998
 #: Classes, and bytes of their sets, in a block.
 BLOCK_ROWS, BLOCK_SET_BYTES = 2048, 16 << 20
+#: Rows of a unit's matrix that are compared at once.
+STRIP = 256
 #: Classes (in expectation; twice as many at most) whose similar pairs check the length of prefixes.
 FIT_ROWS = 1000
 #: Bits of the filter through which texts pass that are read again, at least and at most. A full filter keeps no text back.
@@ -53,7 +55,7 @@ def _met(sig: np.ndarray, pairs: np.ndarray, length: int) -> np.ndarray:
     return (sig[pairs[:, 0], :, :length] == sig[pairs[:, 1], :, :length]).all(2).any(1)
 
 
-def fitted_length(classes: DataFrame, threshold: float) -> int:
+def fitted_length(classes: DataFrame, threshold: float, count: int) -> int:
     """The length of matched prefixes: :func:`prefix_length`, or less if pairs of a sample miss each other more often.
 
     The sample is of the classes whose first value in the first tree falls into a range, so that similar classes are
@@ -61,7 +63,7 @@ def fitted_length(classes: DataFrame, threshold: float) -> int:
     over the threshold are looked at in the other trees.
     """
     length = prefix_length(threshold)
-    some = max(1, classes.count() // FIT_ROWS)
+    some = max(1, count // FIT_ROWS)
     first = F.conv(F.hex(F.substring("sig", 1, 2)), 16, 10).cast("int")
     rows = [r["sig"] for r in classes.where(first < 65536 // some + 1).limit(2 * FIT_ROWS).select("sig").collect()]
     if len(rows) < 2:
@@ -111,6 +113,7 @@ def sketch(df: DataFrame, key: str, text: str, width: int) -> DataFrame:
     """(key, th: hash of the text, cls: the set's digest, size of the set, sig: signatures, two bytes a value)."""
 
     def run(batches):
+        worker_cache("join", {})
         for batch in batches:
             for i, j, data, offsets in blocks(batch.column(2)):
                 hashes, first = _sets(data, offsets, width)
@@ -123,22 +126,22 @@ def sketch(df: DataFrame, key: str, text: str, width: int) -> DataFrame:
 
     rows = df.select(F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("th"), F.col(text).cast("string").alias("text"))
     kind = dict(df.dtypes)[key]
-    return rows.mapInArrow(run, f"key {kind}, th long, cls binary, size long, sig binary")
+    return in_batches(rows, run, f"key {kind}, th long, cls binary, size long, sig binary")
 
 
 def common(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all intersections of sorted sets, as a matrix."""
+    """Sizes of all intersections of sorted sets, as a matrix of whole numbers in single precision, which holds them exactly."""
     m = len(sets)
     size = np.array([len(s) for s in sets])
     if m == 1:
-        return size[:, None].astype(np.int64)
+        return size[:, None].astype(np.float32)
     values, column, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     row = np.repeat(np.arange(m), size)
     keep = df[column] > 1
     row, column = row[keep], column[keep]
     used, column = np.unique(column, return_inverse=True)
     df = df[used].astype(np.int64)
-    out = np.zeros((m, m), np.int64)
+    out = np.zeros((m, m), np.float32)
     if len(used) and (df**2).sum() * 12e-9 < m * m * len(used) * 2e-10 + 1e-3:
         # Few texts share a shingle: count the pairs of each shingle's list.
         order = np.argsort(column, kind="stable")
@@ -150,8 +153,9 @@ def common(sets: list[np.ndarray]) -> np.ndarray:
             rows_of = row[a[0] : a[-1] + d[-1]]
             left = np.repeat(rows_of, np.repeat(d, d))
             base = np.repeat(a - a[0], d**2)
-            right = rows_of[base + np.arange(len(base)) % np.repeat(d, d**2) if (d == d[0]).all() else base + (np.arange(len(base)) - np.repeat(np.cumsum(d**2) - d**2, d**2)) % np.repeat(d, d**2)]
-            out += np.bincount(left * m + right, minlength=m * m).reshape(m, m)
+            right = rows_of[base + (np.arange(len(base)) - np.repeat(np.cumsum(d**2) - d**2, d**2)) % np.repeat(d, d**2)]
+            at_, often = np.unique(left * m + right, return_counts=True)
+            out.ravel()[at_] += often
             n = stop
     else:
         wide = max(1, (4 << 20) // m)
@@ -161,7 +165,7 @@ def common(sets: list[np.ndarray]) -> np.ndarray:
             lo, hi = np.searchsorted(column, [a, a + wide])
             part = np.zeros((m, min(wide, len(used) - a)), np.float32)
             part[row[lo:hi], column[lo:hi] - a] = 1
-            out += (part @ part.T).astype(np.int64)
+            out += part @ part.T
     np.fill_diagonal(out, size)
     return out
 
@@ -171,15 +175,20 @@ def verify(sets: list[np.ndarray], side: np.ndarray | None, threshold: float, ea
     earlier: if given, each set's prefixes in the trees before this one, and pairs that share one don't count."""
     size = np.array([len(s) for s in sets])
     both = common(sets)
-    linked = both >= threshold * (size[:, None] + size[None, :] - both) - 1e-9
+    linked = np.empty(both.shape, bool)
+    strips = [slice(i, i + STRIP) for i in range(0, len(sets), STRIP)]  # what is worked on at once
+    for at in strips:
+        own = both[at].astype(np.float64)
+        linked[at] = own >= threshold * (size[at, None] + size[None, :] - own) - 1e-9
+        if side is not None:
+            linked[at] &= side[at, None] != side[None, :]
+        for prefix in () if earlier is None else earlier.T:
+            linked[at] &= prefix[at, None] != prefix[None, :]
+    del both
     np.fill_diagonal(linked, False)
-    if side is not None:
-        linked &= side[:, None] != side[None, :]
-    for prefix in () if earlier is None else earlier.T:
-        linked &= prefix[:, None] != prefix[None, :]
     root = np.arange(len(sets))
     while True:
-        low = np.minimum(root, np.where(linked, root[None, :], len(sets)).min(1))
+        low = np.minimum(root, np.concatenate([np.where(linked[at], root[None, :], len(sets)).min(1) for at in strips]))
         low = low[low]
         if (low == root).all():
             return linked.sum(1), root
@@ -210,7 +219,7 @@ def _units(df: DataFrame, threshold: float) -> DataFrame:
         if held:
             yield done()
 
-    return df.mapInArrow(run, "cls binary, links long, root binary")
+    return in_batches(df, run, "cls binary, links long, root binary")
 
 
 def _filter_table(hashes: DataFrame, n: int) -> np.ndarray:
@@ -244,7 +253,7 @@ def _sets_again(df: DataFrame, key: str, text: str, width: int, wanted: DataFram
                     yield pa.RecordBatch.from_arrays([part.column(0).slice(i, j - i), part.column(1).slice(i, j - i), sets], names=["__key", "__th", "set"])
 
     rows = df.select(F.col(key).alias("k"), F.xxhash64(F.col(text)).alias("t"), F.col(text).cast("string").alias("text")).select("k", "t", F.xxhash64("k", "t").alias("h"), "text")
-    return rows.mapInArrow(run, f"__key {dict(df.dtypes)[key]}, __th long, set binary")
+    return in_batches(rows, run, f"__key {dict(df.dtypes)[key]}, __th long, set binary")
 
 
 def _blocks_of(n, size):
@@ -256,24 +265,25 @@ def _join(df: DataFrame, key: str, text: str, threshold: float, width: int) -> t
     base = stored(sketch(df, key, text, width), "sketches")
     have = base.where("cls is not null")
     classes = stored(have.groupBy("cls").agg(F.min("key").alias("rep"), F.min(F.struct(F.col("key").isNull(), "key", "th")).alias("at"), F.first("size").alias("size"), F.first("sig").alias("sig"), F.count("*").alias("n")), "classes")
-    length, count = fitted_length(classes, threshold), classes.count()
+    known = classes.agg(F.count("*").alias("n"), F.max("n").alias("most")).first()
+    length, count = fitted_length(classes, threshold, known["n"]), known["n"]
     # Subtrees that hold two classes or more.
     trees = F.array(*[F.xxhash64(F.lit(t), F.substring("sig", 2 * DEPTH * t + 1, 2 * length)) for t in range(TREES)])
-    forest = classes.select("cls", "size", F.posexplode(trees).alias("tree", "prefix"))
-    subtrees = forest.groupBy("prefix").agg(F.count("*").alias("n"), F.min("cls").alias("lead")).where("n > 1")
-    shared = hot_join(forest, subtrees.withColumn("many", F.col("n")), "prefix", "n", TREES * count)
-    shared = stored(shared.select("cls", "size", "tree", "prefix", "lead"), "subtrees")
-    groups = connected_components(shared.select("cls", "lead").distinct(), "cls", "lead")
+    forest = classes.select("cls", F.posexplode(trees).alias("tree", "prefix"))
+    subtrees = stored(forest.groupBy("prefix").agg(F.count("*").alias("n"), F.min("cls").alias("lead")).where("n > 1"), "subtrees")
+    widest = subtrees.agg(F.max("n")).first()[0] or 0
+    shared = hot_join(forest, subtrees, "prefix", "n", TREES * count, largest=widest)
+    groups = connected_components(shared.select("cls", "lead"), "cls", "lead")
     members = stored(groups.select(F.col("node").alias("cls"), F.col("root").alias("grp")).join(classes.select("cls", "at", "size", trees.alias("trees")), "cls"), "members")
     # Components in one block; of the others, what either way of cutting copies.
     sizes = members.groupBy("grp").agg(F.count("*").alias("n"), _blocks_of(F.count("*"), F.sum(F.col("size") * 8)).alias("nb"))
-    large = stored(sizes.where("nb > 1"), "large")
-    within = members.join(F.broadcast(large), "grp") if (some := large.count()) <= 100_000 else members.join(large, "grp")
-    leaf = within.select("cls", "grp", "size", F.col("n").alias("all"), F.col("nb").alias("grp_nb"), F.posexplode("trees").alias("tree", "prefix"))
-    leaves = leaf.groupBy("grp", "grp_nb", "all", "tree", "prefix").agg(F.count("*").alias("m"), _blocks_of(F.count("*"), F.sum(F.col("size") * 8)).alias("nb")).where("m > 1")
-    by_leaf = leaves.groupBy("grp", "grp_nb", "all").agg(F.sum(F.col("m") * F.col("nb")).alias("copies")).where(F.col("copies") < F.col("all") * F.col("grp_nb")).select("grp")
+    found = sizes.agg(F.sum("n").alias("n"), F.max("nb").alias("nb")).first()
     whole = members.join(sizes.select("grp", "nb"), "grp").withColumns({"tree": F.lit(0), "unit": F.col("grp")})
-    if some:
+    if (found["nb"] or 0) > 1:
+        within = members.join(sizes.where("nb > 1"), "grp")
+        leaf = within.select("cls", "grp", "size", F.col("n").alias("all"), F.col("nb").alias("grp_nb"), F.posexplode("trees").alias("tree", "prefix"))
+        leaves = leaf.groupBy("grp", "grp_nb", "all", "tree", "prefix").agg(F.count("*").alias("m"), _blocks_of(F.count("*"), F.sum(F.col("size") * 8)).alias("nb")).where("m > 1")
+        by_leaf = leaves.groupBy("grp", "grp_nb", "all").agg(F.sum(F.col("m") * F.col("nb")).alias("copies")).where(F.col("copies") < F.col("all") * F.col("grp_nb")).select("grp")
         by_leaf = stored(by_leaf, "by_leaf")
         whole = whole.join(by_leaf, "grp", "left_anti")
         own = leaves.join(by_leaf, "grp", "left_semi").select("grp", "tree", "prefix", "nb")
@@ -283,15 +293,15 @@ def _join(df: DataFrame, key: str, text: str, threshold: float, width: int) -> t
         whole = whole.select(*both).unionByName(leafy.select(*both))
     placed = whole.withColumn("b", F.pmod(F.xxhash64("cls"), F.col("nb")).cast("int"))
     active = placed.select(F.col("at.key").alias("k"), F.col("at.th").alias("t"), "cls", "unit", "nb", "b", "tree", F.when(F.col("tree") > 0, F.col("trees")).alias("prefixes"))
-    sets = _sets_again(df, key, text, width, members.select(F.col("at.key").alias("k"), F.col("at.th").alias("t")), members.count())
+    sets = _sets_again(df, key, text, width, members.select(F.col("at.key").alias("k"), F.col("at.th").alias("t")), found["n"] or 0)
     met = sets.join(active, sets["__key"].eqNullSafe(active["k"]) & (sets["__th"] == active["t"]))
     other = F.explode(F.sequence(F.lit(0), F.col("nb").cast("int") - 1)).alias("o")
     units = met.select("cls", "unit", "b", "tree", "prefixes", "set", other).select(F.concat("unit", F.encode(F.format_string("/%d,%d", F.least("b", "o"), F.greatest("b", "o")), "utf-8")).alias("unit"), "cls", "b", (F.col("b") != F.col("o")).alias("two"), "tree", "prefixes", "set")
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     once = units.repartition(n, "unit").dropDuplicates(["unit", "cls"]).sortWithinPartitions("unit", "cls").select("unit", "cls", "b", "two", "tree", "prefixes", "set")
-    found = stored(_units(once, threshold), "links")
-    links = found.groupBy("cls").agg(F.sum("links").alias("n_links"))
-    roots = connected_components(found.select("cls", "root").where("cls != root"), "cls", "root").select(F.col("node").alias("cls"), "root")
+    linked = stored(_units(once, threshold), "links")
+    links = linked.groupBy("cls").agg(F.sum("links").alias("n_links"))
+    roots = connected_components(linked.select("cls", "root").where("cls != root"), "cls", "root").select(F.col("node").alias("cls"), "root")
     named = classes.select("cls", "rep", "at", "n").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     return base, stored(named, "roots"), links
 

@@ -17,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ._pieces import Chunks, ChunkTable, chunk_bounds, distinct, encode_chunks, marks_as_spaces, vocabulary
-from ._text import blocks, eights
+from ._shared import in_batches
+from ._text import blocks, eights, worker_cache
 
 #: Entries of the broadcast table, of a task's list, and of a worker's cache.
 HEAD, TASK_HEAD, CACHE = 1 << 16, 1 << 12, 1 << 20
@@ -48,7 +49,7 @@ def frequent(df: DataFrame, path: str, text: str = "text", size: int = HEAD) ->
             lengths = [len(x) for x in encode_chunks(path, texts)]
             yield pa.RecordBatch.from_arrays([pa.array(np.array([k for k, _ in top], np.uint64).view(np.int64)), pa.array([n for _, (n, _) in top], pa.int64()), pa.array(lengths, pa.int32()), pa.array(texts, pa.string())], names=["h", "n", "tokens", "chunk"])
 
-    rows = df.select(F.col(text).cast("string")).mapInArrow(run, "h long, n long, tokens int, chunk string")
+    rows = in_batches(df.select(F.col(text).cast("string")), run, "h long, n long, tokens int, chunk string")
     ranked = rows.groupBy("h").agg(F.sum("n").alias("n"), F.min(F.struct("chunk", "tokens")).alias("t")).orderBy(F.desc("n"), "h").limit(size)
     top = ranked.select("h", "t.tokens", "t.chunk").toArrow()
     table = ChunkTable()
@@ -88,7 +89,7 @@ def count_tokens(df: DataFrame, path: str, text: str = "text", head: ChunkTable
                 length[known] = table.values[at[known], 0]
                 if len(miss := np.flatnonzero(~known)):
                     one, back, _, odd = distinct(chunks, miss)
-                    cache = _cache.get(path)
+                    cache = worker_cache("tokens", _cache).get(path)
                     if cache is None or len(cache.key) > CACHE:
                         cache = _cache[path] = ChunkTable()
                     at, cached = cache.find(chunks, one)
@@ -105,4 +106,4 @@ def count_tokens(df: DataFrame, path: str, text: str = "text", head: ChunkTable
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.concatenate(sizes)), pa.array(np.concatenate(totals))], names=[*batch.schema.names[:-1], *made])
 
     kept = df.select(*[F.col(f"`{n}`") for n in names])
-    return df.select(*[F.col(f"`{n}`") for n in names], F.col(text).cast("string").alias("__text")).mapInArrow(run, kept.schema.add("n_bytes", "long").add("n_tokens", "long"))
+    return in_batches(df.select(*[F.col(f"`{n}`") for n in names], F.col(text).cast("string").alias("__text")), run, kept.schema.add("n_bytes", "long").add("n_tokens", "long"))

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ._shared import stored
+from ._shared import in_batches, stored
 
 SCALE, LISTS = 256, 4
 QUERY_BLOCK, VECTOR_BLOCK, PAIRS = 4096, 2048, 1 << 17
@@ -185,14 +185,14 @@ def top_k(df: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", vect
         table = wanted.where(F.pmod(F.xxhash64("vec_id"), F.lit(parts)) == part).toArrow()
         block = _grid(table["vec_id"].combine_chunks(), table["v"].combine_chunks()) if table.num_rows else {}
         queries = spark.sparkContext.broadcast({n: Queries(*x) for n, x in block.items()})
-        lists = rows.mapInArrow(_search(queries, k, lambda q, vec, x: gather(q, vec, x, k)), _OUT).withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= k)
+        lists = in_batches(rows, _search(queries, k, lambda q, vec, x: gather(q, vec, x, k)), _OUT).withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= k)
         reached = lists.groupBy("query_id").agg(F.min("score").alias("cut"), F.count("*").alias("n")).where(F.col("n") == k)
         cutoffs = spark.sparkContext.broadcast({r["query_id"]: r["cut"] for r in reached.select("query_id", "cut").collect()})
 
         def collect(q: Queries, vec: np.ndarray, x: np.ndarray, cutoffs=cutoffs):
             return resolve(q, np.array([cutoffs.value.get(int(i), -(2**63)) for i in q.names], np.int64), vec, x)
 
-        best = rows.mapInArrow(_search(queries, k, collect), _OUT).withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= k)
+        best = in_batches(rows, _search(queries, k, collect), _OUT).withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= k)
         if parts > 1:
             best = stored(best, "topk")
         found = best if found is None else found.unionByName(best)

@@ -20,7 +20,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ._text import blocks, split_words
+from ._shared import in_batches
+from ._text import blocks, split_words, worker_cache
 
 BUCKETS, DIM, FILTERS, WIDTHS, HEADS = 1 << 20, 8, 8, (1, 2, 3), (4, 5, 6)
 #: Rows of each label that are taken for training at most (in expectation), and characters of all of them.
@@ -258,6 +259,7 @@ def score(df: DataFrame, model: Model, text: str = "text", keep_text: bool = Fal
     sent = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
+        worker_cache("toxicity", {})
         m = sent.value
         langs = np.array([*m.langs, None], object)
         for batch in batches:
@@ -268,4 +270,4 @@ def score(df: DataFrame, model: Model, text: str = "text", keep_text: bool = Fal
                 yield pa.RecordBatch.from_arrays(columns, names=[*schema.names])
 
     schema = (df.select(*[F.col(f"`{n}`") for n in names], F.col(text).cast("string").alias(text)) if keep_text else kept).schema.add("tox_score", "double").add("tox_lang", "string")
-    return df.select(*[F.col(f"`{n}`") for n in names], F.col(text).cast("string").alias("__text")).mapInArrow(run, schema)
+    return in_batches(df.select(*[F.col(f"`{n}`") for n in names], F.col(text).cast("string").alias("__text")), run, schema)

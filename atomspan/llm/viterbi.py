@@ -30,7 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types
 
 from ._pieces import MARK, Chunks, ChunkTable, chunk_bounds, distinct, marks_as_spaces, vocabulary
-from ._text import _ODD, blocks
+from ._shared import in_batches
+from ._text import _ODD, blocks, worker_cache
 
 LANE, STEP = 32, 16
 #: Chunks that a Python worker remembers.
@@ -310,7 +311,7 @@ def encode_block(data: np.ndarray, offsets: np.ndarray, path: str) -> tuple[np.n
     chunks = chunk_bounds(*marks_as_spaces(data, offsets))
     if not len(chunks.key):
         return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
-    seen = _seen.setdefault(path, _Seen())
+    seen = worker_cache("viterbi", _seen).setdefault(path, _Seen())
     at, known = seen.table.find(chunks, np.arange(len(chunks.key)))
     where, count = np.zeros((2, len(chunks.key)), np.int64)
     where[known], count[known] = seen.table.values[at[known]].T
@@ -391,7 +392,7 @@ def encode(df: DataFrame, path: str, text: str = "text", columns: tuple[str, ...
     schema = kept.schema
     for c in columns:
         schema = schema.add(c, _COLUMNS[c])
-    return df.select(*[F.col(f"`{n}`") for n in names], F.col(text).cast("string").alias("__text")).mapInArrow(run, schema)
+    return in_batches(df.select(*[F.col(f"`{n}`") for n in names], F.col(text).cast("string").alias("__text")), run, schema)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "text") -> DataFrame:
@@ -430,4 +431,4 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "text") -> Da
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], texts(batch.column(batch.num_columns - 1))], names=[*batch.schema.names[:-1], text])
 
-    return df.select(*[F.col(f"`{n}`") for n in names], F.col(ids).cast("array<int>").alias("__ids")).mapInArrow(run, kept.schema.add(text, "string"))
+    return in_batches(df.select(*[F.col(f"`{n}`") for n in names], F.col(ids).cast("array<int>").alias("__ids")), run, kept.schema.add(text, "string"))

@@ -11,8 +11,14 @@ from atomspan.llm import _pieces, _text, decontamination, hmm, language_id, lice
 from atomspan.llm import queries as llm_queries
 from atomspan.llm._text import ALNUM, NON_SPACE, blocks, split_words
 
-spm = pytest.importorskip("sentencepiece")
-PATH = pytest.importorskip("public_tokenizers").path("piece_bpe_32k.model")
+try:
+    import sentencepiece as spm
+    from public_tokenizers import path as _path
+
+    PATH = _path("piece_bpe_32k.model")
+except ImportError:
+    spm = PATH = None
+needs_model = pytest.mark.skipif(PATH is None, reason="there is no tokenizer model")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 ODD = ["", " ", "  a  b ", "\n\n", "a" * 300, "Été—ça va? 語😀", "▁x▁", "\x00\x01", "word " * 3000]
 
@@ -363,9 +369,9 @@ def test_a_sample_can_shorten_prefixes(spark, monkeypatch):
     twin[:, 1:, 2] += 1  # alike but for one value of each prefix
     table = lambda x: spark.createDataFrame([(bytearray(r.astype(">u2").tobytes()),) for r in x], "sig binary")
     monkeypatch.setattr(similarity_join, "FIT_ROWS", 600)
-    assert similarity_join.fitted_length(table(np.concatenate([sig, sig])), 0.8) == similarity_join.prefix_length(0.8) == 5
-    assert similarity_join.fitted_length(table(np.concatenate([sig, twin])), 0.8) == 2
-    assert similarity_join.fitted_length(table(sig).limit(0), 0.8) == 5
+    assert similarity_join.fitted_length(table(np.concatenate([sig, sig])), 0.8, 600) == similarity_join.prefix_length(0.8) == 5
+    assert similarity_join.fitted_length(table(np.concatenate([sig, twin])), 0.8, 600) == 2
+    assert similarity_join.fitted_length(table(sig).limit(0), 0.8, 0) == 5
 
 
 def test_near_duplicates_of_nothing_and_of_null_keys(spark):
@@ -375,6 +381,27 @@ def test_near_duplicates_of_nothing_and_of_null_keys(spark):
     assert similarity_join.near_duplicates(none.limit(0)).count() == 0
 
 
+def test_components_with_hubs_equal_brute_force(spark, monkeypatch):
+    from atomspan.llm import _shared, components
+
+    monkeypatch.setattr(_shared, "HOT_ROWS", 3)
+    r = random.Random(21)
+    edges = [(0, k) for k in range(1, 60)] + [(k, k + 1) for k in range(100, 140)] + [(r.randrange(200, 260), r.randrange(200, 260)) for _ in range(45)] + [(300, 300), (None, 1)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges[:-1]:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    out = components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert {x.node: x.root for x in out} == {x: find(x) for x in root} and len(out) == len(root)
+    assert components.connected_components(spark.createDataFrame(edges, "a long, b long").limit(0)).count() == 0
+
+
 def test_common_shingles_both_ways():
     r = np.random.default_rng(0)
     for spread in (40, 100000):
@@ -382,6 +409,7 @@ def test_common_shingles_both_ways():
         assert (similarity_join.common(sets) == [[len(np.intersect1d(a, b)) for b in sets] for a in sets]).all()
 
 
+@needs_model
 def test_token_counts_equal_the_library(spark):
     r = random.Random(5)
     texts = [*ODD, None, *["".join(r.choice(" ▁ab\né語😀  ") for _ in range(14)) for _ in range(300)], "common words " * 50]
@@ -393,6 +421,7 @@ def test_token_counts_equal_the_library(spark):
     assert token_counts.count_tokens(table.limit(0), PATH).count() == 0
 
 
+@needs_model
 def test_viterbi_equals_the_library_in_unigram_mode(tmp_path):
     pb = pytest.importorskip("sentencepiece.sentencepiece_model_pb2")
     m = pb.ModelProto()
@@ -419,6 +448,7 @@ def thue_morse(a, b, n=1024):
     return "".join((a, b)[x] for x in bits), "".join((b, a)[x] for x in bits)
 
 
+@needs_model
 def test_words_of_colliding_patterns_are_told_apart(spark):
     sp = spm.SentencePieceProcessor(model_file=PATH)
     one, two = thue_morse("a", "b")
@@ -434,6 +464,7 @@ def test_words_of_colliding_patterns_are_told_apart(spark):
     assert {x.doc_id: x.n_known for x in hmm.score(table, model, counts).collect()}[3] == 1
 
 
+@needs_model
 def test_chunks_of_one_hash_are_told_apart(spark, monkeypatch):
     """With hashes that all collide, results stay what the library gives."""
     short = lambda data, numbers, start, end, wide=False: ((end - start).astype(np.uint64) % np.uint64(3), None)
@@ -457,6 +488,7 @@ def test_chunks_of_one_hash_are_told_apart(spark, monkeypatch):
     assert all(words[rows[table.values[at[i], 0]]] == words[i] for i in np.flatnonzero(ok))
 
 
+@needs_model
 def test_long_texts_without_spaces():
     import time
 
@@ -469,6 +501,7 @@ def test_long_texts_without_spaces():
     assert got.tolist() == ids and viterbi.decode_block(got, first, PATH)[0].tobytes() == text.encode()
 
 
+@needs_model
 def test_decoding_odd_ids(spark):
     v = _pieces.vocabulary(PATH)
     e = [int(v.byte_ids[b]) for b in "é".encode()]
@@ -481,6 +514,7 @@ def test_decoding_odd_ids(spark):
         viterbi.decode(spark.createDataFrame([(1, [None])], "doc_id long, ids array<int>"), PATH).collect()
 
 
+@needs_model
 def test_stream_holds_a_window():
     stream = viterbi.Stream(PATH)
     for c in "▁this▁is▁a▁text" * 200:
@@ -488,6 +522,7 @@ def test_stream_holds_a_window():
     assert stream.most < 64
 
 
+@needs_model
 def test_encoding_and_decoding_return_the_text(spark):
     texts = [*ODD, None]
     table = docs(spark, [(i, t, None) for i, t in enumerate(texts)])
