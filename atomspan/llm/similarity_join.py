@@ -277,8 +277,8 @@ def _join(df: DataFrame, key: str, text: str, threshold: float, width: int) -> t
     members = stored(groups.select(F.col("node").alias("cls"), F.col("root").alias("grp")).join(classes.select("cls", "at", "size", trees.alias("trees")), "cls"), "members")
     # Components in one block; of the others, what either way of cutting copies.
     sizes = members.groupBy("grp").agg(F.count("*").alias("n"), _blocks_of(F.count("*"), F.sum(F.col("size") * 8)).alias("nb"))
-    found = sizes.agg(F.sum("n").alias("n"), F.max("nb").alias("nb")).first()
-    whole = members.join(sizes.select("grp", "nb"), "grp").withColumns({"tree": F.lit(0), "unit": F.col("grp")})
+    found = sizes.agg(F.sum("n").alias("n"), F.max("nb").alias("nb"), F.max("n").alias("most")).first()
+    whole = hot_join(members, sizes, "grp", "n", found["n"] or 0, largest=found["most"] or 0).withColumns({"tree": F.lit(0), "unit": F.col("grp")})
     if (found["nb"] or 0) > 1:
         within = members.join(sizes.where("nb > 1"), "grp")
         leaf = within.select("cls", "grp", "size", F.col("n").alias("all"), F.col("nb").alias("grp_nb"), F.posexplode("trees").alias("tree", "prefix"))
