@@ -62,7 +62,7 @@ def transformed_cell(spark, d):
 @query(f"WITH a AS ({_ATOMS}) SELECT sid, 4 * count(*) AS n, {_r('4 * sum(z)', 3)} AS z, {_r('100.0')} AS a, {_r('20.0')} AS b FROM a GROUP BY sid")
 def repeated_cell(spark, d):
     """Twice along two vectors, by a matrix."""
-    new = geometry.transform_cell(celled(spark, d).where("z >= 0 and z < 10"), [[2, 0, 0], [0, 2, 0], [0, 0, 1]])
+    new = geometry.transform_cell(celled(spark, d), [[2, 0, 0], [0, 2, 0], [0, 0, 1]])
     return rounded(new.groupBy("sid").agg(F.count("*").alias("n"), F.round(F.sum("z"), 3).alias("z"), F.max(F.col("cell")[0][0]).alias("a"), F.max(F.col("cell")[1][1]).alias("b")), 4)
 
 
@@ -156,9 +156,9 @@ def amended_energy(spark, d):
     return rounded(sets.amend_energy(points(spark, d).withColumnRenamed("x", "energy"), -1.0, ("pid",)).select("pid", "frame", "energy"))
 
 
-@query(f"WITH a AS ({_ATOMS}), s AS (SELECT count(*) AS n FROM orders) SELECT (SELECT n FROM s) AS n_structures, (SELECT count(*) FROM orders WHERE o_orderkey % 2 = 0) AS n_with_forces, count(*) AS n_atoms, {_r('count(*) * 1.0 / (SELECT n FROM s)', 6)} AS mean_atoms, array_to_string(list_sort(list(DISTINCT species)), ',') AS species FROM a")
+@query(f"WITH a AS ({_ATOMS}), s AS (SELECT count(*) AS n FROM orders) SELECT (SELECT n FROM s) AS n_structures, (SELECT count(*) FROM orders WHERE o_orderstatus = 'F') AS n_with_forces, count(*) AS n_atoms, {_r('count(*) * 1.0 / (SELECT n FROM s)', 6)} AS mean_atoms, array_to_string(list_sort(list(DISTINCT species)), ',') AS species FROM a")
 def dataset_statistics(spark, d):
-    frames = structures(spark, d).withColumn("has_forces", F.col("sid") % 2 == 0)
+    frames = table(spark, d, "orders").select(F.col("o_orderkey").alias("sid"), (F.col("o_orderstatus") == "F").alias("has_forces"))
     out = sets.dataset_statistics(frames, atoms(spark, d)).withColumn("species", F.array_join("species", ","))
     return rounded(out.select("n_structures", "n_with_forces", "n_atoms", "mean_atoms", "species"), 6)
 
@@ -175,10 +175,10 @@ def with_forces(spark, d):
     return sets.with_forces(structures(spark, d), forced).select("sid", "has_forces")
 
 
-@query("SELECT o_orderkey AS sid, o_orderkey % 3 = 0 AND o_orderkey % 2 = 0 AS use_forces FROM orders")
+@query("SELECT o_orderkey AS sid, o_orderstatus = 'F' AND o_orderpriority LIKE '1%' AS use_forces FROM orders")
 def uses_forces(spark, d):
-    frames = structures(spark, d).withColumn("has_forces", F.col("sid") % 3 == 0)
-    return sets.uses_forces(frames, 0.5, 0.5, frames.where("sid % 2 = 0")).select("sid", "use_forces")
+    frames = table(spark, d, "orders").select(F.col("o_orderkey").alias("sid"), (F.col("o_orderstatus") == "F").alias("has_forces"), "o_orderpriority")
+    return sets.uses_forces(frames, 0.5, 0.5, frames.where("o_orderpriority like '1%'")).select("sid", "use_forces")
 
 
 @query(f"WITH {_STRUCTURES}, p AS (SELECT sid, energy + sid % 7 AS predicted FROM s) SELECT s.sid, {_r('s.energy')} AS reference, {_r('p.predicted')} AS predicted, s.n_atoms, {_r('p.predicted - s.energy')} AS difference, {_r('(p.predicted - s.energy) / s.n_atoms')} AS per_atom FROM s JOIN p ON s.sid = p.sid")
@@ -193,18 +193,18 @@ def cohesive_energy(spark, d):
     return rounded(rounded(rows.select("sid", "cohesive", "cohesive_per_atom", "energy_per_atom"), 3, "cohesive"), 6, "cohesive_per_atom", "energy_per_atom")
 
 
-@query("SELECT e.event_id, CASE WHEN e.user_id % 2 = 0 THEN CAST(e.user_id AS DOUBLE) END AS energy FROM events e")
+@query("SELECT e.event_id, CAST(n.n_nationkey + n.n_regionkey AS DOUBLE) AS energy FROM events e LEFT JOIN nation n ON n.n_nationkey = e.user_id")
 def merged_log(spark, d):
     """Frames with the energy of their step, where the log has it."""
     frames = table(spark, d, "events").select("event_id", F.col("user_id").alias("step"))
-    log = frames.where("step % 2 = 0").select("step", F.col("step").cast("double").alias("energy"))
+    log = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("step"), (F.col("n_nationkey") + F.col("n_regionkey")).cast("double").alias("energy"))
     return sets.merge_log(frames, log).select("event_id", "energy")
 
 
-@query("SELECT o_orderkey AS entry_idx, o_orderkey % 4 = 0 AS cached, CASE WHEN o_orderkey % 4 = 0 THEN o_totalprice END AS payload FROM orders")
+@query("SELECT o_orderkey AS entry_idx, l.n IS NOT NULL AS cached, l.n AS payload FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey) l ON l_orderkey = o_orderkey")
 def cached_payload(spark, d):
-    entries = structures(spark, d).select(F.col("sid").alias("entry_idx"), F.col("energy").alias("payload"))
-    return sets.payload(entries.select("entry_idx"), entries.where("entry_idx % 4 = 0")).select("entry_idx", "cached", "payload")
+    cache = atoms(spark, d).groupBy(F.col("sid").alias("entry_idx")).agg(F.count("*").alias("payload"))
+    return sets.payload(structures(spark, d).select(F.col("sid").alias("entry_idx")), cache).select("entry_idx", "cached", "payload")
 
 
 @query("SELECT l_orderkey AS sid, l_orderkey % 16 AS batch, count(*) AS n_atoms, CAST(coalesce(sum(count(*)) OVER (PARTITION BY l_orderkey % 16 ORDER BY l_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\" FROM lineitem GROUP BY l_orderkey")
@@ -213,10 +213,10 @@ def collated(spark, d):
     return sets.collate(counts, "batch").select("sid", "batch", "n_atoms", "offset")
 
 
-@query(f"WITH a AS ({_ATOMS}) SELECT sid, max(CASE WHEN sid % 5 = 0 AND aid = 1 THEN 1 ELSE 0 END) = 0 AS equal FROM a GROUP BY sid")
+@query(f"WITH a AS ({_ATOMS}) SELECT sid, max(CASE WHEN species = 'R' AND aid = 1 THEN 1 ELSE 0 END) = 0 AS equal FROM a GROUP BY sid")
 def equal_structures(spark, d):
     a = atoms(spark, d)
-    return sets.equal_structures(a, a.withColumn("x", F.when((F.col("sid") % 5 == 0) & (F.col("aid") == 1), F.col("x") + 1e-9).otherwise(F.col("x"))))
+    return sets.equal_structures(a, a.withColumn("x", F.when((F.col("species") == "R") & (F.col("aid") == 1), F.col("x") + 1e-9).otherwise(F.col("x"))))
 
 
 @query("SELECT doc_id, coalesce(nullif(source, ''), 'structure_' || lpad(CAST(doc_id AS VARCHAR), 6, '0')) || CASE WHEN doc_id % 3 <> 0 THEN '#frame=' || doc_id % 3 ELSE '' END AS name FROM documents")
@@ -385,11 +385,11 @@ def checked_energies(spark, d):
     return good.groupBy("user_id").agg((F.count("e") > 0).alias("whole"))
 
 
-@query(f"SELECT l_partkey AS sid, CAST(count(*) AS BIGINT) AS n, {_r('avg(l_extendedprice / l_quantity)')} AS mean FROM lineitem WHERE l_suppkey % 4 < 2 GROUP BY l_partkey")
+@query(f"SELECT l_partkey AS sid, CAST(count(*) AS BIGINT) AS n, {_r('avg(l_extendedprice / l_quantity)')} AS mean FROM lineitem GROUP BY l_partkey")
 def united_members(spark, d):
     rows = predictions(spark, d)
-    both = sets.union_all(rows.where("member = 0"), rows.where("member = 1").drop("fx"))
-    return rounded(both.groupBy("sid").agg(F.count("*").alias("n"), F.avg("energy").alias("mean")))
+    whole = sets.union_all(*[rows.where(F.col("member") == k).drop(*(["fx"] if k else [])) for k in range(4)])
+    return rounded(whole.groupBy("sid").agg(F.count("*").alias("n"), F.avg("energy").alias("mean")))
 
 
 @query()
