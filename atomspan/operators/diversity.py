@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, functions as F
 
 #: Vectors whose pairs are listed, at most.
 PAIR_ROWS = 10_000
+#: Vectors in a block of those whose pairs are summed.
+PAIR_BLOCK = 2_000
 
 
 def long_form(vectors: DataFrame, keys: tuple[str, ...], vector: str) -> DataFrame:
@@ -99,20 +101,40 @@ def mean_cosine(vectors: DataFrame, vector: str) -> DataFrame:
     return n.join(F.broadcast(total)).select("n", F.try_divide(F.col("q") - F.col("full"), F.col("n") * (F.col("n") - 1)).alias("mean_cosine"))
 
 
+def _distance_sum(v: DataFrame, n: int) -> float:
+    """The sum of the distances of all pairs of (k, v): vectors fall into blocks of about PAIR_BLOCK by a hash, and each pair of blocks
+    is one group, which gives one number."""
+    blocks = max(1, -(-n // PAIR_BLOCK))
+    rows = v.withColumn("b", F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    units = rows.select(F.least("b", "o").alias("p"), F.greatest("b", "o").alias("q"), "b", "v")
+
+    def run(pdf):
+        import pandas as pd
+
+        p, q = pdf["p"].iloc[0], pdf["q"].iloc[0]
+        x = np.array(pdf["v"].tolist(), float)
+        own = pdf["b"].to_numpy() == p
+        one, two = (x, x) if p == q else (x[own], x[~own])
+        total = sum(np.sqrt(((two[(i + 1 if p == q else 0) :] - r) ** 2).sum(1)).sum() for i, r in enumerate(one))
+        return pd.DataFrame({"s": [float(total)]})
+
+    return units.groupBy("p", "q").applyInPandas(run, "s double").agg(F.sum("s")).first()[0] or 0.0
+
+
 def pair_means(vectors: DataFrame, key: str, vector: str) -> DataFrame:
-    """(n, mean_euclid, mean_cosine, mean_pearson) over all pairs of vectors with distinct keys; fewer than two raise.
+    """(n, mean_euclid, mean_cosine, mean_pearson) over all pairs of vectors; fewer than two raise.
 
-    Cosine and Pearson need no pairs; the mean distance has no such form, so pairs are joined and summed where they are made,
-    at a cost of the square of the number of vectors. A constant vector has correlation 0.
+    Cosine and Pearson need no pairs; the mean distance has no such form, so blocks of vectors are compared in tasks, which
+    give sums, at a cost of the square of the number of vectors. A constant vector has correlation 0.
     """
     v = vectors.where(F.col(vector).isNotNull()).select(F.col(key).alias("k"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
-    if v.limit(2).count() < 2:
+    n = v.count()
+    if n < 2:
         raise ValueError("a mean over pairs needs two vectors")
-    pairs = v.toDF("a", "va").join(v.toDF("b", "vb"), F.col("a") < F.col("b"))
-    euclid = pairs.agg(F.avg(F.sqrt(F.aggregate(F.zip_with("va", "vb", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, t: s + t))).alias("mean_euclid"))
+    euclid = _distance_sum(v, n) / (n * (n - 1) / 2)
     means = v.withColumn("m", F.aggregate("v", F.lit(0.0), lambda s, t: s + t) / F.size("v"))
     pearson = mean_cosine(means.select(F.transform("v", lambda x: x - F.col("m")).alias("v")), "v").select(F.col("mean_cosine").alias("mean_pearson"))
-    return mean_cosine(v, "v").crossJoin(euclid).crossJoin(pearson).select("n", "mean_euclid", "mean_cosine", "mean_pearson")
+    return mean_cosine(v, "v").join(F.broadcast(pearson)).select("n", F.lit(float(euclid)).alias("mean_euclid"), "mean_cosine", "mean_pearson")
 
 
 def log_det(vectors: DataFrame, vector: str, alpha: float = 1e-3) -> float:

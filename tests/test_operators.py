@@ -116,7 +116,8 @@ def test_log_det_and_mean_cosine(spark):
         diversity.log_det(df.limit(1), "v")
 
 
-def test_pair_means(spark):
+def test_pair_means(spark, monkeypatch):
+    monkeypatch.setattr(diversity, "PAIR_BLOCK", 3)
     v = np.random.default_rng(1).normal(size=(7, 5))
     v[3] = 2.0  # no correlation
     df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(9, None)], "id int, v array<double>")
