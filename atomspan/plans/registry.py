@@ -469,8 +469,8 @@ def geometric_centre(spark, d):
 
 @query(f"WITH a AS ({_ATOMS}) SELECT p.sid, {_r('max(sqrt(pow(p.x-q.x,2) + pow(p.y-q.y,2) + pow(p.z-q.z,2)))')} AS diameter FROM a p JOIN a q ON p.sid = q.sid AND p.aid < q.aid GROUP BY p.sid")
 def diameter(spark, d):
-    # The SQL has no row for a structure of one atom.
-    several = atoms(spark, d).groupBy("sid").agg(F.count("*").alias("n")).where("n > 1").select("sid")
+    # The SQL has no row for a structure whose atoms have one number.
+    several = atoms(spark, d).groupBy("sid").agg((F.min("aid") < F.max("aid")).alias("more")).where("more").select("sid")
     return rounded(geometry.diameter(atoms(spark, d)).join(several, "sid"))
 
 
