@@ -256,16 +256,16 @@ def diameter(atoms: DataFrame, keys: tuple[str, ...] = ("sid",)) -> DataFrame:
     """(keys, diameter): the largest distance of two atoms of a structure without a cell; 0 for a single atom, and null for
     structures with a cell.
 
-    The two atoms farthest apart are corners of the structure's hull. A corner is the farthest atom in some direction, so
-    structures of many atoms are first reduced to those near their hull: atoms that lie closer to the centre than the
-    widest extent bounds can be no end of a diameter.
+    Pairs are of atoms of different numbers. Not all of them are looked at: some pair is as far apart as the first atom and the
+    one farthest from it, and the ends of a wider pair lie together at least as far from the centre, so atoms nearer to it than that
+    allows are left out beforehand.
     """
     c = centre(atoms, keys).withColumnsRenamed({k: f"m{k}" for k in _XYZ})
-    r = F.sqrt(reduce(lambda a, b: a + b, [(F.col(k) - F.col(f"m{k}")) * (F.col(k) - F.col(f"m{k}")) for k in _XYZ]))
-    far = atoms.join(c, list(keys)).withColumn("r", r)
-    # Two atoms at least so far apart exist: the widest extent along an axis; ends of a diameter add up to as much.
-    width = F.greatest(*[F.max(k) - F.min(k) for k in _XYZ])
-    bound = far.groupBy(*keys).agg(width.alias("w"), F.max("r").alias("rmax"))
+    first = atoms.groupBy(*keys).agg(F.min_by(F.struct("aid", *_XYZ), "aid").alias("__first"))
+    gap = lambda other: _length([F.col(k) - other(k) for k in _XYZ])
+    far = atoms.join(c, list(keys)).join(first, list(keys)).withColumn("r", gap(lambda k: F.col(f"m{k}")))
+    known = F.max(F.when(F.col("aid") != F.col("__first.aid"), gap(lambda k: F.col(f"__first.{k}"))))
+    bound = far.groupBy(*keys).agg(known.alias("w"), F.max("r").alias("rmax"))
     ends = far.join(bound, list(keys)).where(F.col("r") >= F.col("w") - F.col("rmax") - 1e-9)
     a = ends.select(*keys, "aid", "x", "y", "z")
     b = a.select(*keys, F.col("aid").alias("bid"), *[F.col(k).alias(f"b{k}") for k in _XYZ])
