@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are worked on at once.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 
 _ODD, _ODD2, _SECOND = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0x2545F4914F6CDD1D)
 #: The low bytes of a number, by how many.

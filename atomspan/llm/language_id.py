@@ -120,7 +120,7 @@ def automaton(codes: list[int], width: int) -> Automaton:
     restart = np.where(root >= 0, root * width + (1 << _SHIFT), 1 << _SHIFT)
     unknown = root < 0
     table *= width
-    table[~known] = np.broadcast_to((restart + np.where(unknown, 1 << _SHIFT, 0)).astype(np.int32), table.shape)[~known]
+    np.copyto(table, (restart + np.where(unknown, 1 << _SHIFT, 0)).astype(np.int32), where=~known)
     table[0] = np.where(known[0], table[0], restart)
     table[:, _PAD] = np.arange(len(nxt)) * width
     # Every letter of the text leaves the root, so one without a column ends at most the phrase before it.
