@@ -59,9 +59,9 @@ def edges(atoms: DataFrame, cutoff: float, keys: tuple[str, ...] = ("sid",)) ->
     return near.select(*keys, "d", F.explode(both).alias("e")).select(*keys, "e.*", "d")
 
 
-def image_range(cell: list[list], cutoff: float, pbc: tuple[bool, bool, bool] = (True, True, True)) -> list:
+def image_range(cell: list[list], cutoff: float, pbc: tuple[bool, bool, bool] = (True, True, True), inv: list[list] | None = None) -> list:
     """Images on either side along each lattice vector: the cutoff over the distance of opposite faces, rounded up."""
-    inv = inverse(cell)
+    inv = inv or inverse(cell)
     out = []
     for k in range(3):
         length = F.sqrt(reduce(lambda s, r: s + r[k] * r[k], inv[1:], inv[0][k] * inv[0][k]) + F.lit(0.0))
@@ -77,12 +77,15 @@ def periodic_edges(atoms: DataFrame, cutoff: float, keys: tuple[str, ...] = ("si
     """
     m = [[F.lit(float(v)) for v in row] for row in cell] if cell else cell_matrix()
     inv = inverse(m)
+    if not cell:  # computed once a row, not once a use
+        atoms = atoms.withColumn("__inv", F.array(*[F.array(*row) for row in inv]))
+        inv = cell_matrix("__inv")
     fractions = matrix_times([F.col("x"), F.col("y"), F.col("z")], inv)
     wrapped = [wrap(f) if p else f for f, p in zip(fractions, pbc, strict=True)]
     rows = _sized(atoms, keys).withColumns({f"f{k}": f for k, f in zip("xyz", wrapped, strict=True)})
     place = matrix_times([F.col("fx"), F.col("fy"), F.col("fz")], m)
     home = rows.withColumns({k: p for k, p in zip("xyz", place, strict=True)})
-    span = image_range(m, cutoff, pbc)
+    span = image_range(m, cutoff, pbc, inv)
     margin = [F.lit(cutoff) * F.sqrt(reduce(lambda s, r: s + r[k] * r[k], inv[1:], inv[0][k] * inv[0][k]) + F.lit(0.0)) for k in range(3)]
     ghosts = rows
     for k, s, w in zip("xyz", span, margin, strict=True):
