@@ -445,9 +445,11 @@ def status(runs: DataFrame, run: str = "run", epoch: str = "epoch", value: str =
     return out.withColumn("state", F.when(F.col("__s"), "stopped").when(done, "completed").otherwise("running")).drop("__s")
 
 
-def best_epochs(epochs: DataFrame, n: int, value: str = "rmse_test", epoch: str = "epoch") -> DataFrame:
-    """The n epochs with the lowest value, earlier ones first among equals."""
-    return epochs.where(F.col(value).isNotNull() & ~F.isnan(value)).orderBy(value, epoch).limit(n)
+def best_epochs(epochs: DataFrame, n: int, value: str = "rmse_test", epoch: str = "epoch", run: str = "run") -> DataFrame:
+    """The n epochs with the lowest value; among equals earlier ones first, and then those of smaller runs, where ``epochs`` has
+    a column for them."""
+    order = [value, epoch, *([run] if run in epochs.columns else [])]
+    return epochs.where(F.col(value).isNotNull() & ~F.isnan(value)).orderBy(*order).limit(n)
 
 
 def training_stats(epochs: DataFrame, run: str = "run", epoch: str = "epoch", value: str = "rmse") -> DataFrame:

@@ -153,3 +153,11 @@ def test_descriptor_objects(spark):
             Chebyshev(*bad)
     with pytest.raises(ValueError):
         Chebyshev.restore('{"kind":"other"}')
+
+
+def test_best_epochs_of_equal_values_go_by_run(spark):
+    rows = [(run, epoch, float(epoch % 2)) for run in range(40, 0, -1) for epoch in (4, 3, 2)]
+    best = training.best_epochs(spark.createDataFrame(rows, "run long, epoch int, rmse_test double"), 43).collect()
+    assert [(r.run, r.epoch) for r in best] == [(run, 2) for run in range(1, 41)] + [(run, 4) for run in range(1, 4)]
+    plain = training.best_epochs(spark.createDataFrame([(e, v) for _, e, v in rows[:3]], "epoch int, rmse_test double"), 2)
+    assert [r.epoch for r in plain.collect()] == [2, 4]
