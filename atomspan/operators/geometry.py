@@ -238,16 +238,20 @@ def neighbour_cluster(atoms: DataFrame, found: DataFrame, i: int, cutoff: float
 
 
 def image_distances(atoms: DataFrame, i: int, j: int, cutoff: float, keys: tuple[str, ...] = ("sid",), pbc: tuple[bool, bool, bool] = (True, True, True)) -> DataFrame:
-    """(keys, ox, oy, oz, d): distances up to the cutoff from atom i to all images of atom j, in the column ``cell``."""
+    """(keys, ox, oy, oz, d): distances up to the cutoff from atom i to all images of atom j, in the column ``cell``.
+
+    Fractional coordinates only say how many images to look at; distances are of places, so that one of just the cutoff isn't
+    rounded beyond it.
+    """
     m = cell_matrix()
-    a = fractional(atoms.where(F.col("aid") == i)).select(*keys, "cell", *[F.col(c).alias(f"{c}1") for c in "uvw"])
-    b = fractional(atoms.where(F.col("aid") == j)).select(*keys, "u", "v", "w")
-    pair = a.join(b, list(keys)).withColumns({c: F.col(c) - F.col(f"{c}1") for c in "uvw"})
+    a = atoms.where(F.col("aid") == i).select(*keys, "cell", *[F.col(c).alias(f"{c}1") for c in _XYZ])
+    b = atoms.where(F.col("aid") == j).select(*keys, *_XYZ)
+    pair = fractional(a.join(b, list(keys)).withColumns({c: F.col(c) - F.col(f"{c}1") for c in _XYZ}))
     span = image_range(m, cutoff, pbc)
     for c, o, s in zip("uvw", ("ox", "oy", "oz"), span, strict=True):
         reach = s + F.ceil(F.abs(F.col(c))).cast("int")
         pair = pair.withColumn(o, F.explode(F.sequence(-reach, reach)) if pbc["uvw".index(c)] else F.lit(0))
-    d = _length(matrix_times([F.col(c) + F.col(o) for c, o in zip("uvw", ("ox", "oy", "oz"), strict=True)], m))
+    d = _length([p + s for p, s in zip(_place(), matrix_times([F.col(o) for o in ("ox", "oy", "oz")], m), strict=True)])
     rows = pair.withColumn("d", d).where(F.col("d") <= cutoff).select(*keys, "ox", "oy", "oz", "d")
     return rows.where("ox != 0 or oy != 0 or oz != 0") if i == j else rows
 

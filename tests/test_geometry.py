@@ -171,6 +171,14 @@ def test_surroundings(spark):
     assert geometry.drop_repeated_ghosts(ghosts).count() == found.count()
 
 
+def test_an_image_at_just_the_cutoff_counts(spark):
+    box = [[50.0, 0.0, 0.0], [0.0, 10.0, 0.0], [0.0, 0.0, 10.0]]
+    made = [(k, i, "A", float(k + 10 * i), 3.0, 7.0) for k in range(40) for i in range(2)]
+    atoms = spark.createDataFrame(made, ATOM).withColumn("cell", F.array(*[F.array(*map(F.lit, r)) for r in box]))
+    got = geometry.image_distances(atoms, 0, 1, 60.0, pbc=(True, False, False)).collect()
+    assert sorted((r.sid, r.ox, r.d) for r in got) == [(k, o, abs(10.0 + 50 * o)) for k in range(40) for o in (-1, 0, 1)]
+
+
 def test_diameters_and_centres(spark):
     p = np.random.default_rng(3).normal(size=(60, 3)) * [3, 1, 1]
     base = rows(spark, *[("A", *map(float, v)) for v in p])
