@@ -6,11 +6,15 @@ output. Gradients of descriptors are long tables (keys, i, f, atom, gx, gy, gz),
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types
 
 from ..functions.scalars import chebyshev, chebyshev_derivative, cosine_cutoff, cosine_cutoff_derivative, rescale
-from .spatial import _spin
+from ._whole import in_structures, portions
+from .spatial import SMALL, _spin, descriptors, edges
 
 Layers = list[tuple[np.ndarray, np.ndarray, str]]
 _ACTIVATIONS = {"linear": (lambda x: x, lambda y: np.ones_like(y)), "tanh": (np.tanh, lambda y: 1 - y * y), "sigmoid": (lambda x: 1 / (1 + np.exp(-x)), lambda y: y * (1 - y))}
@@ -139,10 +143,128 @@ def forces(atoms: DataFrame, grads: DataFrame, keys: tuple[str, ...] = ("sid",))
     return atoms.select(*keys, "aid").join(sums, [*keys, "aid"], "left").fillna(0.0, ["fx", "fy", "fz"])
 
 
+#: Triples of atoms that a task of :func:`structure_forces` looks at a time, about.
+TRIPLES = 1 << 19
+
+
+def _runs(counts: np.ndarray) -> np.ndarray:
+    """0, 1, .. for each of the counts."""
+    return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def _basis(order: int, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Chebyshev polynomials up to an order and their derivatives, as :mod:`~..functions.scalars` has them."""
+    n, held = np.arange(order + 1)[:, None], np.clip(x, -1, 1)
+    turn = n * np.arccos(held)
+    return np.cos(turn), n * np.sin(turn) / np.sqrt(np.maximum(1 - held * held, 1e-10))
+
+
+def _cutoff(d: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
+    """The cosine cutoff and its derivative."""
+    turn = math.pi * d / radius
+    return np.where(d < radius, 0.5 * (np.cos(turn) + 1), 0.0), np.where(d < radius, -0.5 * math.pi / radius * np.sin(turn), 0.0)
+
+
+def dense_forces(starts: np.ndarray, aid: np.ndarray, species: np.ndarray, place: np.ndarray, model: dict[str, Layers], spins: dict[str, int], settings: tuple[float, int, float, int], min_cutoff: float = 0.0) -> np.ndarray:
+    """Forces (atoms, 3) of structures one after the other by all pairs and triples of their atoms: descriptors, the networks'
+    slopes and the contraction of :func:`contracted_forces`, as arrays."""
+    rad_cutoff, rad_order, ang_cutoff, ang_order = settings
+    size, total = np.repeat(np.diff(starts), np.diff(starts)), len(aid)
+    i = np.repeat(np.arange(total), size)
+    j = np.repeat(np.repeat(starts[:-1], np.diff(starts)), size) + _runs(size)
+    u = place[j] - place[i]
+    d = np.sqrt(u[:, 0] * u[:, 0] + u[:, 1] * u[:, 1] + u[:, 2] * u[:, 2])
+    near = (aid[i] != aid[j]) & (d > min_cutoff) & (d <= max(rad_cutoff, ang_cutoff))
+    i, j, d, u = i[near], j[near], d[near], u[near] / d[near][:, None]
+    if len(spins) > 1:
+        unknown = sorted({str(s) for s in set(species[j]) - set(spins)})
+        if unknown:
+            raise ValueError(f"no typespin for species {unknown}")
+        spin = np.array([float(spins.get(s, 0)) for s in species])
+        weights = lambda *ends: [None, np.prod([spin[e] for e in ends], axis=0)]
+    else:
+        weights = lambda *ends: [None]
+    by = lambda at, rows: np.stack([np.bincount(at, r, total) for r in rows], 1).astype(float)  # noqa: E731  (without rows it counts)
+
+    def summed(at, values, weight):
+        return [by(at, values if w is None else values * w) for w in weight]
+
+    r = d <= rad_cutoff
+    ri, rj, rd, ru = i[r], j[r], d[r], u[r]
+    t, dt = _basis(rad_order, (2 * rd - min_cutoff - rad_cutoff) / (rad_cutoff - min_cutoff))
+    f, df = _cutoff(rd, rad_cutoff)
+    radial, slope, rw = summed(ri, t * f, weights(rj)), dt * (2 / (rad_cutoff - min_cutoff)) * f + t * df, weights(rj)
+
+    a = d <= ang_cutoff
+    ai, aj, ad, au = i[a], j[a], d[a], u[a]
+    of = np.bincount(ai, minlength=total)
+    later = np.repeat(of, of) - _runs(of) - 1  # neighbours of the atom that come after this one
+    p = np.repeat(np.arange(len(ai)), later)
+    q = p + 1 + _runs(later)
+    c = np.clip((au[p] * au[q]).sum(1), -1, 1)
+    ct, cdt = _basis(ang_order, c)
+    (f1, g1), (f2, g2) = _cutoff(ad[p], ang_cutoff), _cutoff(ad[q], ang_cutoff)
+    aw = weights(aj[p], aj[q])
+    angular = summed(ai[p], ct * f1 * f2, aw)
+
+    features = np.concatenate([x for pair in zip(radial, angular, strict=True) for x in pair], 1)
+    pull, n_r, n_a = np.zeros_like(features), rad_order + 1, ang_order + 1
+    for s in set(species):
+        at = np.flatnonzero(species == s)
+        pull[at] = forward(model[s], features[at])[1]
+
+    one, (turn, by_p, by_q) = np.zeros(len(ri)), np.zeros((3, len(p)))
+    for k, (w, v) in enumerate(zip(rw, aw, strict=True)):
+        own = pull[:, k * (n_r + n_a) : (k + 1) * (n_r + n_a)]
+        sums = (own[ri, :n_r].T * slope).sum(0)
+        one += sums if w is None else sums * w
+        g = own[ai[p], n_r:].T if v is None else own[ai[p], n_r:].T * v
+        plain = (g * ct).sum(0)
+        turn += (g * cdt).sum(0) * f1 * f2
+        by_p += plain * g1 * f2
+        by_q += plain * f1 * g2
+    two, ap, aq = one[:, None] * ru, au[p], au[q]
+    on_j = (turn / ad[p])[:, None] * (aq - c[:, None] * ap) + by_p[:, None] * ap
+    on_k = (turn / ad[q])[:, None] * (ap - c[:, None] * aq) + by_q[:, None] * aq
+    force = by(ri, two.T) - by(rj, two.T) + by(ai[p], (on_j + on_k).T)
+    return force - by(aj[p], on_j.T) - by(aj[q], on_k.T)
+
+
+def structure_forces(atoms: DataFrame, model: dict[str, Layers], spins: dict[str, int], settings: tuple[float, int, float, int], min_cutoff: float = 0.0, keys: tuple[str, ...] = ("sid",)) -> DataFrame:
+    """(keys, aid, fx, fy, fz) from places, without periodic boundaries: as :func:`contracted_forces` of :func:`~.spatial.edges`
+    and :func:`~.spatial.descriptors`.
+
+    Atoms are shuffled once, by structure. Structures of up to SMALL atoms are worked on whole, many at a time, so their edges, of
+    which there are many more than atoms, never leave a task; larger ones, if there are any, go by joins of edges. Atoms that
+    come dealt by ``keys`` are not dealt again. Atoms of one number are no neighbours.
+    """
+    n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
+    rows = atoms.select(*keys, "aid", "species", "x", "y", "z")
+    large = rows.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > SMALL)
+    small = rows.withColumn("__n", n).where(F.col("__n") <= SMALL).drop("__n")
+    schema = types.StructType([*rows.select(*keys, "aid").schema.fields, *[types.StructField(c, types.DoubleType()) for c in ("fx", "fy", "fz")]])
+    sent, m = atoms.sparkSession.sparkContext.broadcast(model), len(keys)
+
+    def run(batch, starts):
+        for a, b in portions(np.diff(starts).astype(float) ** 3, TRIPLES):
+            own = batch.slice(starts[a], starts[b] - starts[a])
+            column = lambda k: own.column(m + k).to_numpy(zero_copy_only=False)
+            place = np.stack([column(k).astype(float) for k in (2, 3, 4)], 1)
+            force = dense_forces(starts[a : b + 1] - starts[a], column(0), column(1), place, sent.value, spins, settings, min_cutoff)
+            yield pa.RecordBatch.from_arrays([*own.columns[: m + 1], *[pa.array(np.ascontiguousarray(f)) for f in force.T]], names=schema.names)
+
+    out = in_structures(small, keys, ("aid", "species", "x", "y", "z"), run, schema)
+    if large.isEmpty():
+        return out
+    some = rows.withColumn("__n", n).where(F.col("__n") > SMALL).drop("__n")
+    found = edges(some, max(settings[0], settings[2]), keys)
+    full = atom_energies(descriptors(some, found, *settings, spins, min_cutoff, keys), model)
+    return out.unionByName(contracted_forces(full, found, *settings, spins, min_cutoff, keys))
+
+
 def predict(atoms: DataFrame, found: DataFrame, model: dict[str, Layers], spins: dict[str, int], settings: tuple[float, int, float, int], references: dict[str, float] | None = None, scaling: float = 1.0, shift: float = 0.0, min_cutoff: float = 0.0, keys: tuple[str, ...] = ("sid",)) -> tuple[DataFrame, DataFrame]:
     """(structures, atoms) of places and their edges: energies (total and cohesive), forces and energies of atoms, which add up to
     the total. Networks give energies times ``scaling`` less a shift; reference energies are by species, 0 if not given."""
-    from .spatial import descriptors
     from .training import denormalise_atom
 
     rows = atom_energies(descriptors(atoms, found, *settings, spins, min_cutoff, keys), model)
